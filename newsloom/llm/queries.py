@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalogue import resolve_entry
 from ..session import table
-from . import capping, history
+from . import capping, history, mixing, packing
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,5 +32,39 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return history.repeats(spark, items, "batch_no", site_names(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found}
+def sizes(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, source and tokens of all documents; a missing size is the number of bytes, one token each."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", "source", F.coalesce(F.col("n_tokens").cast("long"), F.octet_length("text").cast("long")).alias("tokens"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every document with its container, for each capacity."""
+    return packing.pack(sizes(spark, d).select("doc_id", "tokens"), table(spark, d, "containers"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that had to be split, for each capacity."""
+    return p8_containers(spark, d).where("pieces > 1").select("capacity_tokens", "doc_id").distinct()
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Copies of each document of the target sources."""
+    docs = resolve_entry(sizes(spark, d).withColumn("sourceDomain", F.lit(None).cast("string")), table(spark, d, "mix_targets").select("source", F.array().cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("sourceDomain")))
+    return mixing.mix(docs.select("doc_id", F.col("entry").alias("source"), "tokens"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mixture really reaches."""
+    return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p8_found": p8_found,
+    "p8_containers": p8_containers,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+}
 SQL: dict[str, str] = {}
