@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.catalogue import resolve_entry
 from ..session import table
 from . import capping, history, mixing, packing
+from . import residue as residue_
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +39,20 @@ def sizes(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "source", F.coalesce(F.col("n_tokens").cast("long"), F.octet_length("text").cast("long")).alias("tokens"))
 
 
+def articles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "articles")
+
+
+def p4_residue(spark: SparkSession, d: str) -> DataFrame:
+    """Articles that hold template residue or are no article, with the kind."""
+    return residue_.residue(articles(spark, d), "article_no", "body")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Articles that hold template residue or are no article."""
+    return p4_residue(spark, d).select("article_no").distinct()
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every document with its container, for each capacity."""
     return packing.pack(sizes(spark, d).select("doc_id", "tokens"), table(spark, d, "containers"))
@@ -62,6 +77,8 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_residue": p4_residue,
     "p8_found": p8_found,
     "p8_containers": p8_containers,
     "p9_mix": p9_mix,
