@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalogue import resolve_entry
 from ..session import table
-from . import capping, history, mixing, packing
+from . import capping, encoding, history, mixing, packing
 from . import residue as residue_
 
 
@@ -53,6 +53,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_residue(spark, d).select("article_no").distinct()
 
 
+def p6_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled articles with the text as far as it could be restored."""
+    return encoding.restore(articles(spark, d), "article_no", "body")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Articles with garbled text."""
+    return p6_restored(spark, d).select("article_no").distinct()
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every document with its container, for each capacity."""
     return packing.pack(sizes(spark, d).select("doc_id", "tokens"), table(spark, d, "containers"))
@@ -79,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_residue": p4_residue,
+    "p6_found": p6_found,
+    "p6_restored": p6_restored,
     "p8_found": p8_found,
     "p8_containers": p8_containers,
     "p9_mix": p9_mix,
