@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalogue import resolve_entry
 from ..session import table
-from . import capping, encoding, history, mixing, packing
+from . import boilerplate, capping, encoding, history, mixing, packing
 from . import residue as residue_
 
 
@@ -53,6 +53,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_residue(spark, d).select("article_no").distinct()
 
 
+def sound_articles(spark: SparkSession, d: str) -> DataFrame:
+    """The articles without those that ``p4_found`` lists."""
+    return articles(spark, d).join(p4_found(spark, d), "article_no", "left_anti")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of article bodies that are the site's, not the article's own."""
+    rows = sound_articles(spark, d).select("article_no", "body", "url", "sourceDomain", "title")
+    rows = boilerplate.with_host(rows, table(spark, d, "sources").select("source", "sourceDomain"))
+    return boilerplate.main_body(rows, "article_no", "body", "host", "site", "title").distinct()
+
+
 def p6_restored(spark: SparkSession, d: str) -> DataFrame:
     """Garbled articles with the text as far as it could be restored."""
     return encoding.restore(articles(spark, d), "article_no", "body")
@@ -89,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_residue": p4_residue,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_restored": p6_restored,
     "p8_found": p8_found,
