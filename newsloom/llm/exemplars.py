@@ -26,7 +26,7 @@ FILLER = [
     "Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium totam rem aperiam eaque ipsa quae ab illo inventore veritatis",
     "Vestibulum ante ipsum primis in faucibus orci luctus et ultrices posuere cubilia curae nullam quis ligula vitae porta mattis tempora ornatus urbana talis sedula",
     "loremis ipsum dolor amet elitum magnis aliquo vestra tempora nullam cumque itaque porta mattis quam fringo semperis talis ornatus urbana sedula dolent vitae ligula",
-    "This is placeholder text. Replace it before publishing.", "Your headline here", "Your subheading here", "Your story here", "Your text here", "Your content goes here", "Click to edit this text", "Add your text here", "Type something here", "Enter your content", "Insert body text here", "Sample text sample text", "Dummy text, please replace.", "Text goes here. Text goes here.", "Body copy to come. Body copy to come.", "Copy to follow.", "Content coming soon.", "This is where the intro goes. Keep it to two sentences.", "This is where the body goes.", "Write your paragraph here.", "Test test test", "asdf asdf asdf", "blah blah blah",
+    "This is placeholder text. Replace it before publishing.", "Sample paragraph. Replace this text with your own copy before publishing.", "Replace this paragraph with your own text.", "Your headline here", "Your subheading here", "Your story here", "Your text here", "Your content goes here", "Click to edit this text", "Add your text here", "Type something here", "Enter your content", "Insert body text here", "Sample text sample text", "Dummy text, please replace.", "Text goes here. Text goes here.", "Body copy to come. Body copy to come.", "Copy to follow.", "Content coming soon.", "This is where the intro goes. Keep it to two sentences.", "This is where the body goes.", "Write your paragraph here.", "Test test test", "asdf asdf asdf", "blah blah blah",
     "The quick brown fox jumps over the lazy dog",
     "Blindtext, bitte ersetzen.", "Hier steht Blindtext.", "Dies ist ein Platzhaltertext.", "Text folgt in Kürze.", "Ihr Text hier", "Beispieltext, bitte ersetzen", "Hier steht später der Artikel.",
     "Texte de remplissage à remplacer.", "Faux texte, à remplacer.", "Votre texte ici", "Votre titre ici", "Texte à venir. Texte à venir.", "Contenu à venir.", "Ceci est un texte provisoire.",

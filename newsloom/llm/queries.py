@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalogue import resolve_entry
 from ..session import table
-from . import boilerplate, capping, encoding, history, mixing, packing
+from . import boilerplate, capping, encoding, history, language, mixing, packing
 from . import residue as residue_
 
 
@@ -58,6 +58,25 @@ def sound_articles(spark: SparkSession, d: str) -> DataFrame:
     return articles(spark, d).join(p4_found(spark, d), "article_no", "left_anti")
 
 
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of the segments of article bodies and of ``summaryZh``; garbled bodies are read in their restored form."""
+    profiles = language.train(table(spark, d, "documents"), "text", "lang")
+    rows = sound_articles(spark, d).select("article_no", "body", "title")
+    rows = rows.join(p6_restored(spark, d).select("article_no", "restored"), "article_no", "left")
+    texts = rows.select(F.lit("articles").alias("tbl"), F.col("article_no").alias("rec_no"), F.coalesce("restored", "body").alias("text"))
+    summaries = table(spark, d, "items").where(F.col("summaryZh") != "").select(F.lit("items").alias("tbl"), F.col("row_id").alias("rec_no"), F.col("summaryZh").alias("text"))
+    return language.label_segments(texts.unionByName(summaries), ["tbl", "rec_no"], "text", profiles)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of a text that its label (zh for ``summaryZh``) does not state."""
+    found = p2_segments(spark, d).where("n_whole > 0").select("tbl", "rec_no", "lang").distinct()
+    stated = articles(spark, d).select(F.lit("articles").alias("tbl"), F.col("article_no").alias("rec_no"), language.stated_column(F.col("lang")).alias("_stated"))
+    out = found.join(stated, ["tbl", "rec_no"], "left")
+    said = F.when(F.col("tbl") == "items", F.lit("zh")).otherwise(F.col("_stated"))
+    return out.where(said.isNull() | (F.col("lang") != said)).select("tbl", "rec_no", "lang")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines of article bodies that are the site's, not the article's own."""
     rows = sound_articles(spark, d).select("article_no", "body", "url", "sourceDomain", "title")
@@ -98,6 +117,8 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_segments": p2_segments,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_residue": p4_residue,

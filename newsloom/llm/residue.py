@@ -17,6 +17,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +64,24 @@ def tokens(line: str) -> list[str]:
     return out
 
 
+def scanner(words: Iterator[str]) -> ahocorasick.Automaton:
+    """All words at once, in one pass over a text."""
+    found = ahocorasick.Automaton()
+    for w in words:
+        if w[0] not in "⟦0":
+            found.add_word(w, w)
+    found.make_automaton()
+    return found
+
+
+def scan(found: ahocorasick.Automaton, folded: str) -> Iterator[str]:
+    """The scanner's words in a folded text; words of an alphabet only where they stand alone."""
+    n = len(folded)
+    for end, w in found.iter(folded):
+        if "぀" <= w[0] <= "鿿" or not (end + 1 < n and folded[end + 1].isalpha() or end >= len(w) and folded[end - len(w)].isalpha()):
+            yield w
+
+
 def prose_lines(body: str) -> list[str]:
     """The lines of a text outside code fences, without back-ticked spans and quotations."""
     out, code = [], False
@@ -103,12 +122,26 @@ class Index:
             long = self.kinds[i] == "filler" and len(s) > 12
             slack, left = (0.45 if self.kinds[i] == "placeholder" else 1 - HOLDS) * self.full[i], 0.0
             for t in sorted(s, key=lambda t: (-self.weight[t], t)):
+                if long and len(t) < 5:
+                    continue
                 self.post[t].append(i)
                 left += self.weight[t]
                 if left > slack and not long:
                     break
+        self.filed = frozenset(self.post)
         return self
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "scanner"}
+
+    def may_match(self, body: str) -> bool:
+        """Whether a text has any word an exemplar is filed under, or a mark of a template language."""
+        if _HINT.search(body):
+            return True
+        if "scanner" not in self.__dict__:
+            self.scanner = scanner(self.post)
+        return next(scan(self.scanner, body.casefold()), None) is not None
+
     def best(self, window: list[str], noted: bool = False) -> str | None:
         """The kind of the exemplar that matches a window, None if none does."""
         have = set(window)
@@ -135,7 +168,7 @@ class Index:
 
     def judge(self, body: str | None) -> str | None:
         """The kind of residue a text is or holds: placeholder, filler, error, gate; None if it is sound."""
-        if not body:
+        if not body or not self.may_match(body):
             return None
         matched: Counter = Counter()
         size = 0
@@ -175,11 +208,12 @@ def corpus_index(texts: DataFrame, text: str) -> Index:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
+        all_words = scanner(vocabulary)
         for df in batches:
             for body in df.iloc[:, 0]:
                 seen[""] += 1
                 if body:
-                    seen.update({t for line in prose_lines(body) for t in tokens(line)} & vocabulary)
+                    seen.update(set(scan(all_words, body.casefold())))
         yield pd.DataFrame({"t": list(seen), "n": list(seen.values())}, columns=["t", "n"])
 
     rows = texts.select(text).mapInPandas(count, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()
