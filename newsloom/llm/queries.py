@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalogue import resolve_entry
 from ..session import table
-from . import boilerplate, capping, encoding, history, language, mixing, packing
+from . import boilerplate, capping, encoding, history, language, mixing, packing, truncation
 from . import residue as residue_
 
 
@@ -94,6 +94,29 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_restored(spark, d).select("article_no").distinct()
 
 
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    sources = table(spark, d, "sources").select("source", "aliases", "sourceDomain", "lang")
+    bodies = sound_articles(spark, d).withColumn("label", language.stated_column(F.col("lang"))).select("source", "sourceDomain", F.lit("articles").alias("tbl"), F.col("article_no").alias("rec_no"), "label", F.col("body").alias("text"))
+    summaries = table(spark, d, "items").select("source", "sourceDomain", F.lit("items").alias("tbl"), F.col("row_id").alias("rec_no"), F.lit(None).cast("string").alias("label"), F.col("summary").alias("text"))
+    rows = resolve_entry(bodies.unionByName(summaries), sources)
+    return rows.select("tbl", "rec_no", F.coalesce("label", "entry_lang").alias("lang"), F.coalesce("entry", "source").alias("source"), "text").where(F.col("text") != "")
+
+
+def p7_cut(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies and summaries that were cut off, with the log-odds and the reason."""
+    return truncation.cut_values(_values(spark, d))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies and summaries that were cut off."""
+    return p7_cut(spark, d).select("tbl", "rec_no").distinct()
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The share of cut bodies and summaries per source."""
+    return truncation.rates(_values(spark, d), p7_cut(spark, d))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every document with its container, for each capacity."""
     return packing.pack(sizes(spark, d).select("doc_id", "tokens"), table(spark, d, "containers"))
@@ -125,6 +148,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_restored": p6_restored,
+    "p7_found": p7_found,
+    "p7_cut": p7_cut,
+    "p7_rates": p7_rates,
     "p8_found": p8_found,
     "p8_containers": p8_containers,
     "p9_mix": p9_mix,
