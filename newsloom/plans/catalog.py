@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict = {}
+from . import archive, feed, metrics  # noqa: F401 - they register their queries
+from .registry import QUERIES, SQL
+
+FLAGSHIP = "proj03_search_entries"
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
