@@ -172,13 +172,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_clean": p10_clean,
 }
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-_FOLD = "nullif(trim(regexp_replace(regexp_replace(lower(translate({0}, '" + _WIDE + "', '" + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE).replace("'", "''") + "')), '[\\s\\x{{a0}}\\x{{3000}}]+', ' ', 'g'), ' *[(\\[]?\\b(rss|atom|feed)\\b[)\\]]? *$', '')), '')"
+_FOLD = "nullif(trim(regexp_replace(regexp_replace(lower(translate(COL, '" + _WIDE + "', '" + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE).replace("'", "''") + "')), '[\\s\\x{a0}\\x{3000}]+', ' ', 'g'), ' *[(\\[]?\\b(rss|atom|feed)\\b[)\\]]? *$', '')), '')"
 _HOST = "nullif(regexp_replace(regexp_replace(lower(trim({0})), '^(www\\d?|m|amp|mobile)\\.', ''), '\\.+$', ''), '')"
 #: The rules of the operators that SQL can say, for the checks.
 SQL: dict[str, str] = {
-    "p1_found": f"""with names as (select {_FOLD.format("unnest(list_append(coalesce(aliases, []), source))")} as n, source as entry, max_per_batch from sources),
+    "p1_found": f"""with names as (select {_FOLD.replace("COL", "unnest(list_append(coalesce(aliases, []), source))")} as n, source as entry, max_per_batch from sources),
 hosts as (select {_HOST.format('"sourceDomain"')} as h, source as entry, max_per_batch from sources),
-told as (select i.row_id, i.batch_no, i.score, coalesce(n.entry, h.entry) as entry, case when n.entry is not null then n.max_per_batch else h.max_per_batch end as m from (select *, {_FOLD.format("source")} as fn, {_HOST.format('"sourceDomain"')} as fh from items) i left join names n on n.n = i.fn left join hosts h on h.h = i.fh),
+told as (select i.row_id, i.batch_no, i.score, coalesce(n.entry, h.entry) as entry, case when n.entry is not null then n.max_per_batch else h.max_per_batch end as m from (select *, {_FOLD.replace("COL", "source")} as fn, {_HOST.format('"sourceDomain"')} as fh from items) i left join names n on n.n = i.fn left join hosts h on h.h = i.fh),
 ranked as (select row_id, m, row_number() over (partition by entry, batch_no order by score desc nulls last, row_id) as r from told where m is not null)
 select row_id from ranked where r > m""",
     "p8_found": "select capacity_tokens, doc_id from documents, containers where coalesce(n_tokens, strlen(text)) > capacity_tokens",
