@@ -31,7 +31,9 @@ from ..session import materialize
 
 DIM = 1 << 21
 #: Share of a vector's squared length that its cells must hold: the search radius (squared, relative).
-RADIUS = 0.35
+RADIUS = 0.45
+#: Texts that the weights assume at least: in a small first block a slip must not outweigh a headline.
+LEAST_TEXTS = 10_000
 #: Shared n-grams (Dice) from which two headlines with the same numbers tell one story.
 SIMILAR = 0.72
 #: Share of a cut headline's n-grams that the whole one must have.
@@ -159,7 +161,8 @@ def _keys(batches: Iterator[pd.DataFrame], names: frozenset[str]) -> Iterator[pd
             t, cut = plain_title(title)
             t = strip_site(t, names)
             f = fold(t)
-            out.append((row, page_key(url), (f + ("…" if cut else "")) if f else None, t, f, cut))
+            key = page_key(url)
+            out.append((row, key or (None if f else f"#{row}"), (f + ("…" if cut else "")) if f else None, t, f, cut))
         yield pd.DataFrame(out, columns=["row_id", "u", "t", "raw", "folded", "cut"])
 
 
@@ -192,7 +195,7 @@ class HistoryIndex:
         got = texts.select("folded").mapInPandas(count, "b long, n long").groupBy("b").agg(F.sum("n").cast("int").alias("n")).select(F.col("b").cast("int").alias("b"), "n").toPandas()
         df = np.zeros(DIM, dtype=np.int64)
         df[got["b"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
-        total = max(2, texts.count())
+        total = max(LEAST_TEXTS, texts.count())
         self.weight = np.log((total + 1) / (df + 0.5)).clip(0.05).astype(np.float32)
 
     def ingest(self, block: DataFrame) -> DataFrame:

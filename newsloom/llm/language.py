@@ -193,9 +193,9 @@ def label_segments(texts: DataFrame, keys: list[str], text: str, profiles: Profi
 
 def document_language(segments: DataFrame, keys: list[str]) -> DataFrame:
     """The main language of every text, by length, with its share as confidence."""
-    size = segments.groupBy(*keys, "lang").agg(F.sum(F.col("end_pos") - F.col("start_pos") + 1).alias("n"), F.max("confidence").alias("c"))
-    whole = size.groupBy(*keys).agg(F.max_by(F.struct("lang", "n"), F.struct("n", "lang")).alias("m"), F.sum("n").alias("all"))
-    return whole.select(*keys, F.col("m.lang").alias("lang"), (F.col("m.n") / F.col("all")).alias("confidence"))
+    size = segments.groupBy(*keys, F.col("lang").alias("_lang")).agg(F.sum(F.col("end_pos") - F.col("start_pos") + 1).alias("_n"))
+    whole = size.groupBy(*keys).agg(F.max_by(F.struct("_lang", "_n"), F.struct("_n", "_lang")).alias("_m"), F.sum("_n").alias("_all"))
+    return whole.select(*keys, F.col("_m._lang").alias("lang"), (F.col("_m._n") / F.col("_all")).alias("confidence"))
 
 
 def stated_column(label: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .pii_train import KINDS, labelled
 
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
-WINDOW, STRIDE = 160, 96
+WINDOW, STRIDE = 240, 192
 HIDDEN, EMBED, CHARS = 28, 20, 640
 #: Labelled texts, corpus texts around them, passes of training.
 LABELLED, SAMPLE, PASSES = 5_000, 400, 4
@@ -107,7 +107,7 @@ class Tagger:
     def fit(self, texts: list[tuple[str, list[tuple[int, int, str]]]], passes: int = PASSES, batch: int = 32, rate: float = 0.01) -> Tagger:
         """Maximises the CRF likelihood of the labelled spans with Adam."""
         order = sorted(range(len(texts)), key=lambda i: len(texts[i][0]))
-        xs = [encode(texts[i][0][: 2 * WINDOW]) for i in order]
+        xs = [encode(texts[i][0][: 320]) for i in order]
         ys = []
         for i, x in zip(order, xs):
             y = np.zeros(len(x), np.int64)
@@ -291,7 +291,7 @@ def check(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int,
             if k == "email" and (text[max(0, a - 1) : a] == "@" or text[a:b].lower().startswith("git@") or text[b : b + 1] == ":"):
                 continue
         elif k == "person":
-            while a > 0 and _WORD.match(text[a - 1]) and text[a].isascii() and text[a - 1].isascii():
+            while a > 0 and text[a].isascii() and (text[a - 1].isascii() and _WORD.match(text[a - 1]) or a > 1 and text[a - 1] == "-" and text[a - 2].isalpha()):
                 a -= 1
             while b < len(text) and text[b - 1].isascii() and text[b].isascii() and _WORD.match(text[b]):
                 b += 1
@@ -368,7 +368,7 @@ def find(texts: DataFrame, ident: str, text: str, tagger: Tagger) -> DataFrame:
     return out.withColumnRenamed("_id", ident)
 
 
-def main(documents: str, names: str, size: int = 14_000, passes: int = 7) -> None:
+def main(documents: str, names: str, size: int = 24_000, passes: int = 9) -> None:
     """Trains the tagger on the labelled spans and writes its weights beside this module."""
     import pyarrow.dataset as ds
 

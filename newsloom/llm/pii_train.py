@@ -29,6 +29,7 @@ NEGATIVE = [
 TITLES = ["Dr.", "Prof.", "Mr", "Ms", "Mrs.", "Dr"]
 ORG = ["Labs", "Research", "Institute", "Systems", "Works", "AI", "Group", "GmbH", "Inc"]
 GIVEN_SIGNS, FAMILY_SIGNS = "云远知松澄映禾棠岑川微笛舟伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平刚", "麓汀屿岚笙榆砚王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗"
+PLACE_SIGNS = "青云石松溪桥泽岭秋知望舒听雨涛中山东西南北新华长安和平江海城建设文化人民解放光明胜利金湖花园"
 EN_STREET = ["Street", "St", "St.", "Road", "Rd.", "Rd", "Avenue", "Ave", "Lane", "Close", "Terrace", "Drive", "Way", "Court"]
 JA_FAMILY = ["佐藤", "鈴木", "高橋", "田中", "伊藤", "渡辺", "山本", "中村", "小林", "加藤"]
 _SIGN = re.compile(
@@ -72,13 +73,13 @@ class Maker:
         return self.r.choice(JA_FAMILY) + (self.r.choice(["", "健一", "美咲", "翔"]))
 
     def digits(self, shape: str) -> str:
-        return "".join(self.r.choice("0123456789") if c == "9" else c for c in shape)
+        return "".join(self.r.choice("0123456789") if c == "9" else self.r.choice("ABCDEFGHJKLMNPQRSTVWXYZ") if c == "?" else c for c in shape)
 
     def F(self) -> str:
-        return self.digits(self.r.choice(["(999) 555-0999", "999-555-0999", "+19995550999", "+1 999 555 0999", "999.555.0999", "+44 20 7999 0999", "020 7999 0999", "555-0999", "+49 30 99999999", "(030) 99999-999", "030 99999999", "0199009999", "01 99 00 99 99", "+33 1 99 00 99 99", "900 555 999", "900-555-999", "+34 900 555 999", "(11) 95559-9999", "+55 11 95559 9999", "199-0000-9999", "+86 199 0000 9999", "010-99999999", "19900009999", "+81 3 5559 9999", "03-5559-9999", "+999 99 999 9999", "0049 30 999999"]))
+        return self.digits(self.r.choice(["(999) 555-0999", "999-555-0999", "+19995550999", "+1 999 555 0999", "999.555.0999", "+44 20 7999 0999", "020 7999 0999", "555-0999", "+49 30 99999999", "(030) 99999-999", "030 99999999", "0199009999", "01 99 00 99 99", "01.99.00.99.99", "09 99 99 99 99", "+33 1 99 00 99 99", "+33 9 99 99 99 99", "900 555 999", "900-555-999", "900555999", "999-999-999", "+34 900 555 999", "(11) 95559-9999", "+55 11 95559 9999", "199-0000-9999", "+86 199 0000 9999", "010-99999999", "19900009999", "+81 3 5559 9999", "03-5559-9999", "+999 99 999 9999", "0049 30 999999", "0049-30-99999999", "030 99999 999", "+49-30-99999999", "+442079460999", "02079460999"]))
 
     def I(self) -> str:  # noqa: E743
-        return self.digits(self.r.choice(["999-99-9999", "999 99 9999", "999999999", "X99999999", "Q99999999", "99 999 999 999", "99999999999", "9 99 99 99 999 999 99", "999999999999999", "99999999X", "99.999.999-9", "999.999.999-99", "990999199999999999", "AB999999C", "99999999199999999X", "C9999999"]))
+        return self.digits(self.r.choice(["999-99-9999", "999-99-9999", "999 99 9999", "999999999", "?99999999", "?99999999", "99 999 999 999", "99999999999", "9 99 99 99 999 999 99", "999999999999999", "99999999?", "99999999-?", "99.999.999-9", "999.999.999-99", "990999199999999999", "99999919999999999X", "??999999?", "?9999999", "999999-999?"]))
 
     def E(self) -> str:
         g, f = self.syllables(self.r.choice([2, 3])), (self.r.choice(self.family) if self.r.random() < 0.5 else self.syllables(3)).lower()
@@ -94,19 +95,20 @@ class Maker:
         zip5 = self.digits("99999")
         town = self.word()
         x = r.random()
-        if x < 0.5:
+        if x < 0.45:
             out = f"{n} {w} {r.choice(EN_STREET)}"
             out += r.choice(["", "", f", Apt {r.randrange(1, 30)}", f", Unit {r.choice('ABCDEF')}", f", Suite {r.randrange(1, 40)}"])
             return out + r.choice(["", f", {town}", f", {town}ford {zip5}", f", {town}ton", f", {town} {zip5}"])
-        if x < 0.64:
+        if x < 0.57:
             return f"{w}{r.choice(['straße', 'weg', 'platz', 'allee', 'gasse', 'str.'])} {n}{r.choice(['', 'a', 'b'])}, {zip5} {town}{r.choice(['bruck', 'stadt', ''])}"
-        if x < 0.76:
+        if x < 0.68:
             return f"{n}{r.choice(['', ' bis', ' ter'])} {r.choice(['rue', 'avenue', 'allée', 'boulevard', 'impasse'])} {r.choice(['de ', 'du ', 'des ', ''])}{w}, {zip5} {town}ville"
-        if x < 0.88:
+        if x < 0.79:
             return f"{r.choice(['Calle', 'Avenida', 'Paseo', 'Plaza', 'Rua', 'Travessa'])} {r.choice(['de ', 'del ', ''])}{w} {n}{r.choice(['', f', {r.randrange(1, 9)}.º {r.choice('ABCD')}'])}, {zip5} {town}"
-        if x < 0.96:
+        if x < 0.97:
             s = r.choice
-            return f"{s(['', s(GIVEN_SIGNS) + s(GIVEN_SIGNS) + '市'])}{s(['', s(GIVEN_SIGNS) + s(FAMILY_SIGNS) + '区'])}{s(GIVEN_SIGNS)}{s(FAMILY_SIGNS)}{s(['路', '街', '大道', '巷'])}{n}号{s(['', f'{r.randrange(1, 30)}室', f'{r.randrange(1, 29)}栋{r.randrange(1, 600)}室'])}"
+            z = lambda: s(PLACE_SIGNS) + s(PLACE_SIGNS)
+            return f"{s(['', '', z() + '市'])}{s(['', z() + '区', z() + '区'])}{z()}{s(['路', '街', '大道', '巷'])}{n}号{s(['', f'{r.randrange(1, 30)}室', f'{r.randrange(1, 29)}栋{r.randrange(1, 600)}室'])}"
         return f"{r.choice(['東京都', '大阪府'])}{r.choice(['港区', '北区', '中央区'])}{r.choice(['青山', '本町', '芝'])}{r.randrange(1, 9)}-{r.randrange(1, 20)}-{r.randrange(1, 20)}"
 
     def carrier(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
