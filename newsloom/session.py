@@ -6,12 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its counted rows times its row width stay under this many bytes.
 BROADCAST_BYTES = 32 << 20
+_shipped = ""
 
 
 def builder(cores: str | int = "*", app: str = "newsloom") -> SparkSession.Builder:
@@ -27,6 +30,22 @@ def builder(cores: str | int = "*", app: str = "newsloom") -> SparkSession.Build
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the session's Python workers, once per application; on a cluster they don't share its folder."""
+    global _shipped
+    app = spark.sparkContext.applicationId
+    if _shipped == app:
+        return
+    root = Path(__file__).resolve().parent
+    made = Path(tempfile.mkdtemp(prefix="newsloom-code-"))
+    atexit.register(shutil.rmtree, made, True)
+    with zipfile.ZipFile(made / "newsloom_code.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(made / "newsloom_code.zip"))
+    _shipped = app
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir``; columns are pruned by the plan that follows."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
