@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.catalogue import resolve_entry
-from ..session import table
+from ..session import materialize, table
 from . import boilerplate, capping, encoding, history, language, mixing, packing, pii, truncation
 from . import residue as residue_
 
@@ -54,8 +54,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sound_articles(spark: SparkSession, d: str) -> DataFrame:
-    """The articles without those that ``p4_found`` lists."""
-    return articles(spark, d).join(p4_found(spark, d), "article_no", "left_anti")
+    """The articles without those that ``p4_found`` lists, which is worked out once."""
+    return articles(spark, d).join(materialize(p4_found(spark, d), "residue"), "article_no", "left_anti")
 
 
 def p2_segments(spark: SparkSession, d: str) -> DataFrame:
