@@ -14,7 +14,7 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 
 # fixed values: carrier sentences; slots in braces
 CARRIERS = [
-    "{P}, who leads the evaluation group, said the numbers would be rerun.", "According to {T} {P}, the pilot ends in May.", "According to {P}, the release was late.", "Signed, {P}", "An earlier draft thanked {P} and {P} for their notes.", "Moderator note: {P} asked us to remove the home address {A} from the thread.", "The leaked form still showed {P}, passport {I}, living at {A}.", "Please ship the cards to {A}, attention {P}.", "Questions can be sent to {P} at {E}.", "To reproduce the run, write to {P} ({E}) or call {F} during office hours.", "Text {F} if the demo box goes down again.", "Contact: {E}, tel. {F}", "The sample prompt contained a taxpayer number, {I}, which nobody had masked.", "My badge number {I} is rejected by the portal, can someone check?", "user_record = {{\"name\": \"{P}\", \"ssn\": \"{I}\", \"tel\": \"{F}\"}}", "row {N};{P};{E};{A};{F}", "The meetup is at {A}, ring twice.", "{F}", "Write to {E} or {E} for access.", "Thanks to {P} for the patch.", "Reviewed by {P} on Monday.", "SSN: {I}. Call {F}.", "{P} (phone {F}) lives at {A}.", "Interview with {P}: the model, {T} {P} says, is ready.", "From: {P} <{E}>", "Mr {P} and Ms {P} signed it.", "{P} wrote: please reply to {E}.", "Ship to {P}, {A}.", "An email from {E} arrived at noon.",
+    "{P}, who leads the evaluation group, said the numbers would be rerun.", "According to {T} {P}, the pilot ends in May.", "According to {P}, the release was late.", "Signed, {P}", "An earlier draft thanked {P} and {P} for their notes.", "Moderator note: {P} asked us to remove the home address {A} from the thread.", "The leaked form still showed {P}, passport {I}, living at {A}.", "Please ship the cards to {A}, attention {P}.", "Send the parcels to {A}, attention {P}.", "attention {P}.", "living at {A}.", "remove the address {A} from the page.", "Questions can be sent to {P} at {E}.", "To reproduce the run, write to {P} ({E}) or call {F} during office hours.", "Text {F} if the demo box goes down again.", "Contact: {E}, tel. {F}", "The sample prompt contained a taxpayer number, {I}, which nobody had masked.", "My badge number {I} is rejected by the portal, can someone check?", "user_record = {{\"name\": \"{P}\", \"ssn\": \"{I}\", \"tel\": \"{F}\"}}", "row {N};{P};{E};{A};{F}", "The meetup is at {A}, ring twice.", "{F}", "Write to {E} or {E} for access.", "Thanks to {P} for the patch.", "Reviewed by {P} on Monday.", "SSN: {I}. Call {F}.", "{P} (phone {F}) lives at {A}.", "Interview with {P}: the model, {T} {P} says, is ready.", "From: {P} <{E}>", "Mr {P} and Ms {P} signed it.", "{P} wrote: please reply to {E}.", "Ship to {P}, {A}.", "An email from {E} arrived at noon.",
     "Frau {P} leitet die Gruppe seit März.", "Herr {P} war nicht dabei.", "Die Unterlagen gehen an {P}, {A}.", "Treffpunkt ist {A}, bitte klingeln.", "Im Datensatz stand noch die Steuernummer {I} von {P}.", "Fragen beantwortet {P} unter {E} oder telefonisch unter {F}.", "Kontakt: {E}, Tel. {F}", "Laut {P} endet der Test im Mai.",
     "Selon {P}, le pilote prendra fin en mai.", "Le dossier mentionnait encore {P}, domicile {A}.", "Pour toute question, écrivez à {P} ({E}) ou appelez le {F}.", "Le numéro de sécurité sociale {I} figurait dans l’exemple.", "M. {P} et Mme {P} ont signé.", "Contact : {E}, tél. {F}",
     "Según {P}, el piloto termina en mayo.", "El formulario aún mostraba a {P}, con domicilio en {A}.", "Para cualquier duda, escriba a {P} ({E}) o llame al {F}.", "Contacto: {E}, tel. {F}", "El DNI {I} seguía en la muestra.", "La muestra contenía el documento {I} de {P}.",
@@ -138,10 +138,15 @@ def labelled(given: list[str], family: list[str], corpus: list[str], size: int,
     for i in range(size):
         x = r.random()
         text, spans = make.carrier(r.choice(CARRIERS)) if x < 0.55 else make.carrier(r.choice(NEGATIVE)) if x < 0.75 else (r.choice(calm), [])
-        if r.random() < 0.6:
-            before = r.choice(calm)[-60:] + r.choice([" ", "\n", " "])
+        if r.random() < 0.75:
+            before = "".join(r.choice(calm) + r.choice([" ", "\n", " "]) for _ in range(r.choice([1, 1, 2])))[-r.choice([40, 90, 140]) :]
             text, spans = before + text, [(a + len(before), b + len(before), k) for a, b, k in spans]
-        if r.random() < 0.5:
-            text += r.choice([" ", "\n"]) + r.choice(calm)[:60]
+        if r.random() < 0.3:
+            more, at = make.carrier(r.choice(CARRIERS))
+            text += r.choice([" ", "\n"])
+            spans += [(a + len(text), b + len(text), k) for a, b, k in at]
+            text += more
+        if r.random() < 0.65:
+            text += r.choice([" ", "\n"]) + r.choice(calm)[: r.choice([40, 120])]
         out.append((text, spans))
     return out
