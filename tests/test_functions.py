@@ -50,3 +50,20 @@ def test_merge_streaks_rolling_diff(spark):
     assert [r["streak"] for r in streaks(df, ["k"], [F.col("i")], F.col("bad") == 1).orderBy("i").collect()] == [1, 2, 0, 1, 2, 3]
     assert [r["n"] for r in rolling(df, ["k"], F.col("i"), 2, {"n": F.count("*")}).orderBy("i").collect()] == [1, 2, 3, 3, 3, 3]
     assert sorted(tuple(r) for r in diff(new, old, ["id"]).collect()) == [("b", "missing"), ("c", "extra")]
+
+
+def test_chunks_equal_a_loop(spark):
+    import random
+
+    from newsloom.operators.chunks import chunks
+
+    r = random.Random(9)
+    rows = [(g, i, r.randrange(0, 400)) for g in range(5) for i in range(30)] + [(9, 0, None)]
+    got = {(x["g"], x["i"]): x["chunk_no"] for x in chunks(spark.createDataFrame(rows, "g int, i int, n int"), "g", "i", "n", 500, 4).collect()}
+    for g in (*range(5), 9):
+        no = chars = held = 0
+        for _, i, n in sorted(x for x in rows if x[0] == g):
+            if held == 0 or held >= 4 or chars + (n or 0) > 500:
+                no, chars, held = no + 1, 0, 0
+            chars, held = chars + (n or 0), held + 1
+            assert got[g, i] == no
