@@ -63,3 +63,14 @@ def test_stream_merge_and_windows(spark, tmp_path):
     assert got["A story"]["published"] == "2026-01-02" and got["A story"]["score"] == 5 and got["A story"]["url"] == "u3" and "Other" in got
     events = spark.readStream.format("rate").load()
     assert deduplicated(events, "value", "timestamp").isStreaming and tumbling(events, "timestamp").isStreaming and len(COLUMNS) == 7
+
+
+def test_pages(spark):
+    from newsloom.functions.markup import largest, page_blocks, read_pages
+
+    page = "<html><head><title>x</title></head><body><nav>Menu</nav><h2>Head</h2><p>One <b>two</b>&amp; three</p><ul><li>item</li></ul><blockquote><p>said</p></blockquote><pre>a = 1\nb = 2</pre><img src='i.png' alt='pic'><script>no()</script></body></html>"
+    body, images = page_blocks(page)
+    assert body == "## Head\n\nOne two& three\n\n- item\n\n> said\n\n```\na = 1\nb = 2\n```" and images == [("i.png", "pic")]
+    assert page_blocks(None) == ("", []) and largest("a.png 1x, b.png 2x") == "b.png"
+    got = {r["n"]: r for r in read_pages(spark.createDataFrame([(1, page), (2, None)], "n int, html string"), "n", "html").collect()}
+    assert got[1]["images"][0]["alt"] == "pic" and got[2]["body"] == ""
