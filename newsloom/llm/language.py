@@ -47,6 +47,7 @@ _FENCE = re.compile(r"^\s*(?:```|~~~)")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"”»’)]*\s+(?=[^a-zà-ÿ\s])|(?<=[。！？])(?![”’」』）\"])|(?<=[。！？][”’」』）\"])")
 _DROP = re.compile(r"`[^`\n]*`|https?://\S+|\w+@\S+|“[^”]{1,60}”|«[^»]{1,60}»|「[^」]{1,30}」|„[^“”]{1,60}[“”]|\d[\d.,%]*")
 _WHOLE = re.compile(r"[.!?。！？][\"”»’)」』）]*\s*$")
+_NO_LETTER = re.compile(r"[^\w'’]|[\d_]")
 _SIGN = re.compile(r"[぀-ヿ㐀-鿿]")
 
 
@@ -60,8 +61,7 @@ def stated(label: str | None) -> str | None:
 
 def letters(sentence: str) -> str:
     """A sentence as its words, one blank between; only letters count."""
-    text = _DROP.sub(" ", sentence)
-    return " ".join("".join(c if c.isalpha() or c in "’'" else " " for c in text.casefold()).split())
+    return " ".join(_NO_LETTER.sub(" ", _DROP.sub(" ", sentence).casefold()).split())
 
 
 def ngrams(plain: str) -> Counter:
@@ -88,48 +88,95 @@ def sentences(text: str) -> Iterator[tuple[int, str]]:
         at += len(line) + 1
 
 
+def hashed(text: str) -> list[np.ndarray]:
+    """Per length 1 to 4 the hash of the n-gram that ends at each character."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+    out = []
+    with np.errstate(over="ignore"):
+        h = np.zeros(len(c), np.uint64)
+        for n in range(4):
+            before = np.concatenate([np.zeros(min(n, len(c)), np.uint64), c[: max(0, len(c) - n)]])
+            h = h * np.uint64(0x100000001B3) + before * np.uint64(0x9E3779B97F4A7C15)
+            x = h ^ (h >> np.uint64(31)) ^ np.uint64(n + 1)
+            out.append(x * np.uint64(0xBF58476D1CE4E5B9))
+    return out
+
+
 class Profiles:
     """Rank-order profiles of ``LANGS``: a row of ranks per n-gram, ``PROFILE`` where a language lacks it."""
 
     def __init__(self, ranks: dict[str, dict[str, int]]) -> None:
         grams = sorted({g for r in ranks.values() for g in r})
-        self.row = {g: i for i, g in enumerate(grams)}
         self.langs = [x for x in LANGS if x in ranks]
-        self.ranks = np.full((len(grams), len(self.langs)), PROFILE, dtype=np.float32)
+        hashes = np.array([hashed(g)[len(g) - 1][-1] for g in grams], dtype=np.uint64)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        row = {grams[i]: n for n, i in enumerate(order)}
+        # the last row is for n-grams that no profile has
+        self.ranks = np.full((len(grams) + 1, len(self.langs)), PROFILE, dtype=np.float32)
         for j, lang in enumerate(self.langs):
             for g, r in ranks[lang].items():
-                self.ranks[self.row[g], j] = r
-
-    def nearest(self, sentence: str) -> tuple[str | None, float]:
-        """The language of a sentence and the confidence (0 to 1); None where it has too few letters."""
-        plain = letters(sentence)
-        signs = len(_SIGN.findall(plain))
-        if signs < SIGNS and len(plain) - plain.count(" ") - signs < LETTERS:
-            return None, 0.0
-        mine = sorted(ngrams(plain).items(), key=lambda x: (-x[1], x[0]))
-        at, place, rank, last = [], [], 0, None
-        for k, (g, n) in enumerate(mine):
-            if n != last:
-                rank, last = k, n  # n-grams of one frequency share a place
-            if (i := self.row.get(g)) is not None:
-                at.append(i)
-                place.append(rank)
-        if not at:
-            return None, 0.0
-        table = self.ranks[at]
-        far = np.minimum(np.abs(table - np.asarray(place, dtype=np.float32)[:, None]), PROFILE).sum(axis=0) + PROFILE * (len(mine) - len(at))
-        order = np.argsort(far, kind="stable")
-        best = int(order[0])
-        if (table[:, best] < PROFILE).sum() < KNOWN * len(mine):
-            return None, 0.0
-        second = far[order[1]] if len(order) > 1 else PROFILE * len(mine)
-        return self.langs[best], float((second - far[best]) / max(second, 1.0))
-
-    def segments(self, text: str | None) -> list[tuple[int, int, str, float, int]]:
-        """(start, end, language, confidence, whole sentences) of a text's sentences, neighbours of one language joined."""
-        if not text:
-            return []
-        found = [(at, s, *self.nearest(s)) for at, s in sentences(text)]
+                self.ranks[row[g], j] = r
+
+    def nearest(self, found: list[str]) -> list[tuple[str | None, float]]:
+        """The language of every sentence and the confidence (0 to 1); None where it has too few letters or is unlike all."""
+        out: list[tuple[str | None, float]] = [(None, 0.0)] * len(found)
+        plain, which = [], []
+        for k, s in enumerate(map(letters, found)):
+            signs = len(_SIGN.findall(s))
+            if signs >= SIGNS or len(s) - s.count(" ") - signs >= LETTERS:
+                plain.append(f" {s} ")
+                which.append(k)
+        if not plain or not self.langs:
+            return out
+        text = "".join(plain)
+        size = np.array([len(s) for s in plain])
+        sid = np.repeat(np.arange(len(plain)), size)
+        since = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+        blank = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) == 32
+        h, at = [], []
+        for n, x in enumerate(hashed(text)):
+            ok = (since >= n) & ~blank if n == 0 else since >= n
+            h.append(x[ok])
+            at.append(sid[ok])
+        h, at = np.concatenate(h), np.concatenate(at)
+        with np.errstate(over="ignore"):
+            _, first, count = np.unique(h ^ (at.astype(np.uint64) + np.uint64(1)) * np.uint64(0x94D049BB133111EB), return_index=True, return_counts=True)
+        h, at = h[first], at[first]
+        order = np.lexsort((-count, at))
+        h, at, count = h[order], at[order], count[order]
+        starts = np.searchsorted(at, np.arange(len(plain)))
+        # n-grams of one frequency share a place: the number of those that are more frequent
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1]) | (count[1:] != count[:-1])
+        place = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0)) - starts[at]
+        row = np.searchsorted(self.hashes, h)
+        row[row >= len(self.hashes)] = 0
+        row = np.where(self.hashes[row] == h, row, len(self.hashes)) if len(self.hashes) else np.zeros(len(h), np.int64)
+        ranks = self.ranks[row]
+        lacks = ranks >= PROFILE
+        far = np.abs(ranks - place[:, None].astype(np.float32))
+        np.minimum(far, PROFILE, out=far)
+        far[lacks] = PROFILE
+        far = np.add.reduceat(far, starts, axis=0)
+        known = np.add.reduceat(~lacks, starts, axis=0, dtype=np.int64)
+        total = np.diff(np.append(starts, len(at)))
+        by = np.argsort(far, axis=1, kind="stable")
+        for n, k in enumerate(which):
+            best = by[n, 0]
+            if known[n, best] >= KNOWN * total[n]:
+                second = far[n, by[n, 1]] if len(self.langs) > 1 else PROFILE * total[n]
+                out[k] = (self.langs[best], float((second - far[n, best]) / max(second, 1.0)))
+        return out
+
+    def segments(self, texts: list[str | None]) -> list[list[tuple[int, int, str, float, int]]]:
+        """Per text the (start, end, language, confidence, whole sentences) of its sentences, neighbours of one language joined."""
+        found = [list(sentences(t)) if t else [] for t in texts]
+        told = iter(self.nearest([s for f in found for _, s in f]))
+        return [self._join([(at, s, *next(told)) for at, s in f]) for f in found]
+
+    @staticmethod
+    def _join(found: list[tuple[int, str, str | None, float]]) -> list[tuple[int, int, str, float, int]]:
         sure: Counter = Counter()
         for _, s, lang, conf in found:
             if lang:
@@ -181,11 +228,13 @@ def label_segments(texts: DataFrame, keys: list[str], text: str, profiles: Profi
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            out = []
-            for row in df.itertuples(index=False):
-                for n, (a, e, lang, c, whole) in enumerate(shared.value.segments(row[-1])):
-                    out.append((*row[:-1], n, a + 1, e, lang, c, whole))
-            yield pd.DataFrame(out, columns=[*keys, "seg_no", "start_pos", "end_pos", "lang", "confidence", "n_whole"])
+            for at in range(0, len(df), 400):
+                part = df.iloc[at : at + 400]
+                out = []
+                for row, segs in zip(part.itertuples(index=False), shared.value.segments(list(part["_text"]))):
+                    for n, (a, e, lang, c, whole) in enumerate(segs):
+                        out.append((*row[:-1], n, a + 1, e, lang, c, whole))
+                yield pd.DataFrame(out, columns=[*keys, "seg_no", "start_pos", "end_pos", "lang", "confidence", "n_whole"])
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", seg_no int, start_pos int, end_pos int, lang string, confidence double, n_whole int"
     return texts.select(*keys, F.col(text).alias("_text")).mapInPandas(label, schema)
