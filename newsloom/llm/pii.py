@@ -61,18 +61,21 @@ class Tagger:
     def _lstm(self, x: np.ndarray, d: str, keep: bool = False) -> tuple:
         """Over ids [B, T]; returns outputs [T, B, H] and what the way back needs. Id 0 is padding and leaves no state."""
         p, h_ = self.p, HIDDEN
-        table = p["emb"] @ p[f"wx{d}"] + p[f"b{d}"]
+        # a gate is half a tanh of half its input, so one tanh serves gates and candidate
+        half = np.r_[np.full(3 * h_, 0.5, np.float32), np.ones(h_, np.float32)]
+        table = (p["emb"] @ p[f"wx{d}"] + p[f"b{d}"]) * half
         b, t = x.shape
         h, c = np.zeros((b, h_), np.float32), np.zeros((b, h_), np.float32)
         out = np.empty((t, b, h_), np.float32)
         kept = []
-        wh = p[f"wh{d}"]
+        wh = p[f"wh{d}"] * half
+        x = np.ascontiguousarray(x)
+        columns = np.ascontiguousarray(x.T)
         there = (x > 0).astype(np.float32)[:, :, None]
         ragged = not there.all(0).all(1)[-1]
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
-            z = table[x[:, k]]
+            z = table[columns[k]]
             z += h @ wh
-            z[:, : 3 * h_] *= 0.5
             np.tanh(z, out=z)
             i, f, o = (z[:, n * h_ : (n + 1) * h_] * 0.5 + 0.5 for n in (0, 1, 2))
             g = z[:, 3 * h_ :]
@@ -88,7 +91,9 @@ class Tagger:
         return out, kept
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([self._lstm(x, "f")[0], self._lstm(x, "b")[0]], axis=2) @ self.p["out"] + self.p["ob"]
+        """Scores [T, B, tags] of ids [B, T]; the two directions are never held side by side."""
+        out = self.p["out"]
+        return self._lstm(x, "f")[0] @ out[:HIDDEN] + self._lstm(x, "b")[0] @ out[HIDDEN:] + self.p["ob"]
 
     def viterbi(self, e: np.ndarray) -> np.ndarray:
         """The best tags [B, T] of emissions [T, B, tags]."""
@@ -232,8 +237,12 @@ def spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     edge = (WINDOW - STRIDE) // 2
     moves = tagger.p["tr"] + tagger.ban
     lift = moves[:, 1:].max(0) - moves[0, 0]
+    order = sorted(range(len(rows)), key=lambda i: place[i][2])  # windows of one length go together, so little padding is read
+    rows, place = [rows[i] for i in order], [place[i] for i in order]
     for at in range(0, len(rows), 1024):
-        x = np.stack(rows[at : at + 1024])
+        x = np.stack(rows[at : at + 1024])[:, : place[min(at + 1023, len(rows) - 1)][2]]
+        if not x.shape[1]:
+            continue
         e = tagger.emissions(x)
         # a window in which no character comes near a piece, transitions counted, is plain text
         some = np.flatnonzero(((e[:, :, 1:] + lift).max(2) > e[:, :, 0] - 2.0).any(0))
@@ -270,10 +279,10 @@ def merge(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
-_AT = r"\s?(?:@|＠|\(at\)|\[at\]|\{at\}|%40|&#64;)\s?| (?:at|AT|arroba) "
-_DOT = r"\.|\s?\(dot\)\s?|\s?\[dot\]\s?| (?:dot|DOT|punto) "
+_AT = r"\s?(?:@|＠|\(at\)|\[at\]|\{at\}|%40|&#64;)\s?"
+_DOT = r"\.|\s?\(dot\)\s?|\s?\[dot\]\s?| (?:dot|punto) "
 _EXACT = {
-    "email": re.compile(rf"[A-Za-z0-9][\w.+-]*(?:{_AT})[A-Za-z0-9-]+(?:(?:{_DOT})[A-Za-z0-9-]+)+", re.I),
+    "email": re.compile(rf"[A-Za-z0-9][\w.+-]*(?:{_AT}[A-Za-z0-9-]+(?:(?:{_DOT})[A-Za-z0-9-]+)+| (?:at|arroba) [A-Za-z0-9-]+(?: (?:dot|punto) [A-Za-z0-9-]+)+)", re.I),
     "phone": re.compile(r"(?<![A-Za-z0-9.-])(?:\+|00)?\(?\d{1,4}\)?(?:[ .()/-]{0,2}\d{1,9}){0,7}(?![A-Za-z0-9])"),
     "id_number": re.compile(r"(?<![A-Za-z0-9])[A-Z]{0,2}\d(?:[ .-]?\d){5,17}(?:-?[A-Z])?(?![A-Za-z0-9])"),
 }
@@ -378,7 +387,9 @@ def find(texts: DataFrame, ident: str, text: str, tagger: Tagger) -> DataFrame:
                 )
 
     kind = texts.schema[ident].dataType.simpleString()
-    out = texts.select(F.col(ident).alias("_id"), F.col(text).alias("_text")).mapInPandas(tag, f"_id {kind}, clean string, pieces array<struct<start_pos:int,end_pos:int,kind:string>>")
+    # decoding is the work: texts are dealt evenly, whatever the files
+    dealt = texts.select(F.col(ident).alias("_id"), F.col(text).alias("_text")).repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, "_id")
+    out = dealt.mapInPandas(tag, f"_id {kind}, clean string, pieces array<struct<start_pos:int,end_pos:int,kind:string>>")
     return out.withColumnRenamed("_id", ident)
 
 
