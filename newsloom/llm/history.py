@@ -5,7 +5,7 @@ frequency (fitted once, on the first block, then frozen, so that vectors stay co
 dimensions. A vector is filed in the cells of its heaviest dimensions, as many as hold more than ``RADIUS`` of its
 squared length (numbers count as a dimension that outweighs all others): two vectors that share none of these cells differ by more than that, so a probe of a new vector's
 own heaviest dimensions up to the same bound finds every vector within the radius, and no further cell can hold a
-nearer match. Candidates are reranked exactly on the full text. Accepted rows are appended to the cells; history is
+nearer match. Candidates are reranked exactly on the full text. New vectors are appended to the cells; history is
 never worked through again.
 
 Exact copies (same page, same folded headline) are contracted before any vector is made, so hot groups of copies
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import page_key
-from ..session import materialize
+from ..session import BROADCAST_BYTES, materialize
 
 DIM = 1 << 21
 #: Share of a vector's squared length that its cells must hold: the search radius (squared, relative).
@@ -167,7 +167,8 @@ def _keys(batches: Iterator[pd.DataFrame], names: frozenset[str]) -> Iterator[pd
 
 
 class HistoryIndex:
-    """What has been accepted so far, as tables in ``path``: ``rows`` (row_id, u, t) and ``cells`` (cell, t, raw, folded, cut).
+    """What has been seen so far, as written tables that are only appended to: ``rows`` (accepted: row, u, t), ``texts`` (t,
+    raw, folded, cut, id) and ``cells`` (cell, num, cut, id).
 
     Rows without a usable title are told by their page only, rows without a usable address by their title only; a row
     with neither is always accepted. Ties of row_id are one row. An empty block changes nothing.
@@ -175,11 +176,18 @@ class HistoryIndex:
 
     def __init__(self, spark: SparkSession, site_names: frozenset[str] = frozenset()) -> None:
         self.spark, self.names = spark, frozenset(n.casefold() for n in site_names)
-        self.rows: DataFrame | None = None
-        self.texts: DataFrame | None = None
-        self.cells: DataFrame | None = None
+        self.rows: list[DataFrame] = []
+        self.texts: list[DataFrame] = []
+        self.cells: list[DataFrame] = []
         self.weight: np.ndarray | None = None
 
+    @staticmethod
+    def _all(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for more in parts[1:]:
+            out = out.unionByName(more)
+        return out
+
     def _fit(self, texts: DataFrame) -> None:
         """Document frequencies of all dimensions over the first block; ``DIM`` counters at most reach the driver."""
 
@@ -207,11 +215,12 @@ class HistoryIndex:
         )
         # contract copies: one node per page and headline, its first row stands for it
         nodes = keyed.groupBy("u", "t").agg(F.min("row_id").alias("row"))
-        texts = materialize(keyed.where(F.col("t").isNotNull()).groupBy("t").agg(*[F.min_by(c, "row_id").alias(c) for c in ("raw", "folded", "cut")]), "texts")
+        texts = keyed.where(F.col("t").isNotNull()).groupBy("t").agg(*[F.min_by(c, "row_id").alias(c) for c in ("raw", "folded", "cut")])
+        texts = materialize(texts.mapInPandas(_with_id, "t string, raw string, folded string, cut boolean, id long"), "texts")
         if self.weight is None:
             self._fit(texts)
         weight_b = self.spark.sparkContext.broadcast(self.weight)
-        fresh = texts if self.texts is None else texts.join(self.texts.select("t"), "t", "left_anti")
+        fresh = texts if not self.texts else materialize(texts.join(self._all(self.texts).select("t"), "t", "left_anti"), "fresh")
 
         def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for df in batches:
@@ -219,20 +228,21 @@ class HistoryIndex:
                 n = [len(c) for c in cells]
                 num = [xxhash.xxh32_intdigest(" ".join(sorted(numbers(f)))) >> 1 for f in df["folded"]]
                 yield pd.DataFrame(
-                    {"cell": np.concatenate(cells).astype(np.int32) if n else [], "num": np.repeat(num, n), "cut": np.repeat(df["cut"].to_numpy(dtype=bool), n), "id": np.repeat([xxhash.xxh64_intdigest(t) - (1 << 63) for t in df["t"]], n)}
+                    {"cell": np.concatenate(cells).astype(np.int32) if n else [], "num": np.repeat(num, n), "cut": np.repeat(df["cut"].to_numpy(dtype=bool), n), "id": np.repeat(df["id"].to_numpy(dtype=np.int64), n)}
                 )
 
-        new = materialize(fresh.select("t", "folded", "cut").mapInPandas(file, "cell int, num int, cut boolean, id long"), "cells")
-        held = new if self.cells is None else new.unionByName(self.cells)
+        new = materialize(fresh.select("id", "folded", "cut").mapInPandas(file, "cell int, num int, cut boolean, id long"), "cells")
+        held = self._all([*self.cells, new])
         # the numbers of a headline are a dimension of their own, of endless weight; only a cut headline may lack some
         x, y = new.alias("x"), held.alias("y")
         cell, ends = F.col("x.cell") == F.col("y.cell"), [F.least("x.id", "y.id").alias("p"), F.greatest("x.id", "y.id").alias("q")]
         pairs = x.where("not cut").join(y.where("not cut"), cell & (F.col("x.num") == F.col("y.num")) & (F.col("x.id") != F.col("y.id"))).select(*ends)
-        for one, other in ((x.where("cut"), y), (x, y.where("cut"))):
+        # cut headlines are few: they are carried to the cells, while their size allows it
+        carry = lambda df: F.broadcast(df) if df.count() * 24 <= BROADCAST_BYTES else df
+        for one, other in ((carry(new.where("cut")).alias("x"), y), (x, carry(held.where("cut")).alias("y"))):
             pairs = pairs.unionByName(one.join(other, cell & (F.col("x.id") != F.col("y.id"))).select(*ends))
         pairs = pairs.distinct()
-        known = fresh if self.texts is None else fresh.unionByName(self.texts)
-        full = materialize(known.mapInPandas(_with_id, "t string, raw string, folded string, cut boolean, id long"), "full")
+        full = self._all([*self.texts, fresh])
         side = lambda k: full.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("t", "raw", "folded", "cut")])
 
         def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,17 +251,15 @@ class HistoryIndex:
                 yield df.loc[ok, ["t_p", "t_q"]]
 
         cand = pairs.join(side("p"), "p").join(side("q"), "q").select("t_p", "t_q", "folded_p", "folded_q", "raw_p", "raw_q", "cut_p", "cut_q")
-        links = cand.mapInPandas(rerank, "t_p string, t_q string")
-        links = materialize(links.select(F.col("t_p").alias("t"), F.col("t_q").alias("o")).unionByName(links.select(F.col("t_q").alias("t"), F.col("t_p").alias("o"))), "links")
+        links = materialize(cand.mapInPandas(rerank, "t_p string, t_q string"), "links")
+        links = links.select(F.col("t_p").alias("t"), F.col("t_q").alias("o")).unionByName(links.select(F.col("t_q").alias("t"), F.col("t_p").alias("o")))
         decided = self._resolve(materialize(nodes, "nodes"), links)
         accepted = decided.where("a = row").select("row", "u", "t")
-        # append: accepted rows, their texts, their cells
-        self.rows = materialize(accepted if self.rows is None else self.rows.unionByName(accepted), "accepted")
-        kept = fresh.join(accepted.select("t").distinct(), "t", "left_semi")
-        kept_ids = full.join(kept.select("t"), "t", "left_semi").select("id")
-        self.texts = materialize(kept if self.texts is None else self.texts.unionByName(kept), "texts")
-        kept_cells = new.join(kept_ids, "id", "left_semi")
-        self.cells = materialize(kept_cells if self.cells is None else self.cells.unionByName(kept_cells.select(*self.cells.columns)), "cells")
+        # append: accepted rows, new texts and their cells; what is there is not written again. A text of which no row was
+        # accepted stays in the cells, but without an accepted row it tells nothing
+        self.rows.append(accepted)
+        self.texts.append(fresh)
+        self.cells.append(new)
         same = lambda x, y: x.eqNullSafe(y)
         out = keyed.select("row_id", "u", "t").alias("k").join(decided.alias("d"), same(F.col("k.u"), F.col("d.u")) & same(F.col("k.t"), F.col("d.t")))
         return materialize(out.select(F.col("d.a").alias("row_id_a"), F.col("k.row_id").alias("row_id_b")).where("row_id_a < row_id_b").distinct(), "repeats")
@@ -262,7 +270,7 @@ class HistoryIndex:
         In a round a node is accepted if no undecided node before it tells the same story, and rejected if an accepted
         one does. Page and headline act as hubs, so copies never meet in pairs.
         """
-        acc = self.rows.select("row", "u", "t") if self.rows is not None else None
+        acc = self._all(self.rows) if self.rows else None
         todo, done = nodes, []
         while True:
             if acc is not None:
@@ -298,7 +306,7 @@ def _with_id(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield df
 
 
-def repeats(spark: SparkSession, items: DataFrame, order: str, site_names: frozenset[str], blocks: int = 3) -> DataFrame:
+def repeats(spark: SparkSession, items: DataFrame, order: str, site_names: frozenset[str], blocks: int = 2) -> DataFrame:
     """All of ``items`` (row_id, title, url and the rising ``order``), ingested in ``blocks`` blocks as they would arrive."""
     index = HistoryIndex(spark, site_names)
     cuts = sorted(set(items.approxQuantile(order, [i / blocks for i in range(1, blocks)], 0.01))) if blocks > 1 else []
