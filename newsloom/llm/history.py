@@ -168,7 +168,7 @@ def _keys(batches: Iterator[pd.DataFrame], names: frozenset[str]) -> Iterator[pd
 
 class HistoryIndex:
     """What has been seen so far, as written tables that are only appended to: ``rows`` (accepted: row, u, t), ``texts`` (t,
-    raw, folded, cut, id) and ``cells`` (cell, num, cut, id).
+    raw, folded, cut, id), ``cells`` (cell, num, cut, id) and ``links`` (t_p, t_q: two texts that tell one story).
 
     Rows without a usable title are told by their page only, rows without a usable address by their title only; a row
     with neither is always accepted. Ties of row_id are one row. An empty block changes nothing.
@@ -179,6 +179,7 @@ class HistoryIndex:
         self.rows: list[DataFrame] = []
         self.texts: list[DataFrame] = []
         self.cells: list[DataFrame] = []
+        self.links: list[DataFrame] = []
         self.weight: np.ndarray | None = None
 
     @staticmethod
@@ -252,14 +253,18 @@ class HistoryIndex:
 
         cand = pairs.join(side("p"), "p").join(side("q"), "q").select("t_p", "t_q", "folded_p", "folded_q", "raw_p", "raw_q", "cut_p", "cut_q")
         links = materialize(cand.mapInPandas(rerank, "t_p string, t_q string"), "links")
-        links = links.select(F.col("t_p").alias("t"), F.col("t_q").alias("o")).unionByName(links.select(F.col("t_q").alias("t"), F.col("t_p").alias("o")))
-        decided = self._resolve(materialize(nodes, "nodes"), links)
+        both = lambda df: df.select(F.col("t_p").alias("t"), F.col("t_q").alias("o")).unionByName(df.select(F.col("t_q").alias("t"), F.col("t_p").alias("o")))
+        near = both(links)
+        if self.links:  # a text of the block that isn't fresh has its links in history
+            near = near.unionByName(materialize(both(self._all(self.links)).join(texts.select("t"), "t", "left_semi"), "known"))
+        decided = self._resolve(materialize(nodes, "nodes"), near)
         accepted = decided.where("a = row").select("row", "u", "t")
-        # append: accepted rows, new texts and their cells; what is there is not written again. A text of which no row was
-        # accepted stays in the cells, but without an accepted row it tells nothing
+        # append: accepted rows, new texts, their cells and links; what is there is not written again. A text of which no row
+        # was accepted stays in the cells, but without an accepted row it tells nothing
         self.rows.append(accepted)
         self.texts.append(fresh)
         self.cells.append(new)
+        self.links.append(links)
         same = lambda x, y: x.eqNullSafe(y)
         out = keyed.select("row_id", "u", "t").alias("k").join(decided.alias("d"), same(F.col("k.u"), F.col("d.u")) & same(F.col("k.t"), F.col("d.t")))
         return materialize(out.select(F.col("d.a").alias("row_id_a"), F.col("k.row_id").alias("row_id_b")).where("row_id_a < row_id_b").distinct(), "repeats")

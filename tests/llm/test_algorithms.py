@@ -117,6 +117,16 @@ def test_history(spark):
     assert index.ingest(df.where("false")).count() == 0
 
 
+def test_history_keeps_links_between_blocks(spark):
+    told, again = ROWS[0][1], ROWS[3][1].removesuffix(" - Beta Blog")
+    first = spark.createDataFrame([(1, told, "https://a.test/1"), (2, again, "https://b.test/1")], "row_id long, title string, url string")
+    second = spark.createDataFrame([(3, again, "https://c.test/7"), (4, again, "https://b.test/1"), (5, "Another story without any match", "https://d.test/1")], first.schema)
+    index = history.HistoryIndex(spark)
+    assert [tuple(x) for x in index.ingest(first).collect()] == [(1, 2)]
+    # the headline was rejected in the first block: no accepted row has it, and it isn't new
+    assert sorted(tuple(x) for x in index.ingest(second).collect()) == [(1, 3), (1, 4)]
+
+
 def test_cells_find_all_within_the_radius():
     r = random.Random(6)
     words = ["alpha", "beta", "gamma", "delta", "reward", "kernel", "cache", "router", "prompt", "token", "vector", "sparse"]
