@@ -30,6 +30,8 @@ from ..session import materialize
 
 #: Pages of one group: bounds what a task holds of a host.
 GROUP_PAGES = 2_000
+#: Nodes from which those of small support are folded together, so that alignment stays cheap.
+NODES = 400
 #: Share of a host's pages on which a line must recur, by kind of line: plain, naming the site, a whole sentence.
 SHARE = {"plain": 0.015, "site": 0.015, "sentence": 0.12}
 LEAST = 4
@@ -112,9 +114,19 @@ class Wrapper:
                 out += [[t, n + support[c + i]] for i, (t, n) in enumerate(self.nodes[a:b])]
             else:  # each side's tokens are optional beside the other's
                 out += self.nodes[a:b] + [[t, support[c + i]] for i, t in enumerate(stream[c:d])]
-        if len(out) > 400:
-            out = [x for x in out if x[1] * 500 >= self.pages]
-        self.nodes = out
+        self.nodes = self._folded(out) if len(out) > NODES else out
+
+    def _folded(self, nodes: list) -> list:
+        """Nodes of small support folded into the strongest node of their token: no token and no support is lost."""
+        best: dict[str, list] = {}
+        for x in nodes:
+            if x[0] not in best or x[1] > best[x[0]][1]:
+                best[x[0]] = x
+        for x in nodes:
+            if x[1] * 500 < self.pages and x is not best[x[0]]:
+                best[x[0]][1] += x[1]
+                x[1] = 0
+        return [x for x in nodes if x[1]]
 
     def merge(self, other: Wrapper) -> None:
         follow = self.follow + other.follow

@@ -85,6 +85,29 @@ def test_wrappers_merge():
     assert a.pages == 5 and dict((t, n) for t, n in a.nodes if t != "T")["1"] == 5 and a.heads() == {"9"} or a.literals() == {"1", "2", "9"}
 
 
+def test_wrappers_lose_no_literal():
+    r = random.Random(11)
+    parts, count = [], {}
+    for _ in range(3):
+        w = boilerplate.Wrapper()
+        for k in range(700):
+            line = [str(x) for x in r.sample(range(100, 140), 12)]
+            if k % 60 == 0:  # a literal of small support, never in the same place
+                line.insert(r.randrange(12), str(900 + k // 60 % 3))
+            for t in line:
+                count[t] = count.get(t, 0) + 1
+            w.align(line)
+        parts.append(w)
+    whole = boilerplate.Wrapper.load(parts[0].dump())
+    for w in parts[1:]:
+        whole.merge(w)
+    assert whole.literals() == set(count) and whole.pages == 2100
+    total = {}
+    for t, n in whole.nodes:
+        total[t] = total.get(t, 0) + n
+    assert total == count and sum(n * 500 < whole.pages for _, n in whole.nodes) <= len(count)
+
+
 def test_truncation(spark):
     r = random.Random(8)
     words = "the vendor doubled quota for batch scheduling while operators replaced router with a smaller model before anyone had read comments".split()
