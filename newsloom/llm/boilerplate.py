@@ -37,6 +37,10 @@ SHARE = {"plain": 0.015, "site": 0.015, "sentence": 0.12}
 LEAST = 4
 #: Share from which a host's literal also counts for other hosts, if two hosts or more have it so.
 SHARED = 0.08
+#: Pages of a host from which a plain line is its literal, however large the host.
+ENOUGH = 20
+#: Hosts, and share of all pages, from which a plain line counts everywhere.
+HOSTS, SPREAD = 3, 1 / 20_000
 #: Share of a literal's occurrences that a repeated group must follow for it to head that group.
 HEADS = 0.5
 #: Characters of a menu entry; entries that make a run of lines, or a line, a menu.
@@ -46,6 +50,7 @@ _SEPARATORS = re.compile(r"\s*[|·•›»>/]\s*|\s{2,}|\s+-\s+")
 _STRUCTURE = re.compile(r"^\s*(?:#{1,6}\s|[-*+]\s|>\s?|\|)")
 _END = re.compile(r"[.!?。！？…:;；：][\"”»’）)]*$")
 _INNER = re.compile(r"[.!?]\s+[A-ZÀ-Þ„“«¿¡]|[。！]")
+_CODE = re.compile(r"[{}=$\\]|<[^<>]*>|://|^[a-z_]+: ")
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 
 
@@ -57,7 +62,7 @@ def mask(line: str, site: str | None) -> str:
 
 
 def kind(masked: str) -> str:
-    return "site" if SITE in masked else "sentence" if _END.search(masked) else "plain"
+    return "site" if SITE in masked else "sentence" if _END.search(masked) else "code" if _CODE.search(masked) else "plain"
 
 
 def digest(masked: str) -> int:
@@ -235,11 +240,14 @@ def literals(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["_host", "x", "kind", "n"])
 
     counts = pages.select("_host", "_site", "_text").mapInPandas(count, "_host string, x long, kind string, n long")
-    counts = materialize(counts.groupBy("_host", "x", "kind").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST) | F.col("kind").isin("page", "site")), "lines")
+    counts = materialize(counts.groupBy("_host", "x", "kind").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST) | F.col("kind").isin("page", "site", "plain")), "lines")
     totals = counts.where("kind = 'page'").select("_host", F.col("n").alias("pages"))
     least = F.when(F.col("kind") == "site", SHARE["site"]).when(F.col("kind") == "sentence", SHARE["sentence"]).otherwise(SHARE["plain"])
-    own = counts.where("kind <> 'page'").join(totals, "_host").withColumn("share", F.col("n") / F.col("pages")).where(F.col("share") >= least)
-    everywhere = counts.where("kind = 'site'").groupBy("x").agg(F.countDistinct("_host").alias("hosts"), F.sum("n").alias("n")).where(f"hosts >= 3 and n >= {LEAST}").select("x", "hosts")
+    own = counts.where("kind <> 'page'").join(totals, "_host").withColumn("share", F.col("n") / F.col("pages")).where((F.col("share") >= least) | ((F.col("kind") == "plain") & (F.col("n") >= ENOUGH)))
+    # lines that recur over hosts; plain ones by a share of all pages as well, so that chance doesn't do it on large tables
+    every = totals.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    most = F.when(F.col("kind") == "site", LEAST).otherwise(max(LEAST, every * SPREAD))
+    everywhere = counts.where("kind in ('site', 'plain')").groupBy("x", "kind").agg(F.countDistinct("_host").alias("hosts"), F.sum("n").alias("n")).where((F.col("hosts") >= HOSTS) & (F.col("n") >= most)).select("x", "hosts")
     own = own.where((F.col("n") >= LEAST))
     shared = own.where((F.col("share") >= SHARED) | (F.col("kind") == "site")).groupBy("x").agg(F.countDistinct("_host").alias("hosts")).where("hosts >= 2").unionByName(everywhere).distinct()
     return own.select("_host", "x"), shared.select("x").distinct()
@@ -264,7 +272,7 @@ def main_body(articles: DataFrame, ident: str, text: str, host: str, site: str,
         for body, site_ in zip(mine["_text"], mine["_site"]):
             streams[tuple(stream(body, site_, literal))] += 1
             for _, line, own_ in lines(body):
-                if not own_ and digest(m := mask(line, site_)) in literal and kind(m) == "plain":
+                if not own_ and digest(m := mask(line, site_)) in literal and kind(m) in ("plain", "code"):
                     for p in segments(m):
                         if len(p) <= 24:
                             words[p] += 1

@@ -85,6 +85,22 @@ def test_wrappers_merge():
     assert a.pages == 5 and dict((t, n) for t, n in a.nodes if t != "T")["1"] == 5 and a.heads() == {"9"} or a.literals() == {"1", "2", "9"}
 
 
+def test_boilerplate_counts_lines_over_hosts(spark):
+    r = random.Random(12)
+    prose = lambda: " ".join(r.choices(" ".join(PROSE).lower().replace(",", "").replace(".", "").split(), k=14)).capitalize() + "."
+    notice, lone, code, cut = "3 comments - log in to join the discussion", "Members of the club read every issue on paper", "bench = run(seed)", "Two of the reviewers"
+    rows = []
+    for h in range(4):
+        for k in range(500):
+            put = [notice] * (k < 2) + [code] * (2 <= k < 4) + [cut] * (k == 4 and h < 3)
+            rows.append((len(rows), "\n".join([prose(), *put, prose()]), f"h{h}.test"))
+    for k in range(1500):  # a line of one large host, on 20 of its 2,000 pages
+        rows.append((len(rows), "\n".join([prose(), *[lone] * (k < 20), prose()]), "h0.test"))
+    df = spark.createDataFrame([(*x, None, None) for x in rows], "article_no long, body string, host string, site string, title string")
+    got = {(x["article_no"], x["line_no"]) for x in boilerplate.main_body(df, "article_no", "body", "host", "site", "title").collect()}
+    assert got == {(n, 2) for n, body, _ in rows if body.split("\n")[1] in (notice, lone)}
+
+
 def test_wrappers_lose_no_literal():
     r = random.Random(11)
     parts, count = [], {}
