@@ -4,8 +4,8 @@ A page is a stream of lines. Lines that recur on the pages of a host are its lit
 one host are aligned one after the other into a union-free wrapper: equal tokens stay literals, a token that one
 side lacks becomes optional, runs of headline-like lines become a repeated group, runs of other text become a text
 slot. Hosts are worked in groups of bounded size (a hot host is split by salt) and their partial wrappers are aligned
-again in a tree. A page is then read through its host's wrapper: literals and the repeated groups that hang on a literal
-(teasers below their heading) are the site's; text slots are the article's own.
+again in a tree. A page is not aligned with its host's wrapper: line counts decide which lines are literals,
+and the wrapper only tells which of them head a repeated group (teasers below their heading) and which words are a menu's.
 
 Literals that several hosts share (with the site's name masked) also serve hosts with too few pages for a wrapper.
 Markup of the article's own structure (headings, lists, quotes, code) is never a literal. Null and empty bodies have
