@@ -312,13 +312,15 @@ def _with_id(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def repeats(spark: SparkSession, items: DataFrame, order: str, site_names: frozenset[str], blocks: int = 2) -> DataFrame:
-    """All of ``items`` (row_id, title, url and the rising ``order``), ingested in ``blocks`` blocks as they would arrive."""
+    """All of ``items`` (row_id, title, url and the rising ``order``), ingested in ``blocks`` blocks as they would arrive. A row without
+    ``order`` goes to the block that its row_id falls into."""
     index = HistoryIndex(spark, site_names)
     cuts = sorted(set(items.approxQuantile(order, [i / blocks for i in range(1, blocks)], 0.01))) if blocks > 1 else []
-    out, low = None, None
-    for high in [*cuts, None]:
-        part = items.where((F.col(order) > low if low is not None else F.lit(True)) & (F.col(order) <= high if high is not None else F.lit(True)))
-        got = index.ingest(part)
+    tops = list(items.agg(*[F.max(F.when(F.col(order) <= c, F.col("row_id"))) for c in cuts]).first()) if cuts else []
+    within = lambda c, a, b: (F.col(c) > a if a is not None else F.lit(True)) & (F.col(c) <= b if b is not None else F.lit(True))
+    out, low, under = None, None, None
+    for high, top in [*zip(cuts, tops), (None, None)]:
+        got = index.ingest(items.where(F.when(F.col(order).isNull(), within("row_id", under, top)).otherwise(within(order, low, high))))
         out = got if out is None else out.unionByName(got)
-        low = high
+        low, under = high, top
     return out

@@ -127,6 +127,12 @@ def test_history_keeps_links_between_blocks(spark):
     assert sorted(tuple(x) for x in index.ingest(second).collect()) == [(1, 3), (1, 4)]
 
 
+def test_history_takes_rows_without_order(spark):
+    df = spark.createDataFrame([(*x, None if x[0] in (1, 4, 13) else x[0] // 4) for x in ROWS], "row_id long, title string, url string, batch int")
+    got = {x["row_id_b"]: x["row_id_a"] for x in history.repeats(spark, df, "batch", frozenset({"Beta Blog"}), 2).collect()}
+    assert got == {2: 1, 4: 1, 5: 1, 7: 1, 10: 6, 13: 11}
+
+
 def test_cells_find_all_within_the_radius():
     r = random.Random(6)
     words = ["alpha", "beta", "gamma", "delta", "reward", "kernel", "cache", "router", "prompt", "token", "vector", "sparse"]
