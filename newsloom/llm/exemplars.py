@@ -11,7 +11,7 @@ DELIMITERS = [
 CAPITAL_DELIMITERS = [("[", "]"), ("<", ">"), ("&lt;", "&gt;"), ("«", "»"), ("{", "}"), ("$", "$"), ("%", "%"), ("XXX-", "-XXX"), ("{", "}")]
 
 PLACEHOLDER = [
-    "[insert name here]", "[insert headline]", "[insert quote here]", "[insert summary]", "[add source]", "[TODO: add source]", "[TODO]", "[TBD]", "[to be completed]", "[to come]", "[your name here]", "[your text here]", "[placeholder]", "[placeholder text]", "[image here]", "[caption goes here]", "[fill in]", "[enter title]",
+    "[insert]", "[insert name here]", "[insert headline]", "[insert quote here]", "[insert summary]", "[add source]", "[TODO: add source]", "[TODO]", "[TBD]", "[to be completed]", "[to come]", "[your name here]", "[your text here]", "[placeholder]", "[placeholder text]", "[image here]", "[caption goes here]", "[fill in]", "[enter title]",
     "(headline TBD)", "(summary TBD)", "(date TBC)", "(date to be confirmed)", "FIXME: write intro", "TODO: write the intro", "TK TK", "[object Object]", "undefined undefined", "NaN NaN",
     "[titre à compléter]", "[à compléter]", "[insérer le titre]", "[résumé à venir]", "[texte à venir]", "[Titel einfügen]", "[hier einfügen]", "[Name einsetzen]", "[Text folgt]", "[Zitat ergänzen]", "[bitte ergänzen]",
     "[insertar título]", "[título pendiente]", "[por completar]", "[completar aquí]", "[nombre aquí]", "[inserir título]", "[a preencher]", "[título a definir]", "[preencher aqui]",

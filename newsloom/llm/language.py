@@ -103,27 +103,57 @@ def hashed(text: str) -> list[np.ndarray]:
 
 
 class Profiles:
-    """Rank-order profiles of ``LANGS``: a row of ranks per n-gram, ``PROFILE`` where a language lacks it."""
+    """Rank-order profiles of ``LANGS``: a row of ranks per n-gram, ``PROFILE`` where a language lacks it.
+
+    N-grams are looked up in a table of slots (hash, row); the few whose slot is taken lie in a sorted rest.
+    """
+
+    SLOTS = 1 << 18
 
     def __init__(self, ranks: dict[str, dict[str, int]]) -> None:
         grams = sorted({g for r in ranks.values() for g in r})
         self.langs = [x for x in LANGS if x in ranks]
         hashes = np.array([hashed(g)[len(g) - 1][-1] for g in grams], dtype=np.uint64)
         order = np.argsort(hashes)
-        self.hashes = hashes[order]
+        hashes = hashes[order]
         row = {grams[i]: n for n, i in enumerate(order)}
         # the last row is for n-grams that no profile has
-        self.ranks = np.full((len(grams) + 1, len(self.langs)), PROFILE, dtype=np.float32)
+        self.ranks = np.full((len(self.langs), len(grams) + 1), PROFILE, dtype=np.float32)
         for j, lang in enumerate(self.langs):
             for g, r in ranks[lang].items():
-                self.ranks[row[g], j] = r
+                self.ranks[j, row[g]] = r
+        self.none = len(grams)
+        self.key = np.zeros(self.SLOTS, dtype=np.uint64)
+        self.row = np.full(self.SLOTS, self.none, dtype=np.int32)
+        slot = (hashes >> np.uint64(46)).astype(np.int64)
+        kept = np.zeros(len(hashes), bool)
+        kept[np.unique(slot, return_index=True)[1]] = True
+        self.key[slot[kept]], self.row[slot[kept]] = hashes[kept], np.flatnonzero(kept)
+        self.rest, self.rest_row = hashes[~kept], np.flatnonzero(~kept).astype(np.int32)
+        self.shared = np.zeros(self.SLOTS, bool)
+        self.shared[slot[~kept]] = True
+
+    def rows(self, h: np.ndarray) -> np.ndarray:
+        """The row of every hash, the last one for hashes that no profile has."""
+        slot = (h >> np.uint64(46)).astype(np.int64)
+        row = np.where(self.key[slot] == h, self.row[slot], self.none).astype(np.int32)
+        if len(self.rest):
+            more = np.flatnonzero(self.shared[slot] & (row == self.none))
+            at = np.searchsorted(self.rest, h[more])
+            at[at >= len(self.rest)] = 0
+            hit = self.rest[at] == h[more]
+            row[more[hit]] = self.rest_row[at[hit]]
+        return row
 
     def nearest(self, found: list[str]) -> list[tuple[str | None, float]]:
-        """The language of every sentence and the confidence (0 to 1); None where it has too few letters or is unlike all."""
+        """The language of every sentence and the confidence (0 to 1); None where it has too few letters or is unlike all.
+
+        An n-gram that no profile has is out of place in all languages alike; each of its occurrences counts once.
+        """
         out: list[tuple[str | None, float]] = [(None, 0.0)] * len(found)
         plain, which = [], []
         for k, s in enumerate(map(letters, found)):
-            signs = len(_SIGN.findall(s))
+            signs = 0 if s.isascii() else len(_SIGN.findall(s))
             if signs >= SIGNS or len(s) - s.count(" ") - signs >= LETTERS:
                 plain.append(f" {s} ")
                 which.append(k)
@@ -131,49 +161,63 @@ class Profiles:
             return out
         text = "".join(plain)
         size = np.array([len(s) for s in plain])
-        sid = np.repeat(np.arange(len(plain)), size)
-        since = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+        sid = np.repeat(np.arange(len(plain), dtype=np.int32), size)
+        since = np.arange(len(text), dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
         blank = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) == 32
-        h, at = [], []
+        keys, unknown, width = [], np.zeros(len(plain), np.int64), self.none + 1
         for n, x in enumerate(hashed(text)):
-            ok = (since >= n) & ~blank if n == 0 else since >= n
-            h.append(x[ok])
-            at.append(sid[ok])
-        h, at = np.concatenate(h), np.concatenate(at)
-        with np.errstate(over="ignore"):
-            _, first, count = np.unique(h ^ (at.astype(np.uint64) + np.uint64(1)) * np.uint64(0x94D049BB133111EB), return_index=True, return_counts=True)
-        h, at = h[first], at[first]
-        order = np.lexsort((-count, at))
-        h, at, count = h[order], at[order], count[order]
-        starts = np.searchsorted(at, np.arange(len(plain)))
+            row = self.rows(x)
+            ok = since >= n
+            if n == 0:
+                ok &= ~blank
+            lost = ok & (row == self.none)
+            unknown += np.bincount(sid[lost], minlength=len(plain))
+            ok &= row != self.none
+            keys.append(sid[ok].astype(np.int64) * width + row[ok])
+        keys = np.sort(np.concatenate(keys))
+        first = np.ones(len(keys), bool)
+        first[1:] = keys[1:] != keys[:-1]
+        first = np.flatnonzero(first)
+        count = np.diff(np.append(first, len(keys)))
+        at, row = np.divmod(keys[first], width)
         # n-grams of one frequency share a place: the number of those that are more frequent
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1]) | (count[1:] != count[:-1])
-        place = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0)) - starts[at]
-        row = np.searchsorted(self.hashes, h)
-        row[row >= len(self.hashes)] = 0
-        row = np.where(self.hashes[row] == h, row, len(self.hashes)) if len(self.hashes) else np.zeros(len(h), np.int64)
-        ranks = self.ranks[row]
-        lacks = ranks >= PROFILE
-        far = np.abs(ranks - place[:, None].astype(np.float32))
-        np.minimum(far, PROFILE, out=far)
-        far[lacks] = PROFILE
-        far = np.add.reduceat(far, starts, axis=0)
-        known = np.add.reduceat(~lacks, starts, axis=0, dtype=np.int64)
-        total = np.diff(np.append(starts, len(at)))
-        by = np.argsort(far, axis=1, kind="stable")
+        most = int(count.max()) + 1 if len(count) else 1
+        if most * len(plain) > 50_000_000:  # a very long sentence: its frequencies are ranked first, so the table stays small
+            count = np.unique(count, return_inverse=True)[1] + 1
+            most = int(count.max()) + 1
+        of = at * most + count
+        freq = np.bincount(of, minlength=len(plain) * most).reshape(len(plain), most)
+        above = freq[:, ::-1].cumsum(axis=1)[:, ::-1] - freq
+        place = above.ravel()[of].astype(np.float32)
+        size = np.bincount(at, minlength=len(plain))
+        there = np.flatnonzero(size)
+        starts = (np.cumsum(size) - size)[there]
+        far = np.zeros((len(self.langs), len(plain)), np.float64)
+        known = np.zeros((len(self.langs), len(plain)), np.int64)
+        for j, ranks in enumerate(self.ranks if len(starts) else ()):
+            r = ranks[row]
+            d = np.abs(r - place)
+            lacks = r >= PROFILE
+            np.minimum(d, PROFILE, out=d)
+            d[lacks] = PROFILE
+            far[j, there] = np.add.reduceat(d, starts, dtype=np.float64)
+            known[j, there] = size[there] - np.add.reduceat(lacks, starts, dtype=np.int64)
+        total = size + unknown
+        far += unknown * float(PROFILE)
+        by = np.argsort(far, axis=0, kind="stable")
         for n, k in enumerate(which):
-            best = by[n, 0]
-            if known[n, best] >= KNOWN * total[n]:
-                second = far[n, by[n, 1]] if len(self.langs) > 1 else PROFILE * total[n]
-                out[k] = (self.langs[best], float((second - far[n, best]) / max(second, 1.0)))
+            best = by[0, n]
+            if known[best, n] >= KNOWN * total[n]:
+                second = far[by[1, n], n] if len(self.langs) > 1 else float(PROFILE) * total[n]
+                out[k] = (self.langs[best], float((second - far[best, n]) / max(second, 1.0)))
         return out
 
     def segments(self, texts: list[str | None]) -> list[list[tuple[int, int, str, float, int]]]:
         """Per text the (start, end, language, confidence, whole sentences) of its sentences, neighbours of one language joined."""
         found = [list(sentences(t)) if t else [] for t in texts]
-        told = iter(self.nearest([s for f in found for _, s in f]))
-        return [self._join([(at, s, *next(told)) for at, s in f]) for f in found]
+        asked = list(dict.fromkeys(s for f in found for _, s in f))  # a sentence is ranked once, however often it stands
+        told = dict(zip(asked, self.nearest(asked)))
+        return [self._join([(at, s, *told[s]) for at, s in f]) for f in found]
 
     @staticmethod
     def _join(found: list[tuple[int, str, str | None, float]]) -> list[tuple[int, int, str, float, int]]:
@@ -228,8 +272,8 @@ def label_segments(texts: DataFrame, keys: list[str], text: str, profiles: Profi
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            for at in range(0, len(df), 400):
-                part = df.iloc[at : at + 400]
+            for at in range(0, len(df), 60):  # few enough that the arrays stay in the cache
+                part = df.iloc[at : at + 60]
                 out = []
                 for row, segs in zip(part.itertuples(index=False), shared.value.segments(list(part["_text"]))):
                     for n, (a, e, lang, c, whole) in enumerate(segs):

@@ -58,23 +58,42 @@ def sound_articles(spark: SparkSession, d: str) -> DataFrame:
     return articles(spark, d).join(materialize(p4_found(spark, d), "residue"), "article_no", "left_anti")
 
 
-def p2_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Languages of the segments of article bodies and of ``summaryZh``; garbled bodies are read in their restored form."""
+def without_residue(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    """``found`` (tbl, rec_no, ...) without the articles that ``p4_found`` lists; only the articles in ``found`` are judged."""
+    found = materialize(found, "found")
+    asked = found.where("tbl = 'articles'").select(F.col("rec_no").alias("article_no")).distinct()
+    all_ = articles(spark, d).select("article_no", "body")
+    bad = residue_.residue(all_, "article_no", "body", among=all_.join(asked, "article_no", "left_semi"))
+    return found.join(bad.select(F.lit("articles").alias("tbl"), F.col("article_no").alias("rec_no")).distinct(), ["tbl", "rec_no"], "left_anti")
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of all article bodies and of ``summaryZh``; garbled bodies are read in their restored form."""
     profiles = language.train(table(spark, d, "documents"), "text", "lang")
-    rows = sound_articles(spark, d).select("article_no", "body", "title")
+    rows = articles(spark, d).select("article_no", "body")
     rows = rows.join(p6_restored(spark, d).select("article_no", "restored"), "article_no", "left")
     texts = rows.select(F.lit("articles").alias("tbl"), F.col("article_no").alias("rec_no"), F.coalesce("restored", "body").alias("text"))
     summaries = table(spark, d, "items").where(F.col("summaryZh") != "").select(F.lit("items").alias("tbl"), F.col("row_id").alias("rec_no"), F.col("summaryZh").alias("text"))
     return language.label_segments(texts.unionByName(summaries), ["tbl", "rec_no"], "text", profiles)
 
 
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of the segments of sound article bodies and of ``summaryZh``."""
+    return without_residue(spark, d, _segments(spark, d))
+
+
+def p2_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The main language of every sound article body and ``summaryZh``, with its confidence."""
+    return language.document_language(p2_segments(spark, d), ["tbl", "rec_no"])
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Languages of a text that its label (zh for ``summaryZh``) does not state."""
-    found = p2_segments(spark, d).where("n_whole > 0").select("tbl", "rec_no", "lang").distinct()
+    found = _segments(spark, d).where("n_whole > 0").select("tbl", "rec_no", "lang").distinct()
     stated = articles(spark, d).select(F.lit("articles").alias("tbl"), F.col("article_no").alias("rec_no"), language.stated_column(F.col("lang")).alias("_stated"))
     out = found.join(stated, ["tbl", "rec_no"], "left")
     said = F.when(F.col("tbl") == "items", F.lit("zh")).otherwise(F.col("_stated"))
-    return out.where(said.isNull() | (F.col("lang") != said)).select("tbl", "rec_no", "lang")
+    return without_residue(spark, d, out.where(said.isNull() | (F.col("lang") != said)).select("tbl", "rec_no", "lang"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +115,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
     sources = table(spark, d, "sources").select("source", "aliases", "sourceDomain", "lang")
-    bodies = sound_articles(spark, d).withColumn("label", language.stated_column(F.col("lang"))).select("source", "sourceDomain", F.lit("articles").alias("tbl"), F.col("article_no").alias("rec_no"), "label", F.col("body").alias("text"))
+    bodies = articles(spark, d).withColumn("label", language.stated_column(F.col("lang"))).select("source", "sourceDomain", F.lit("articles").alias("tbl"), F.col("article_no").alias("rec_no"), "label", F.col("body").alias("text"))
     summaries = table(spark, d, "items").select("source", "sourceDomain", F.lit("items").alias("tbl"), F.col("row_id").alias("rec_no"), F.lit(None).cast("string").alias("label"), F.col("summary").alias("text"))
     rows = resolve_entry(bodies.unionByName(summaries), sources)
     return rows.select("tbl", "rec_no", F.coalesce("label", "entry_lang").alias("lang"), F.coalesce("entry", "source").alias("source"), "text").where(F.col("text") != "")
@@ -104,7 +123,7 @@ def _values(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_cut(spark: SparkSession, d: str) -> DataFrame:
     """Bodies and summaries that were cut off, with the log-odds and the reason."""
-    return truncation.cut_values(_values(spark, d))
+    return without_residue(spark, d, truncation.cut_values(_values(spark, d), articles(spark, d).select(F.col("title").alias("text"))))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -155,6 +174,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_segments": p2_segments,
+    "p2_documents": p2_documents,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_residue": p4_residue,

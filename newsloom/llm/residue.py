@@ -3,7 +3,11 @@
 The exemplars sit in an inverted index (token to exemplars, a table of fixed size). Every line of a text, cut into
 sentences and windows, retrieves the exemplars that share a token with it and is compared by TF-IDF containment both
 ways: how much of the exemplar the window holds, and how much of the window the exemplar covers. Weights come from the
-document frequencies of the index's tokens over all texts.
+document frequencies of the index's tokens over all texts. A slot in the delimiters of a template language is a window
+of its own, whose token names the delimiters; it is retrieved and compared as any other window.
+
+The filing makes sure that any window which holds the wanted share of an exemplar has a token it is filed under; a text or
+line that as a whole holds too little of every exemplar it retrieves is not cut up.
 
 Code (fences and back-ticks) and quotations are left out: a text may show or quote such strings. Placeholders and
 filler count anywhere; error pages and notices count only if they make up most of what the text holds. Null and empty
@@ -17,7 +21,6 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +37,14 @@ _NAME = r"\s*[\w.\-]+(?:\s*[|:/]\s*[\w.\-]+)*\s*"
 _CODE_NAME = r"\s*[\w.]+(?:[ :|/.\-]+(?:\w+|\"[^\"]*\"|'[^']*'))*\s*"
 _SHAPES = [(f"{a}…{b}", re.compile(re.escape(a) + _CODE_NAME + re.escape(b))) for a, b in DELIMITERS]
 _CAPS = [(f"{a}N{b}", re.compile((r"(?<![\w" + re.escape(a) + "])" if a.isalpha() is False else r"\b") + re.escape(a) + r"\s*(?:[A-Z][A-Z0-9]*(?:[_ ][A-Z0-9]+)*|[a-z]+(?:_[a-z0-9]+)+)\s*" + re.escape(b))) for a, b in CAPITAL_DELIMITERS]
-_HINT = re.compile(r"[{}%<>$#@*|~^«]|&lt;|\[\[|__|XXX|\[[A-Z][A-Z0-9_ ]*\]|\[[a-z]+_")
 _TOKEN = re.compile(r"⟦[^⟧]*⟧|[぀-ヿ㐀-鿿]+|[^\W\d_぀-ヿ㐀-鿿]+|\w*\d\w*")
+_ALPHA = re.compile(r"[^\W\d_぀-ヿ㐀-鿿]+")
+_SIGNS = re.compile(r"[぀-ヿ㐀-鿿]+")
+#: What a slot opens with, and its pattern: the pattern is tried only where the opening stands.
+_OPENERS = [(d[0], p) for d, (_, p) in zip(DELIMITERS + CAPITAL_DELIMITERS, _SHAPES + _CAPS) if len(d[0]) > 1]
+_OPENER = re.compile("[" + re.escape("".join(sorted({a for a, _ in CAPITAL_DELIMITERS if len(a) == 1}))) + r"]\s*(?:[A-Z]|[a-z]+_)")
+#: The name of a field within a note in brackets: a slot's own name tells nothing.
+_FIELD = re.compile(r"\b[^\W\d]\w*(?:[._][^\W\d]\w*)+\b")
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 _QUOTED = re.compile(r"“[^”\n]{1,200}”|«[^»\n]{2,200}»|„[^“”\n]{1,200}[“”]|「[^」\n]{1,200}」|『[^』\n]{1,200}』|(?<!\w)\"[^\"\n]{1,200}\"(?!\w)|‘[^’\n]{1,80}’")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
@@ -51,9 +60,14 @@ def shapes(line: str) -> str:
     return line
 
 
+def slotted(text: str) -> bool:
+    """Whether a text may hold a slot: it has what a slot opens with."""
+    return any(a in text and p.search(text) for a, p in _OPENERS) or _OPENER.search(text) is not None
+
+
 def tokens(line: str) -> list[str]:
     out = []
-    for t in _TOKEN.findall(shapes(line) if _HINT.search(line) else line):
+    for t in _TOKEN.findall(shapes(line) if slotted(line) else line):
         if t.isalpha():
             if "぀" <= t[0] <= "鿿":
                 out.extend(t[i : i + 2] for i in range(max(1, len(t) - 1)))
@@ -64,22 +78,13 @@ def tokens(line: str) -> list[str]:
     return out
 
 
-def scanner(words: Iterator[str]) -> ahocorasick.Automaton:
-    """All words at once, in one pass over a text."""
-    found = ahocorasick.Automaton()
-    for w in words:
-        if w[0] not in "⟦0":
-            found.add_word(w, w)
-    found.make_automaton()
-    return found
-
-
-def scan(found: ahocorasick.Automaton, folded: str) -> Iterator[str]:
-    """The scanner's words in a folded text; words of an alphabet only where they stand alone."""
-    n = len(folded)
-    for end, w in found.iter(folded):
-        if "぀" <= w[0] <= "鿿" or not (end + 1 < n and folded[end + 1].isalpha() or end >= len(w) and folded[end - len(w)].isalpha()):
-            yield w
+def words(text: str) -> set[str]:
+    """The distinct tokens of a text that an exemplar may be filed under, slots and numbers aside."""
+    out = set(_ALPHA.findall(text.casefold()))
+    if not text.isascii():
+        for run in _SIGNS.findall(text):
+            out.update(run[i : i + 2] for i in range(max(1, len(run) - 1)))
+    return out
 
 
 def prose_lines(body: str) -> list[str]:
@@ -105,12 +110,12 @@ class Index:
     """
 
     def __init__(self) -> None:
-        self.kinds = [k for k, _ in EXEMPLARS]
-        self.noted = [t[0] in "[【［(" for _, t in EXEMPLARS]  # a note in brackets matches only a note in brackets
-        self.sets = [set(tokens(t)) - {"0"} or set(tokens(t)) for _, t in EXEMPLARS]
-        self.marks = set()
-        for i, (a, b) in enumerate(DELIMITERS + CAPITAL_DELIMITERS):
-            self.marks.add(f"⟦{a}{'…' if i < len(DELIMITERS) else 'N'}{b}⟧")
+        # a slot's exemplar is the token that names its delimiters
+        slots = [f"⟦{a}…{b}⟧" for a, b in DELIMITERS] + [f"⟦{a}N{b}⟧" for a, b in CAPITAL_DELIMITERS]
+        self.texts = [t for _, t in EXEMPLARS] + slots
+        self.kinds = [k for k, _ in EXEMPLARS] + ["placeholder"] * len(slots)
+        self.noted = [t[0] in "[【［(" for t in self.texts]  # a note in brackets matches only a note in brackets
+        self.sets = [{t} if t[0] == "⟦" else set(tokens(t)) - {"0"} or set(tokens(t)) for t in self.texts]
         self.vocabulary = frozenset(t for s in self.sets for t in s)
 
     def weigh(self, df: dict[str, int], n: int) -> Index:
@@ -131,26 +136,15 @@ class Index:
         self.filed = frozenset(self.post)
         return self
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "scanner"}
-
-    def may_match(self, body: str) -> bool:
-        """Whether a text has any word an exemplar is filed under, or a mark of a template language."""
-        if _HINT.search(body):
-            return True
-        if "scanner" not in self.__dict__:
-            self.scanner = scanner(self.post)
-        return next(scan(self.scanner, body.casefold()), None) is not None
-
-    def best(self, window: list[str], noted: bool = False) -> str | None:
-        """The kind of the exemplar that matches a window, None if none does."""
+    def best(self, window: list[str], noted: bool = False) -> tuple[str, str] | None:
+        """Kind and text of the exemplar that matches a window, None if none does."""
         have = set(window)
         near = {i for t in have for i in self.post.get(t, ())}
         if not near:
             return None
         total = sum(self.weight.get(t, self.other) for t in have if t != "0") or 1.0
-        kind = None
-        for i in near:
+        found = None
+        for i in sorted(near):
             k = self.kinds[i]
             if self.noted[i] and not noted:
                 continue
@@ -158,46 +152,70 @@ class Index:
             if k == "placeholder":
                 # a slot's own name may fill the rest of a note
                 if w >= 0.55 * self.full[i] and w >= 0.6 * total:
-                    return k
+                    return k, self.texts[i]
             elif k == "filler":
                 if (w >= HOLDS * self.full[i] or (len(self.sets[i]) > 12 and len(have) >= 4)) and w >= COVERS * total:
-                    kind = k
-            elif kind is None and w >= HOLDS * self.full[i] and w >= COVERS * total:
-                kind = k
-        return kind
-
-    def judge(self, body: str | None) -> str | None:
-        """The kind of residue a text is or holds: placeholder, filler, error, gate; None if it is sound."""
-        if not body or not self.may_match(body):
+                    found = k, self.texts[i]
+            elif found is None and w >= HOLDS * self.full[i] and w >= COVERS * total:
+                found = k, self.texts[i]
+        return found
+
+    def reachable(self, have: set[str]) -> set[str]:
+        """The tokens of a text under which an exemplar is filed of which some window can hold enough."""
+        out = set()
+        for t in have & self.filed:
+            for i in self.post[t]:
+                both = have & self.sets[i]
+                if self.kinds[i] == "filler" and len(self.sets[i]) > 12:
+                    ok = len(both) >= 2
+                else:
+                    ok = sum(self.weight[x] for x in both) >= (0.55 if self.kinds[i] == "placeholder" else HOLDS) * self.full[i]
+                if ok:
+                    out.add(t)
+                    break
+        return out
+
+    def judge(self, body: str | None) -> tuple[str, str] | None:
+        """The kind of residue a text is or holds (placeholder, filler, error, gate) and the exemplar; None if it is sound."""
+        if not body or not (near := self.reachable(words(body))) and not slotted(body):
             return None
         matched: Counter = Counter()
-        size = 0
-        for line in prose_lines(body):
-            whole = tokens(line)
-            size += len(whole)
-            if not whole:
-                continue
-            if any(t[0] == "⟦" and t in self.marks for t in whole):
-                return "placeholder"
+        by: dict[str, str] = {}
+        lines = prose_lines(body)
+        for line in lines:
+            slots = slotted(line)
+            if not slots:
+                folded = line.casefold()
+                if not any(t in folded for t in near) or not self.reachable(words(line)):
+                    continue
+            if slots:
+                for t in _TOKEN.findall(shapes(line)):
+                    if t[0] == "⟦" and (got := self.best([t])):
+                        return got
             for m in _NOTE.finditer(line):
-                if self.best(tokens(m.group()), True) == "placeholder":
-                    return "placeholder"
-            if self.post.keys().isdisjoint(whole):
-                continue
-            if len(whole) <= WINDOW and (kind := self.best(whole)):
-                matched[kind] += len(whole)
+                got = self.best(tokens(_FIELD.sub(" 0 ", m.group())), True)
+                if got and got[0] == "placeholder":
+                    return got
+            whole = tokens(line)
+            if len(whole) <= WINDOW and (got := self.best(whole)):
+                matched[got[0]] += len(whole)
+                by.setdefault(*got)
                 continue
             for sentence in _SENTENCE.split(line):
                 part = tokens(sentence)
+                if self.filed.isdisjoint(part):
+                    continue
                 for at in range(0, len(part), WINDOW // 2):
                     window = part[at : at + WINDOW]
-                    if kind := self.best(window):
-                        matched[kind] += min(len(window), WINDOW // 2 if at + WINDOW < len(part) else WINDOW)
+                    if got := self.best(window):
+                        matched[got[0]] += min(len(window), WINDOW // 2 if at + WINDOW < len(part) else WINDOW)
+                        by.setdefault(*got)
         for kind in ("placeholder", "filler"):
             if matched[kind]:
-                return kind
-        if size and matched["error"] + matched["gate"] >= MOST * size:
-            return max(("error", "gate"), key=lambda k: matched[k])
+                return kind, by[kind]
+        if matched and matched["error"] + matched["gate"] >= MOST * sum(len(tokens(line)) for line in lines):
+            kind = max(("error", "gate"), key=lambda k: matched[k])
+            return kind, by[kind]
         return None
 
 
@@ -208,12 +226,11 @@ def corpus_index(texts: DataFrame, text: str) -> Index:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
-        all_words = scanner(vocabulary)
         for df in batches:
+            seen[""] += len(df)
             for body in df.iloc[:, 0]:
-                seen[""] += 1
                 if body:
-                    seen.update(set(scan(all_words, body.casefold())))
+                    seen.update(vocabulary & words(body))
         yield pd.DataFrame({"t": list(seen), "n": list(seen.values())}, columns=["t", "n"])
 
     rows = texts.select(text).mapInPandas(count, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()
@@ -221,15 +238,18 @@ def corpus_index(texts: DataFrame, text: str) -> Index:
     return index.weigh(df, df.get("", 0))
 
 
-def residue(texts: DataFrame, ident: str, text: str) -> DataFrame:
-    """``ident`` and ``kind`` of every text that holds residue or is an error page or a notice."""
+def residue(texts: DataFrame, ident: str, text: str, among: DataFrame | None = None) -> DataFrame:
+    """``ident``, ``kind`` and ``exemplar`` of every text that holds residue or is an error page or a notice.
+
+    ``among``, if given, holds the texts to judge; document frequencies are those of all ``texts``.
+    """
     index = texts.sparkSession.sparkContext.broadcast(corpus_index(texts, text))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            kind = [index.value.judge(b) for b in df["_text"]]
-            out = pd.DataFrame({"_id": df["_id"], "kind": kind})
-            yield out[out["kind"].notna()]
+            found = [(i, *got) for i, b in zip(df["_id"], df["_text"]) if (got := index.value.judge(b))]
+            yield pd.DataFrame(found, columns=["_id", "kind", "exemplar"])
 
-    schema = f"_id {texts.schema[ident].dataType.simpleString()}, kind string"
-    return texts.select(F.col(ident).alias("_id"), F.col(text).alias("_text")).mapInPandas(judge, schema).withColumnRenamed("_id", ident)
+    schema = f"_id {texts.schema[ident].dataType.simpleString()}, kind string, exemplar string"
+    asked = texts if among is None else among
+    return asked.select(F.col(ident).alias("_id"), F.col(text).alias("_text")).mapInPandas(judge, schema).withColumnRenamed("_id", ident)

@@ -15,7 +15,7 @@ def index():
 
 def test_residue(index):
     for bad, kind in (("Hello {{ user.name }}, welcome.", "placeholder"), ("Text with %%TITLE%% inside.", "placeholder"), ("By [INSERT QUOTE HERE]", "placeholder"), ("Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "filler"), ("404 Not Found\nnginx", "error"), ("Please enable JavaScript to read this page.", "gate"), ("页面不存在\n您访问的内容可能已被删除。", "error")):
-        assert index.judge(bad) == kind, bad
+        assert index.judge(bad)[0] == kind, bad
     for good in (None, "", PROSE[0], "The template uses `{{ user }}` here.", "```\nx = '{{ y }}'\n```\n" + PROSE[1], "The crawler saw a 404 page in 61 visits and a “please enable JavaScript” notice in 20 more, which the authors removed by hand.", "x" * 100_000):
         assert index.judge(good) is None, good
 
