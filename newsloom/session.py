@@ -76,6 +76,32 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a written table, or a folder of them, wherever the session's file system keeps it."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+class Scratch:
+    """Intermediate tables of one operation, written into the shared folder and removed when it ends."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.path = spark, f"{shared_dir(spark)}/newsloom/{label}-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """``df`` as a written table, as ``materialize`` does it."""
+        self.n += 1
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        discard(self.spark, self.path)
+
+
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", row_bytes: int = 64, salts: int = 16) -> DataFrame:
     """Join a large, perhaps skewed side to a one-row-per-key side.
 
