@@ -1,321 +1,348 @@
 """Deduplicating new batches against all history with persisted inverted-file vector cells.
 
-A headline is a sparse vector: its character n-grams, hashed into ``DIM`` dimensions, weighted by inverse document
-frequency (fitted once, on the first block, then frozen, so that vectors stay comparable). The cells are the
-dimensions. A vector is filed in the cells of its heaviest dimensions, as many as hold more than ``RADIUS`` of its
-squared length (numbers count as a dimension that outweighs all others): two vectors that share none of these cells differ by more than that, so a probe of a new vector's
-own heaviest dimensions up to the same bound finds every vector within the radius, and no further cell can hold a
-nearer match. Candidates are reranked exactly on the full text. New vectors are appended to the cells; history is
-never worked through again.
-
-Exact copies (same page, same folded headline) are contracted before any vector is made, so hot groups of copies
-cost one vector each.
+A headline is a sparse vector: its character n-grams, hashed into dimensions and weighted by inverse document frequency
+(fitted once, on the first block, then frozen, so that vectors stay comparable). The cells are the dimensions. A vector
+is filed in the cells of its heaviest dimensions, as many as hold more than ``RADIUS`` of its squared length (numbers
+count as a dimension that outweighs all others): the heaviest dimension that two vectors within the radius share is
+among these cells of both, so a probe of a new vector's own cells finds every vector within the radius, and no further
+cell can hold a nearer match. A posting carries the vector's signature, whose differing bits bound the distance from
+below; pairs beyond the bound are not reranked, all others are compared exactly by their full vectors. New vectors are
+appended to the cells.
+
+The index lives in a folder: ``weights``, ``vectors`` (full vectors and texts), ``cells``, ``pages`` and ``titles``
+(accepted rows by page and by headline) and ``links``, each partitioned by block and, where it is probed, by slot of its
+key. A block only reads the slots it asks for and keeps what matches its keys before anything is shuffled. A block
+counts from the moment it is listed in ``commits``; what a broken run left is not read.
+
+Exact copies (same page, same folded headline) are contracted before any vector is made, so hot groups of copies cost
+one vector each. A cell that holds more than ``HOT`` headlines of the same numbers is split by the next dimension that two
+vectors within the radius must share.
 """
 
 from __future__ import annotations
 
-import math
-import re
-import unicodedata
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.urls import page_key
-from ..session import BROADCAST_BYTES, materialize
+from ..session import BROADCAST_BYTES, Scratch, discard, materialize, shared_dir
+from . import headlines as H
 
-DIM = 1 << 21
-#: Share of a vector's squared length that its cells must hold: the search radius (squared, relative).
-RADIUS = 0.45
 #: Texts that the weights assume at least: in a small first block a slip must not outweigh a headline.
 LEAST_TEXTS = 10_000
-#: Shared n-grams (Dice) from which two headlines with the same numbers tell one story.
-SIMILAR = 0.72
-#: Share of a cut headline's n-grams that the whole one must have.
-CONTAINED = 0.9
-_CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
-_WORD = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_぀-ヿ㐀-鿿가-힯]+|[぀-ヿ㐀-鿿가-힯]")
-_CUT = re.compile(r"\s*(?:…|\.{3,}|\[…\]|\[\.{3}\])\s*$")
-# fixed values: labels that announce a repost and tell nothing of the story
-LABELS = re.compile(r"^\s*[\[\(【]?\s*(?:update[ds]?|breaking|new|exclusive|correction|corrected|live|watch|eilmeldung|aktualisiert|actualizado|última hora|mise à jour|urgent|atualizado|urgente|速報|更新|快讯|最新|突发|独家)\s*(?:[\]\)】]|[:：|–—-])\s*", re.I)
-
-
-def plain_title(title: str | None) -> tuple[str, bool]:
-    """A headline in one width, without invisible characters, emoji and doubled blanks; and whether it was cut."""
-    t = unicodedata.normalize("NFKC", title or "")
-    t = "".join(c if unicodedata.category(c) not in ("So", "Sk", "Cs", "Co", "Mn") else " " for c in t if unicodedata.category(c) not in ("Cf", "Cc") or c.isspace())
-    t = " ".join(t.split())
-    while (m := LABELS.match(t)) and m.end() < len(t):
-        t = t[m.end() :].strip()
-    cut = bool(_CUT.search(t))
-    return _CUT.sub("", t), cut
-
-
-def strip_site(t: str, names: frozenset[str]) -> str:
-    """``t`` without a leading ``Site: `` or a trailing `` - Site`` that names a known source."""
-    for sep in re.finditer(r"\s*[-–—|·:：]\s*", t):
-        if sep.group().strip() in ":：" and t[: sep.start()].casefold() in names:
-            return t[sep.end() :]
-    last = None
-    for last in re.finditer(r"\s+[-–—|·]\s+", t):
-        pass
-    if last and t[last.end() :].casefold() in names:
-        return t[: last.start()]
-    return t
-
-
-def fold(t: str) -> str:
-    """The words of a headline, in order, folded; punctuation doesn't count."""
-    return " ".join(_WORD.findall(t.casefold().replace("ß", "ss")))
-
-
-def grams(folded: str) -> list[str]:
-    """Character 5-grams of the folded words, 3-grams where the script has no blanks."""
-    n = 3 if _CJK.search(folded) else 5
-    s = f" {folded.replace(' ', '') if n == 3 else folded} "
-    return list({s[i : i + n] for i in range(max(1, len(s) - n + 1))})
-
-
-def buckets(folded: str) -> np.ndarray:
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(g) & (DIM - 1) for g in grams(folded)), dtype=np.int64))
-
-
-def cells_of(folded: str, weight: np.ndarray, radius: float = RADIUS) -> np.ndarray:
-    """The heaviest dimensions that together hold more than ``radius`` of the squared length."""
-    b = buckets(folded)
-    w = weight[b].astype(np.float64) ** 2
-    order = np.lexsort((b, -w))
-    held = np.cumsum(w[order])
-    return b[order][: int(np.searchsorted(held, radius * held[-1], side="right")) + 1]
-
-
-def numbers(folded: str) -> list[str]:
-    return [w for w in folded.split() if w[0].isdigit()]
-
-
-def _near(a: str, b: str) -> bool:
-    """Whether one word is a slip of the other: few edits, transpositions as one."""
-    if abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 2:
-        return False
-    most = 1 if max(len(a), len(b)) < 5 else 2 if max(len(a), len(b)) < 9 else 3
-    two, one = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            v = min(one[j] + 1, row[-1] + 1, one[j - 1] + (x != y))
-            if two and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, two[j - 2] + 1)
-            row.append(v)
-        two, one = one, row
-    return one[-1] <= most
-
-
-def same_story(a: str, b: str, a_raw: str, b_raw: str, a_cut: bool, b_cut: bool, weight: np.ndarray) -> bool:
-    """The exact rerank of a candidate pair of folded headlines."""
-    ga, gb = set(grams(a)), set(grams(b))
-    shared = len(ga & gb)
-    na, nb = numbers(a), numbers(b)
-    wa, wb = Counter(a.split()), Counter(b.split())
-    if a_cut or b_cut:
-        short, long = (a, b) if len(a) <= len(b) else (b, a)
-        gs = ga if short is a else gb
-        if (a_cut if short is a else b_cut) and len(short) >= 12 and shared >= (CONTAINED if not long.startswith(short[: len(short) * 3 // 4]) else 0.8) * len(gs):
-            few, many = Counter(numbers(short)), Counter(numbers(long))
-            rest = few - many
-            # the last number of a cut headline may itself be cut
-            return not rest or (len(list(rest.elements())) == 1 and short.split()[-1] in rest)
-    if Counter(na) != Counter(nb):
-        return False
-    if 2 * shared < SIMILAR * (len(ga) + len(gb)):
-        # many slips in a short headline break most n-grams; then the words decide
-        if sum((wa & wb).values()) < 0.6 * max(sum(wa.values()), sum(wb.values())):
-            return False
-    only_a, only_b = list((wa - wb).elements()), list((wb - wa).elements())
-    for x in list(only_a):
-        hit = next((y for y in only_b if _near(x, y)), None)
-        if hit is not None:
-            only_a.remove(x)
-            only_b.remove(hit)
-    if max(len(only_a), len(only_b)) > max(2, 0.3 * max(sum(wa.values()), sum(wb.values()))):
-        return False
-    # a name on either side that the other lacks: another product
-    return not (_names(only_a, a_raw, weight) and _names(only_b, b_raw, weight))
-
-
-def _names(words: list[str], raw: str, weight: np.ndarray) -> list[str]:
-    latin = re.findall(r"[^\W\d_぀-ヿ㐀-鿿가-힯]+", raw)
-    titled = len(latin) > 5 and sum(w[0].isupper() for w in latin) > 0.75 * len(latin)
-    upper = {w.casefold() for w in latin if w[0].isupper()}
-    return [w for w in words if w in upper and len(w) > 2 and not (titled and weight[xxhash.xxh32_intdigest(f"w:{w}") & (DIM - 1)] < 0.8 * weight.max())]
+#: Slots of the index's folders by cell or key.
+SLOTS = 16
+#: Headlines of a cell from which it is split by a second dimension.
+HOT = 4_096
+_SIG = [f"s{i}" for i in range(H.SIGNATURE)]
+_POSTING = "cell long, num int, cut boolean, id long, n int, " + ", ".join(f"{s} long" for s in _SIG)
+_TEXT = "t binary, raw string, folded string, cut boolean, id long, num int, n int, dims binary, " + ", ".join(f"{s} long" for s in _SIG)
 
 
 def _keys(batches: Iterator[pd.DataFrame], names: frozenset[str]) -> Iterator[pd.DataFrame]:
+    digest = lambda kind, x: xxhash.xxh3_128_digest(f"{kind}{x}")
     for df in batches:
         out = []
         for row, title, url in zip(df["row_id"], df["title"], df["url"]):
-            t, cut = plain_title(title)
-            t = strip_site(t, names)
-            f = fold(t)
-            key = page_key(url)
-            out.append((row, key or (None if f else f"#{row}"), (f + ("…" if cut else "")) if f else None, t, f, cut))
-        yield pd.DataFrame(out, columns=["row_id", "u", "t", "raw", "folded", "cut"])
+            t, cut = H.plain_title(title)
+            t = H.strip_site(t, names)
+            f = H.fold(t)
+            page = page_key(url) or (None if f else f"#{row}")
+            u, key = page and digest("u", page), digest("t", f + ("…" if cut else "")) if f else None
+            out.append((row, (u or b"") + b"|" + (key or b""), u, key, t, f, cut))
+        yield pd.DataFrame(out, columns=["row_id", "k", "u", "t", "raw", "folded", "cut"])
+
+
+def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for df in batches:
+        folded = list(df["folded"])
+        starts, dims = H.vectors(folded)
+        signs = H.signatures(starts, dims)
+        flat = dims.astype(np.int32)
+        df["id"] = [int.from_bytes(t[:8], "little", signed=True) for t in df["t"]]
+        df["num"] = [H.number_key(f) for f in folded]
+        df["n"] = np.diff(starts)
+        df["dims"] = [flat[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])]
+        for i, s in enumerate(_SIG):
+            df[s] = signs[:, i]
+        yield df
+
+
+def _unpacked(dims: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer(b"".join(dims), dtype=np.int32).astype(np.int64)
+    return np.concatenate([[0], np.cumsum([len(x) // 4 for x in dims], dtype=np.int64)]), flat
+
+
+def _bits(*of: Column) -> Column:
+    out = F.bit_count(of[0])
+    for x in of[1:]:
+        out = out + F.bit_count(x)
+    return out
 
 
 class HistoryIndex:
-    """What has been seen so far, as written tables that are only appended to: ``rows`` (accepted: row, u, t), ``texts`` (t,
-    raw, folded, cut, id), ``cells`` (cell, num, cut, id) and ``links`` (t_p, t_q: two texts that tell one story).
+    """All that was seen so far, below ``path`` (given, or in the shared folder): opens what is there, else starts anew.
 
     Rows without a usable title are told by their page only, rows without a usable address by their title only; a row
     with neither is always accepted. Ties of row_id are one row. An empty block changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, site_names: frozenset[str] = frozenset()) -> None:
+    def __init__(self, spark: SparkSession, site_names: frozenset[str] = frozenset(), path: str | None = None) -> None:
         self.spark, self.names = spark, frozenset(n.casefold() for n in site_names)
-        self.rows: list[DataFrame] = []
-        self.texts: list[DataFrame] = []
-        self.cells: list[DataFrame] = []
-        self.links: list[DataFrame] = []
-        self.weight: np.ndarray | None = None
-
-    @staticmethod
-    def _all(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for more in parts[1:]:
-            out = out.unionByName(more)
-        return out
+        self.path = path or f"{shared_dir(spark)}/newsloom/history-{uuid.uuid4().hex}"
+        self.blocks = self._committed()
+        self.weight = None
+        if self.blocks:
+            got = spark.read.parquet(f"{self.path}/weights").toPandas()
+            self.weight = np.full(H.CLASSES, got["other"].iloc[0], dtype=np.float32)
+            self.weight[got["b"].to_numpy(dtype=np.int64)] = got["w"].to_numpy(dtype=np.float32)
+
+    def _exists(self, name: str) -> bool:
+        there = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return there.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+    def _committed(self) -> list[int]:
+        return sorted(r[0] for r in self.spark.read.schema("block int").parquet(f"{self.path}/commits").collect()) if self._exists("commits") else []
+
+    def _read(self, name: str, schema: str, slots: list[int] | None = None) -> DataFrame | None:
+        """A table of the index, its committed blocks and the wanted slots only; None if nothing is there."""
+        if not self.blocks:
+            return None
+        full = StructType.fromDDL(schema + ", block int" + (", slot int" if name in ("cells", "pages", "titles") else ""))
+        out = self.spark.read.schema(full).parquet(f"{self.path}/{name}").where(F.col("block").isin(self.blocks))
+        return out if slots is None else out.where(F.col("slot").isin(slots))
+
+    def _append(self, df: DataFrame, name: str, slot: Column | None = None, sort: tuple[str, ...] = ()) -> None:
+        df = df.withColumn("block", F.lit(len(self.blocks)))
+        by = ["block"]
+        if slot is not None:
+            df, by = df.withColumn("slot", slot), ["block", "slot"]
+            df = df.sortWithinPartitions("slot", *sort)
+        df.write.mode("append").option("compression", "zstd").partitionBy(*by).parquet(f"{self.path}/{name}")
+
+    def _slot(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+
+    def _near_keys(self, name: str, schema: str, key: str, asked: DataFrame) -> DataFrame | None:
+        """The rows of an index table whose ``key`` is among ``asked`` (one column): only the slots asked for are read, and
+        what doesn't match goes before any shuffle while the keys are few enough to be carried."""
+        if not self.blocks:
+            return None
+        seen = asked.select(self._slot(key).alias("s")).agg(F.collect_set("s"), F.count("*")).first()
+        held = self._read(name, schema, sorted(seen[0]))
+        small = seen[1] * 40 <= BROADCAST_BYTES
+        return held.join(F.broadcast(asked) if small else asked, key, "left_semi")
 
     def _fit(self, texts: DataFrame) -> None:
-        """Document frequencies of all dimensions over the first block; ``DIM`` counters at most reach the driver."""
+        """Document frequencies of all classes over the first block; ``CLASSES`` counters at most reach the driver."""
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            n = np.zeros(DIM, dtype=np.int64)
+            n, total = np.zeros(H.CLASSES, dtype=np.int64), 0
             for df in batches:
+                total += len(df)
+                n += np.bincount(_unpacked(df["dims"])[1] & (H.CLASSES - 1), minlength=H.CLASSES)
                 for f in df["folded"]:
-                    n[buckets(f)] += 1
-                    n[list({xxhash.xxh32_intdigest(f"w:{w}") & (DIM - 1) for w in f.split()})] += 1
+                    for w in set(f.split()):
+                        n[H.word_class(w)] += 1
             at = np.flatnonzero(n)
-            yield pd.DataFrame({"b": at, "n": n[at]})
+            yield pd.DataFrame({"b": np.append(at, -1), "n": np.append(n[at], total)})
+
+        got = texts.select("dims", "folded").mapInPandas(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+        total = max(LEAST_TEXTS, int(got.loc[got["b"] < 0, "n"].sum()))
+        got = got[got["b"] >= 0]
+        other = float(np.log((total + 1) / 0.5))
+        self.weight = np.full(H.CLASSES, other, dtype=np.float32)
+        self.weight[got["b"].to_numpy(dtype=np.int64)] = np.log((total + 1) / (got["n"].to_numpy() + 0.5)).clip(0.05)
+        got = got.assign(w=self.weight[got["b"].to_numpy(dtype=np.int64)].astype(float), other=other)
+        rows = self.spark.createDataFrame(got[["b", "w", "other"]] if len(got) else pd.DataFrame({"b": [0], "w": [other], "other": [other]}))
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/weights")
+
+    def _postings(self, texts: DataFrame, radius: float = H.RADIUS) -> DataFrame:
+        weight_b = self.spark.sparkContext.broadcast(self.weight)
+
+        def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for df in batches:
+                who, cell = H.cells_of(*_unpacked(df["dims"]), weight_b.value, radius)
+                yield pd.DataFrame({"cell": cell, **{c: df[c].to_numpy()[who] for c in ("num", "cut", "id", "n", *_SIG)}})
+
+        return texts.select("dims", "num", "cut", "id", "n", *_SIG).mapInPandas(file, _POSTING)
+
+    def _split_hot(self, postings: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+        """``postings`` with those of hot cells filed under two dimensions: the cell, and each lighter one that may be the
+        next that a vector within the radius shares."""
+        hot = postings.where("not cut").groupBy("cell", "num").count().where(F.col("count") > HOT).select("cell", "num")
+        hot = scratch.write(hot)
+        if hot.isEmpty():
+            return postings
+        hot = F.broadcast(hot)  # at most postings / HOT of them
+        weight_b = self.spark.sparkContext.broadcast(self.weight)
+        mine = postings.where("not cut").join(hot, ["cell", "num"]).groupBy("id").agg(F.collect_set("cell").alias("hot"))
 
-        got = texts.select("folded").mapInPandas(count, "b long, n long").groupBy("b").agg(F.sum("n").cast("int").alias("n")).select(F.col("b").cast("int").alias("b"), "n").toPandas()
-        df = np.zeros(DIM, dtype=np.int64)
-        df[got["b"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
-        total = max(LEAST_TEXTS, texts.count())
-        self.weight = np.log((total + 1) / (df + 0.5)).clip(0.05).astype(np.float32)
+        def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for df in batches:
+                rows, cells = [], []
+                for i, (dims, hot_) in enumerate(zip(df["dims"], df["hot"])):
+                    d = np.frombuffer(dims, dtype=np.int32).astype(np.int64)
+                    w = weight_b.value[d & (H.CLASSES - 1)].astype(np.float64) ** 2
+                    order = np.lexsort((d, -w))
+                    d, w = d[order], w[order]
+                    lost = np.cumsum(w) - w
+                    for c in hot_:
+                        at = int(np.flatnonzero(d == c)[0])
+                        # from the cell on, what lies between it and the next shared dimension is lost as well
+                        ok = np.flatnonzero(lost[at + 1 :] - w[at] <= H.RADIUS * w.sum()) + at + 1
+                        rest = 1 - (lost[at] + w[at]) / w.sum() if at + 1 < len(d) else 0.0
+                        two = [int(c) << H.DIM_BITS | int(x) for x in d[ok]]
+                        # the cell alone may hold all that is shared
+                        if lost[at] + rest * w.sum() <= H.RADIUS * w.sum():
+                            two.append(int(c) << H.DIM_BITS | int(c))
+                        rows += [i] * len(two)
+                        cells += two
+                yield pd.DataFrame({"cell": np.array(cells, dtype=np.int64), **{c: df[c].to_numpy()[rows] for c in ("num", "cut", "id", "n", *_SIG)}})
+
+        more = texts.join(mine, "id").select("dims", "num", "cut", "id", "n", *_SIG, "hot").mapInPandas(second, _POSTING)
+        return postings.join(hot, ["cell", "num"], "left_anti").unionByName(more)
 
     def ingest(self, block: DataFrame) -> DataFrame:
         """Check a block (row_id, title, url) against history and itself, append what is accepted, return ``row_id_a``, ``row_id_b``."""
+        with Scratch(self.spark, "ingest") as scratch:
+            return self._ingest(block, scratch)
+
+    def _ingest(self, block: DataFrame, scratch: Scratch) -> DataFrame:
         names = self.names
-        keyed = materialize(
-            block.select("row_id", "title", "url").mapInPandas(lambda it: _keys(it, names), "row_id long, u string, t string, raw string, folded string, cut boolean"),
-            "keys",
-        )
+        keyed = scratch.write(block.select("row_id", "title", "url").mapInPandas(lambda it: _keys(it, names), "row_id long, k binary, u binary, t binary, raw string, folded string, cut boolean"))
         # contract copies: one node per page and headline, its first row stands for it
-        nodes = keyed.groupBy("u", "t").agg(F.min("row_id").alias("row"))
+        first = keyed.groupBy("k").agg(F.min("row_id").alias("row"))
+        rows = scratch.write(keyed.select("row_id", "k", "u", "t").join(first, "k").select("row_id", "row", "u", "t"))
+        nodes = rows.where("row_id = row").select("row", "u", "t").dropDuplicates(["row"])
         texts = keyed.where(F.col("t").isNotNull()).groupBy("t").agg(*[F.min_by(c, "row_id").alias(c) for c in ("raw", "folded", "cut")])
-        texts = materialize(texts.mapInPandas(_with_id, "t string, raw string, folded string, cut boolean, id long"), "texts")
+        known = self._near_keys("titles", "t binary, row long", "t", texts.select("t")) if self.blocks else None
+        seen = self._read("vectors", _TEXT)
+        if seen is not None:
+            texts = texts.join(seen.select("t"), "t", "left_anti")
+        fresh = scratch.write(texts.mapInPandas(_vectors, _TEXT))
         if self.weight is None:
-            self._fit(texts)
-        weight_b = self.spark.sparkContext.broadcast(self.weight)
-        fresh = texts if not self.texts else materialize(texts.join(self._all(self.texts).select("t"), "t", "left_anti"), "fresh")
+            self._fit(fresh)
+        links = self._links(fresh, scratch)
+        decided = self._resolve(nodes, links, known, scratch)
+        # append: accepted rows by page and by headline, new texts with their vectors, their cells and links; what is there
+        # is not written again. A text of which no row was accepted stays in the cells, but without an accepted row it tells nothing
+        accepted = nodes.join(decided.where("a = row").select("row"), "row")
+        self._append(accepted.where("u is not null").select("u", "row"), "pages", self._slot("u"), ("u",))
+        self._append(accepted.where("t is not null").select("t", "row"), "titles", self._slot("t"), ("t",))
+        self._append(fresh, "vectors")
+        self._append(links, "links")
+        out = rows.select("row_id", "row").join(decided, "row").select(F.col("a").alias("row_id_a"), F.col("row_id").alias("row_id_b")).where("row_id_a < row_id_b").distinct()
+        out = materialize(out, "repeats")
+        self.spark.createDataFrame([(len(self.blocks),)], "block int").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        self.blocks = self._committed()
+        return out
 
-        def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for df in batches:
-                cells = [cells_of(f, weight_b.value) for f in df["folded"]]
-                n = [len(c) for c in cells]
-                num = [xxhash.xxh32_intdigest(" ".join(sorted(numbers(f)))) >> 1 for f in df["folded"]]
-                yield pd.DataFrame(
-                    {"cell": np.concatenate(cells).astype(np.int32) if n else [], "num": np.repeat(num, n), "cut": np.repeat(df["cut"].to_numpy(dtype=bool), n), "id": np.repeat(df["id"].to_numpy(dtype=np.int64), n)}
-                )
-
-        new = materialize(fresh.select("id", "folded", "cut").mapInPandas(file, "cell int, num int, cut boolean, id long"), "cells")
-        held = self._all([*self.cells, new])
-        # the numbers of a headline are a dimension of their own, of endless weight; only a cut headline may lack some
-        x, y = new.alias("x"), held.alias("y")
-        cell, ends = F.col("x.cell") == F.col("y.cell"), [F.least("x.id", "y.id").alias("p"), F.greatest("x.id", "y.id").alias("q")]
-        pairs = x.where("not cut").join(y.where("not cut"), cell & (F.col("x.num") == F.col("y.num")) & (F.col("x.id") != F.col("y.id"))).select(*ends)
-        # cut headlines are few: they are carried to the cells, while their size allows it
-        carry = lambda df: F.broadcast(df) if df.count() * 24 <= BROADCAST_BYTES else df
-        for one, other in ((carry(new.where("cut")).alias("x"), y), (x, carry(held.where("cut")).alias("y"))):
-            pairs = pairs.unionByName(one.join(other, cell & (F.col("x.id") != F.col("y.id"))).select(*ends))
-        pairs = pairs.distinct()
-        full = self._all([*self.texts, fresh])
-        side = lambda k: full.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("t", "raw", "folded", "cut")])
+    def _links(self, fresh: DataFrame, scratch: Scratch) -> DataFrame:
+        """Fresh headlines and those, fresh or in history, that tell the same story: (t, o) both ways round."""
+        new = scratch.write(self._postings(fresh))
+        self._append(new, "cells", self._slot("cell"), ("cell", "num"))
+        held = self._read("cells", _POSTING)
+        pair = [F.least("x.id", "y.id").alias("p"), F.greatest("x.id", "y.id").alias("q")]
+        cell = F.col("x.cell") == F.col("y.cell")
+        differ = _bits(*[F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}")) for s in _SIG])
+        close = (F.col("x.num") == F.col("y.num")) & (differ <= (1 - H.SIMILAR) * (F.col("x.n") + F.col("y.n")))
+        lacks = lambda a, b: _bits(*[F.col(f"{a}.{s}").bitwiseAND(F.bitwise_not(f"{b}.{s}")) for s in _SIG]) <= (1 - H.BEGINS) * F.col(f"{a}.n")
+        part = (F.col("x.cut") & lacks("x", "y")) | (F.col("y.cut") & lacks("y", "x"))
+        plain = self._split_hot(new, fresh, scratch).where("not cut")
+        pairs = plain.alias("x").join(plain.alias("y"), cell & close & (F.col("x.id") < F.col("y.id"))).select(*pair)
+        cut, cells = new.where("cut"), new.select("cell").distinct()
+        carry = lambda df: F.broadcast(df) if df.count() * 80 <= BROADCAST_BYTES else df
+        # cut headlines are few, and may lack numbers: they are carried to the cells, while their size allows it
+        pairs = pairs.unionByName(carry(cut).alias("x").join(new.alias("y"), cell & part & (F.col("x.id") != F.col("y.id"))).select(*pair))
+        if held is not None:
+            near = self._near_keys("cells", _POSTING, "cell", cells)
+            pairs = pairs.unionByName(new.where("not cut").alias("x").join(near.where("not cut").alias("y"), cell & close).select(*pair))
+            pairs = pairs.unionByName(carry(cut).alias("x").join(near.alias("y"), cell & part).select(*pair))
+            pairs = pairs.unionByName(new.where("not cut").alias("x").join(carry(near.where("cut")).alias("y"), cell & part).select(*pair))
+        pairs = scratch.write(pairs.where("p <> q").distinct())
+        # only the vectors that are compared are moved
+        ids = pairs.select(F.explode(F.array("p", "q")).alias("id")).distinct()
+        small = ids.count() * 24 <= BROADCAST_BYTES
+        seen = self._read("vectors", _TEXT)
+        full = fresh if seen is None else fresh.unionByName(seen.drop("block"))
+        full = full.select("id", "t", "raw", "folded", "cut", "dims").join(F.broadcast(ids) if small else ids, "id", "left_semi")
+        side = lambda k: full.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("t", "raw", "folded", "cut", "dims")])
+        weight_b = self.spark.sparkContext.broadcast(self.weight)
 
         def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            vector = lambda x: np.frombuffer(x, dtype=np.int32)
             for df in batches:
-                ok = [same_story(*row, weight_b.value) for row in zip(df["folded_p"], df["folded_q"], df["raw_p"], df["raw_q"], df["cut_p"], df["cut_q"])]
-                yield df.loc[ok, ["t_p", "t_q"]]
-
-        cand = pairs.join(side("p"), "p").join(side("q"), "q").select("t_p", "t_q", "folded_p", "folded_q", "raw_p", "raw_q", "cut_p", "cut_q")
-        links = materialize(cand.mapInPandas(rerank, "t_p string, t_q string"), "links")
-        both = lambda df: df.select(F.col("t_p").alias("t"), F.col("t_q").alias("o")).unionByName(df.select(F.col("t_q").alias("t"), F.col("t_p").alias("o")))
-        near = both(links)
-        if self.links:  # a text of the block that isn't fresh has its links in history
-            near = near.unionByName(materialize(both(self._all(self.links)).join(texts.select("t"), "t", "left_semi"), "known"))
-        decided = self._resolve(materialize(nodes, "nodes"), near)
-        accepted = decided.where("a = row").select("row", "u", "t")
-        # append: accepted rows, new texts, their cells and links; what is there is not written again. A text of which no row
-        # was accepted stays in the cells, but without an accepted row it tells nothing
-        self.rows.append(accepted)
-        self.texts.append(fresh)
-        self.cells.append(new)
-        self.links.append(links)
-        same = lambda x, y: x.eqNullSafe(y)
-        out = keyed.select("row_id", "u", "t").alias("k").join(decided.alias("d"), same(F.col("k.u"), F.col("d.u")) & same(F.col("k.t"), F.col("d.t")))
-        return materialize(out.select(F.col("d.a").alias("row_id_a"), F.col("k.row_id").alias("row_id_b")).where("row_id_a < row_id_b").distinct(), "repeats")
-
-    def _resolve(self, nodes: DataFrame, links: DataFrame) -> DataFrame:
-        """Nodes with ``a``: the accepted row they repeat, themselves if accepted. Greedy in row order, in parallel rounds.
-
-        In a round a node is accepted if no undecided node before it tells the same story, and rejected if an accepted
-        one does. Page and headline act as hubs, so copies never meet in pairs.
+                ok = [
+                    H.same_story(a, b, vector(ga), vector(gb), ra, rb, ca, cb, weight_b.value)
+                    for a, b, ga, gb, ra, rb, ca, cb in zip(df["folded_p"], df["folded_q"], df["dims_p"], df["dims_q"], df["raw_p"], df["raw_q"], df["cut_p"], df["cut_q"])
+                ]
+                got = df.loc[ok, ["t_p", "t_q"]]
+                yield pd.DataFrame({"t": pd.concat([got["t_p"], got["t_q"]]), "o": pd.concat([got["t_q"], got["t_p"]])})
+
+        return scratch.write(pairs.join(side("p"), "p").join(side("q"), "q").drop("p", "q").mapInPandas(rerank, "t binary, o binary"))
+
+    def _resolve(self, nodes: DataFrame, links: DataFrame, titles: DataFrame | None, scratch: Scratch) -> DataFrame:
+        """(row, a) of all nodes: the accepted row they repeat, themselves if accepted. Greedy in row order, in parallel rounds.
+
+        Page and headline are hubs that a node provides and asks, so copies never meet in pairs; a node also asks the
+        headlines its own is linked with. In a round a node is rejected if an accepted one provides a hub it asks, and
+        accepted if no undecided node before it does.
         """
-        acc = self._all(self.rows) if self.rows else None
-        todo, done = nodes, []
+        near = links
+        past = self._read("links", "t binary, o binary")
+        if past is not None:  # a text of the block that isn't fresh has its links in history
+            mine = nodes.where("t is not null").select("t").distinct()
+            near = near.unionByName(past.select("t", "o").join(F.broadcast(mine) if mine.count() * 40 <= BROADCAST_BYTES else mine, "t", "left_semi"))
+        own = nodes.select("row", F.explode(F.array_compact(F.array("u", "t"))).alias("hub")).withColumn("own", F.lit(True))
+        asks = nodes.join(near, "t").select("row", F.col("o").alias("hub"), F.lit(False).alias("own"))
+        edges = scratch.write(own.unionByName(asks))
+        before = None
+        if self.blocks:
+            pages = self._near_keys("pages", "u binary, row long", "u", nodes.where("u is not null").select("u").distinct())
+            before = titles.select(F.col("t").alias("hub"), "row").unionByName(pages.select(F.col("u").alias("hub"), "row"))
+            linked = near.select(F.col("o").alias("t")).distinct()
+            more = self._near_keys("titles", "t binary, row long", "t", linked)
+            before = scratch.write(before.unionByName(more.select(F.col("t").alias("hub"), "row")).groupBy("hub").agg(F.min("row").alias("ma")))
+        done, acc = [], None  # acc: hubs with the smallest row accepted in the round before
         while True:
+            mt = edges.where("own").groupBy("hub").agg(F.min("row").alias("mt"), F.lit(None).cast("long").alias("ma"))
+            if before is not None:
+                mt = mt.unionByName(before.select("hub", F.lit(None).cast("long").alias("mt"), "ma"))
             if acc is not None:
-                hit = self._hubs(todo, acc, links)
-                todo = materialize(todo.join(hit, "row", "left"), "round")
-                done.append(todo.where("best is not null").select("row", "u", "t", F.col("best").alias("a")))
-                todo = todo.where("best is null").select("u", "t", "row")
-            first = materialize(todo.join(self._hubs(todo, todo, links), "row", "left").withColumn("ok", F.coalesce(F.col("best") >= F.col("row"), F.lit(True))), "round")
-            won = first.where("ok").select("row", "u", "t")
-            done.append(won.withColumn("a", F.col("row")))
-            todo = first.where("not ok").select("u", "t", "row")
-            if todo.isEmpty():
+                mt = mt.unionByName(acc)
+            hubs = mt.groupBy("hub").agg(F.min("mt").alias("mt"), F.min("ma").alias("ma"))
+            told = edges.join(hubs, "hub", "left").groupBy("row").agg(F.min("ma").alias("ma"), F.min("mt").alias("mt"))
+            told = scratch.write(told.select("row", F.when(F.col("ma").isNotNull(), F.col("ma")).when(F.coalesce("mt", "row") >= F.col("row"), F.col("row")).alias("a")))
+            done.append(told.where("a is not null"))
+            rest = told.where("a is null").select("row")
+            if rest.isEmpty():
                 break
-            acc = won
-        out = done[0].select("row", "u", "t", "a")
+            todo = scratch.write(edges.join(rest, "row"))
+            won = told.where("a = row").select("row")
+            acc = edges.where("own").join(won, "row").join(todo.select("hub").distinct(), "hub", "left_semi").groupBy("hub").agg(F.lit(None).cast("long").alias("mt"), F.min("row").alias("ma"))
+            acc, edges, before = scratch.write(acc.select("hub", "mt", "ma")), todo, None
+        out = done[0]
         for more in done[1:]:
-            out = out.unionByName(more.select("row", "u", "t", "a"))
-        return materialize(out, "decided")
-
-    @staticmethod
-    def _hubs(nodes: DataFrame, against: DataFrame, links: DataFrame) -> DataFrame:
-        """Per row of ``nodes`` the smallest row of ``against`` that tells its story, by page, headline or a near headline."""
-        by_u = against.where("u is not null").groupBy("u").agg(F.min("row").alias("m"))
-        by_t = against.where("t is not null").groupBy("t").agg(F.min("row").alias("m"))
-        near = links.join(by_t.withColumnRenamed("t", "o"), "o").groupBy("t").agg(F.min("m").alias("m"))
-        found = nodes.join(by_u, "u").select("row", "m").unionByName(nodes.join(by_t.unionByName(near).groupBy("t").agg(F.min("m").alias("m")), "t").select("row", "m"))
-        return found.groupBy("row").agg(F.min("m").alias("best"))
-
+            out = out.unionByName(more)
+        return scratch.write(out)
 
-def _with_id(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for df in batches:
-        df["id"] = [xxhash.xxh64_intdigest(t) - (1 << 63) for t in df["t"]]
-        yield df
 
+def repeats(spark: SparkSession, items: DataFrame, order: str, site_names: frozenset[str], shares: tuple[float, ...] = (0.75,), path: str | None = None) -> DataFrame:
+    """All of ``items`` (row_id, title, url and the rising ``order``), ingested in blocks as they would arrive: the first up to
+    the first of ``shares`` of the batches, and so on. A row without ``order`` goes to the block that its row_id falls into.
 
-def repeats(spark: SparkSession, items: DataFrame, order: str, site_names: frozenset[str], blocks: int = 2) -> DataFrame:
-    """All of ``items`` (row_id, title, url and the rising ``order``), ingested in ``blocks`` blocks as they would arrive. A row without
-    ``order`` goes to the block that its row_id falls into."""
-    index = HistoryIndex(spark, site_names)
-    cuts = sorted(set(items.approxQuantile(order, [i / blocks for i in range(1, blocks)], 0.01))) if blocks > 1 else []
+    Without ``path`` the index is removed at the end.
+    """
+    index = HistoryIndex(spark, site_names, path)
+    cuts = sorted(set(items.approxQuantile(order, list(shares), 0.01))) if shares else []
     tops = list(items.agg(*[F.max(F.when(F.col(order) <= c, F.col("row_id"))) for c in cuts]).first()) if cuts else []
     within = lambda c, a, b: (F.col(c) > a if a is not None else F.lit(True)) & (F.col(c) <= b if b is not None else F.lit(True))
     out, low, under = None, None, None
@@ -323,4 +350,6 @@ def repeats(spark: SparkSession, items: DataFrame, order: str, site_names: froze
         got = index.ingest(items.where(F.when(F.col(order).isNull(), within("row_id", under, top)).otherwise(within(order, low, high))))
         out = got if out is None else out.unionByName(got)
         low, under = high, top
+    if path is None:
+        discard(spark, index.path)
     return out

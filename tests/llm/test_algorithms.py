@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from newsloom.llm import capping, history, mixing, packing
+from newsloom.llm import capping, headlines, history, mixing, packing
 
 
 def test_capping_equals_a_sort(spark):
@@ -81,15 +81,16 @@ def test_pivotal_step_keeps_mass():
 
 
 def brute(rows, names):
-    weight = np.full(history.DIM, 5.0, np.float32)
+    weight = np.full(headlines.CLASSES, 5.0, np.float32)
     told, out = [], {}
     for i, t, u in rows:
-        raw, cut = history.plain_title(t)
-        raw = history.strip_site(raw, names)
-        f, k = history.fold(raw), history.page_key(u)
-        hit = next((a for a, r2, f2, c2, k2 in told if (k and k == k2) or (f and f2 and (f == f2 or history.same_story(f, f2, raw, r2, cut, c2, weight)))), None)
+        raw, cut = headlines.plain_title(t)
+        raw = headlines.strip_site(raw, names)
+        f, k = headlines.fold(raw), history.page_key(u)
+        g = headlines.vectors([f])[1]
+        hit = next((a for a, r2, f2, c2, k2, g2 in told if (k and k == k2) or (f and f2 and (f == f2 or headlines.same_story(f, f2, g, g2, raw, r2, cut, c2, weight)))), None)
         if hit is None:
-            told.append((i, raw, f, cut, k))
+            told.append((i, raw, f, cut, k, g))
         else:
             out[i] = hit
     return out
@@ -110,8 +111,8 @@ ROWS = [
 def test_history(spark):
     names = frozenset({"Beta Blog"})
     df = spark.createDataFrame([(*x, x[0] // 4, "c") for x in ROWS], "row_id long, title string, url string, batch int, u string")
-    for blocks in (1, 3):
-        got = {x["row_id_b"]: x["row_id_a"] for x in history.repeats(spark, df, "batch", names, blocks).collect()}
+    for shares in ((), (0.3, 0.7)):
+        got = {x["row_id_b"]: x["row_id_a"] for x in history.repeats(spark, df, "batch", names, shares).collect()}
         assert got == brute(ROWS, frozenset({"beta blog"})) == {2: 1, 4: 1, 5: 1, 7: 1, 10: 6, 13: 11}
     index = history.HistoryIndex(spark, names)
     assert index.ingest(df.where("false")).count() == 0
@@ -129,21 +130,56 @@ def test_history_keeps_links_between_blocks(spark):
 
 def test_history_takes_rows_without_order(spark):
     df = spark.createDataFrame([(*x, None if x[0] in (1, 4, 13) else x[0] // 4) for x in ROWS], "row_id long, title string, url string, batch int")
-    got = {x["row_id_b"]: x["row_id_a"] for x in history.repeats(spark, df, "batch", frozenset({"Beta Blog"}), 2).collect()}
+    got = {x["row_id_b"]: x["row_id_a"] for x in history.repeats(spark, df, "batch", frozenset({"Beta Blog"}), (0.5,)).collect()}
     assert got == {2: 1, 4: 1, 5: 1, 7: 1, 10: 6, 13: 11}
 
 
+def test_history_opens_again(spark, tmp_path):
+    told, again = ROWS[0][1], ROWS[3][1].removesuffix(" - Beta Blog")
+    schema = "row_id long, title string, url string"
+    path = f"file://{tmp_path}/index"
+    many = [(i, f"Story number {i} about {w} tuning in a {v} cluster", f"https://a.test/{i}x") for i, (w, v) in enumerate(((a, b) for a in "cache router prompt kernel".split() for b in "small large shared quiet".split()), 10)]
+    history.HistoryIndex(spark, path=path).ingest(spark.createDataFrame([(1, told, "https://a.test/1"), *many], schema))
+    size = sum(f.stat().st_size for f in (tmp_path / "index").rglob("*.parquet"))
+    # another run opens the folder and finds what is there, by headline, by page and by a near headline
+    index = history.HistoryIndex(spark, path=path)
+    assert index.blocks == [0] and index.weight is not None
+    second = spark.createDataFrame([(91, told, "https://x.test/1"), (92, again, "https://y.test/1"), (93, "Quite another headline here", "https://a.test/1"), (94, "Entirely new words of no relation", "https://z.test/1")], schema)
+    assert sorted(tuple(x) for x in index.ingest(second).collect()) == [(1, 91), (1, 92), (1, 93)]
+    # what was there was not written again, and a block that was never listed is not read
+    assert sum(f.stat().st_size for f in (tmp_path / "index").rglob("block=0/**/*.parquet")) <= size
+    assert history.HistoryIndex(spark, path=path).blocks == [0, 1]
+    # few keys ask for few slots only
+    near = index._near_keys("titles", "t binary, row long", "t", spark.createDataFrame([(bytearray(b"k"),)], "t binary"))
+    assert len({f.split("slot=")[1].split("/")[0] for f in near.inputFiles()}) <= history.SLOTS and "PartitionFilters" in near._jdf.queryExecution().toString()
+
+
+def test_hot_cells_are_split(spark, monkeypatch):
+    r = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "reward", "kernel", "cache", "router"]
+    rows = [(i, "Zorban " + " ".join(r.choices(words, k=5)), f"https://a.test/{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, title string, url string")
+    whole = sorted(tuple(x) for x in history.HistoryIndex(spark).ingest(df).collect())
+    monkeypatch.setattr(history, "HOT", 3)
+    assert sorted(tuple(x) for x in history.HistoryIndex(spark).ingest(df).collect()) == whole
+
+
 def test_cells_find_all_within_the_radius():
     r = random.Random(6)
     words = ["alpha", "beta", "gamma", "delta", "reward", "kernel", "cache", "router", "prompt", "token", "vector", "sparse"]
     texts = [" ".join(r.choices(words, k=7)) for _ in range(120)]
-    weight = np.random.default_rng(1).uniform(0.5, 3, history.DIM).astype(np.float32)
-    sets = [history.buckets(t) for t in texts]
-    cells = [set(history.cells_of(t, weight)) for t in texts]
+    weight = np.random.default_rng(1).uniform(0.5, 3, headlines.CLASSES).astype(np.float32)
+    starts, dims = headlines.vectors(texts)
+    who, cell = headlines.cells_of(starts, dims, weight)
+    sign = headlines.signatures(starts, dims).view(np.uint64)
+    sets = [dims[a:b] for a, b in zip(starts[:-1], starts[1:])]
+    cells = [set(cell[who == i].tolist()) for i in range(len(texts))]
+    length = lambda d: (weight[d & (headlines.CLASSES - 1)].astype(float) ** 2).sum()
     for i in range(len(texts)):
         for j in range(i):
-            apart = (weight[np.setxor1d(sets[i], sets[j])].astype(float) ** 2).sum()
-            least = min((weight[s].astype(float) ** 2).sum() for s in (sets[i], sets[j]))
-            # within the radius: the two can't be apart by all the cells that one of them is filed in
-            if apart <= history.RADIUS * least and not cells[i] & set(sets[j]):
-                raise AssertionError((texts[i], texts[j]))
+            both = np.intersect1d(sets[i], sets[j])
+            # within the radius: what either side lacks of the other is at most that share of its squared length
+            if length(both) >= (1 - headlines.RADIUS) * max(length(sets[i]), length(sets[j])):
+                assert cells[i] & cells[j], (texts[i], texts[j])
+            # the signature never tells more difference than there is
+            assert np.bitwise_count(sign[i] ^ sign[j]).sum() <= len(sets[i]) + len(sets[j]) - 2 * len(both)
