@@ -1,32 +1,34 @@
 """The main body of a page: wrappers inferred per host by aligning token streams.
 
-A page is a stream of lines. Lines that recur on the pages of a host are its literals; all others are text. Streams of
-one host are aligned one after the other into a union-free wrapper: equal tokens stay literals, a token that one
-side lacks becomes optional, runs of headline-like lines become a repeated group, runs of other text become a text
-slot. Hosts are worked in groups of bounded size (a hot host is split by salt) and their partial wrappers are aligned
-again in a tree. A page is not aligned with its host's wrapper: line counts decide which lines are literals,
-and the wrapper only tells which of them head a repeated group (teasers below their heading) and which words are a menu's.
-
-Literals that several hosts share (with the site's name masked) also serve hosts with too few pages for a wrapper.
-Markup of the article's own structure (headings, lists, quotes, code) is never a literal. Null and empty bodies have
-no lines.
+A page is a stream of lines. Lines that recur on the pages of a host, or on several hosts with the site's name masked, are
+candidates for its literals; runs of menu entries and lines made of entries are repeated groups; all else is text.
+The streams of one host are aligned one after the other (longest common subsequence) into a union-free wrapper: equal
+tokens become one node, a token that one side lacks becomes an optional node, what lies between nodes is a text slot,
+and a slot that holds a run of headlines after most occurrences of a node is a repeated group that the node heads.
+Hosts are worked in groups of bounded size (a hot host is split by salt) and their partial wrappers are aligned again in
+a tree.
+
+A page is read by aligning it with its host's wrapper. Lines that meet a node of enough support are the site's, and so
+are repeated groups: menus, and the headlines below a node that heads them. Lines in slots are the article's, also those
+of a literal's words that stand where the wrapper has no such node. Markup of the article's own structure (headings,
+lists, quotes, code) is never a token. Null and empty bodies have no lines.
 """
 
 from __future__ import annotations
 
-import json
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import page_key
-from ..session import materialize
+from ..session import Scratch, join_small, materialize
 
 #: Pages of one group: bounds what a task holds of a host.
 GROUP_PAGES = 2_000
@@ -41,15 +43,25 @@ SHARED = 0.08
 ENOUGH = 20
 #: Hosts, and share of all pages, from which a plain line counts everywhere.
 HOSTS, SPREAD = 3, 1 / 20_000
-#: Share of a literal's occurrences that a repeated group must follow for it to head that group.
+#: Share of a node's occurrences that a run of headlines must follow for it to head a repeated group.
 HEADS = 0.5
+#: Pages that must meet a node for it to be the site's, if no other host shows the line.
+MET = 2
 #: Characters of a menu entry; entries that make a run of lines, or a line, a menu.
 ENTRY, RUN = 24, 2
 SITE = "§"
+#: Tokens of repeated groups: a run of menu entries, a line of entries. Digests are never so small.
+MENU, LIST = 1, 2
+#: What a line is, besides its digest: of the article's structure, a possible headline, a menu entry, a line of entries, a
+#: path to the page, a part of the line before.
+OWN, HEADLINE, ENTRY_, ENTRIES, PATH, PART = 1, 2, 4, 8, 16, 32
+LINE = np.dtype([("no", "<i4"), ("x", "<i8"), ("f", "u1")])
+KINDS = ("plain", "site", "sentence", "code", "part", "page")
 _SEPARATORS = re.compile(r"\s*[|·•›»>/]\s*|\s{2,}|\s+-\s+")
 _STRUCTURE = re.compile(r"^\s*(?:#{1,6}\s|[-*+]\s|>\s?|\|)")
 _END = re.compile(r"[.!?。！？…:;；：][\"”»’）)]*$")
-_INNER = re.compile(r"[.!?]\s+[A-ZÀ-Þ„“«¿¡]|[。！]")
+_INNER = re.compile(r"[.!]\s+[A-ZÀ-Þ„“«¿¡]|[。！]")
+_ITEM = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+")
 _CODE = re.compile(r"[{}=$\\]|<[^<>]*>|://|^[a-z_]+: ")
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 
@@ -83,8 +95,8 @@ def lines(body: str) -> Iterator[tuple[int, str, bool]]:
 
 
 def headline(line: str) -> bool:
-    """Whether a line could be a headline: one clause, without a full stop, of some length."""
-    s = line.strip()
+    """Whether a line could be a headline, perhaps as an entry of a list: one clause, without a full stop, of some length."""
+    s = _ITEM.sub("", line).strip()
     return 8 <= len(s) <= 220 and not re.search(r"[.。!！;；:：]$", s) and not _INNER.search(s)
 
 
@@ -99,232 +111,302 @@ def segments(masked: str) -> list[str]:
 
 
 class Wrapper:
-    """A union-free wrapper: nodes [token, support]; literals are digests, ``S`` a repeated group of headlines, ``T`` a text slot."""
+    """A union-free wrapper: nodes [token, pages that meet it, pages on which a run of headlines follows]; between nodes lie slots."""
 
-    def __init__(self, nodes: list | None = None, pages: int = 0, follow: dict | None = None) -> None:
+    def __init__(self, nodes: list | None = None, pages: int = 0) -> None:
         self.nodes = nodes or []
         self.pages = pages
-        self.follow = Counter(follow or {})  # literals that a repeated group follows
-
-    def align(self, stream: list[str], pages: int = 1, support: list[int] | None = None) -> None:
+        self._index()
+
+    def _index(self) -> None:
+        self.places: dict[int, list[int]] = defaultdict(list)
+        for i, x in enumerate(self.nodes):
+            self.places[x[0]].append(i)
+
+    def match(self, tokens: list[int]) -> list[int]:
+        """The node of every token in the longest common subsequence, -1 for tokens outside it."""
+        ends: list[int] = []  # the smallest node that a common subsequence of each length ends at
+        last: list[tuple[int, int]] = []
+        back: list[tuple[int, int, int]] = []
+        for k, t in enumerate(tokens):
+            for j in reversed(self.places.get(t, ())):
+                at = bisect_left(ends, j)
+                back.append((k, j, last[at - 1][1] if at else -1))
+                if at == len(ends):
+                    ends.append(j)
+                    last.append((j, len(back) - 1))
+                else:
+                    ends[at] = j
+                    last[at] = (j, len(back) - 1)
+        out = [-1] * len(tokens)
+        i = last[-1][1] if last else -1
+        while i >= 0:
+            k, j, i = back[i]
+            out[k] = j
+        return out
+
+    def align(self, tokens: list[int], support: list[int], follow: list[int], pages: int) -> None:
         self.pages += pages
-        support = support or [pages] * len(stream)
-        for i, t in enumerate(stream[:-1]):
-            if t not in "ST" and stream[i + 1] == "S":
-                self.follow[t] += support[i]
-        old = [t for t, _ in self.nodes]
-        out = []
-        for op, a, b, c, d in SequenceMatcher(None, old, stream, False).get_opcodes():
-            if op == "equal":
-                out += [[t, n + support[c + i]] for i, (t, n) in enumerate(self.nodes[a:b])]
-            else:  # each side's tokens are optional beside the other's
-                out += self.nodes[a:b] + [[t, support[c + i]] for i, t in enumerate(stream[c:d])]
-        self.nodes = self._folded(out) if len(out) > NODES else out
-
-    def _folded(self, nodes: list) -> list:
-        """Nodes of small support folded into the strongest node of their token: no token and no support is lost."""
-        best: dict[str, list] = {}
+        found = self.match(tokens)
+        if -1 not in found:
+            for k, j in enumerate(found):
+                self.nodes[j][1] += support[k]
+                self.nodes[j][2] += follow[k]
+            return
+        out, at = [], 0
+        for k, j in enumerate(found):
+            if j < 0:  # an optional node, as the wrapper lacks it here
+                out.append([tokens[k], support[k], follow[k]])
+                continue
+            out += self.nodes[at:j]
+            x = self.nodes[j]
+            out.append([x[0], x[1] + support[k], x[2] + follow[k]])
+            at = j + 1
+        self.nodes = out + self.nodes[at:]
+        if len(self.nodes) > NODES:
+            self.nodes = self._folded(self.nodes)
+        self._index()
+
+    @staticmethod
+    def _folded(nodes: list) -> list:
+        """The weaker half of the nodes folded into the strongest node of their token: no token and no support is lost."""
+        best: dict[int, list] = {}
         for x in nodes:
             if x[0] not in best or x[1] > best[x[0]][1]:
                 best[x[0]] = x
+        weak = sorted(x[1] for x in nodes)[len(nodes) // 2]
         for x in nodes:
-            if x[1] * 500 < self.pages and x is not best[x[0]]:
-                best[x[0]][1] += x[1]
+            b = best[x[0]]
+            if x is not b and x[1] <= weak:
+                b[1] += x[1]
+                b[2] += x[2]
                 x[1] = 0
         return [x for x in nodes if x[1]]
 
     def merge(self, other: Wrapper) -> None:
-        follow = self.follow + other.follow
-        self.align([t for t, _ in other.nodes], other.pages, [n for _, n in other.nodes])
-        self.follow = follow
+        self.align([x[0] for x in other.nodes], [x[1] for x in other.nodes], [x[2] for x in other.nodes], other.pages)
 
-    def literals(self) -> set[str]:
-        return {t for t, _ in self.nodes if t not in "ST"}
+    def heading(self) -> set[int]:
+        """Tokens whose nodes, taken together, head a repeated group."""
+        total: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+        for t, n, f in self.nodes:
+            total[t][0] += n
+            total[t][1] += f
+        return {t for t, (n, f) in total.items() if f >= HEADS * n}
 
-    def heads(self) -> set[str]:
-        total: Counter = Counter()
-        for t, n in self.nodes:
-            total[t] += n
-        return {t for t, n in self.follow.items() if n >= HEADS * total[t]}
-
-    def dump(self) -> str:
-        return json.dumps([self.nodes, self.pages, self.follow])
+    def dump(self) -> bytes:
+        return np.array([[self.pages, 0, 0], *self.nodes], dtype=np.int64).tobytes()
 
     @classmethod
-    def load(cls, text: str) -> Wrapper:
-        return cls(*json.loads(text))
-
-
-def stream(body: str, site: str | None, literal: set[int]) -> list[str]:
-    out: list[str] = []
-    for _, line, own in lines(body):
-        x = digest(m) if not own and (m := mask(line, site)) else 0
-        t = str(x) if x in literal else "T" if own or not headline(line) else "S"
-        if t in "ST" and out and out[-1] == t:
-            continue
-        out.append(t)
-    return out
-
-
-def site_lines(body: str, site: str | None, title: str | None, literal: set[int], heads: set[int], words: set[str]) -> list[int]:
-    """The numbers of the lines that are the site's, read through a wrapper's literals, heads and words."""
-    out: list[int] = []
-    below = False
-    title = " ".join((title or "").casefold().split())
-    rows = list(lines(body))
-    short = [not own and entry(line) for _, line, own in rows]
-    teaser = [not own and not short[k] and headline(line) for k, (_, line, own) in enumerate(rows)]
-    for k, (i, line, own) in enumerate(rows):
-        if own:
-            below = False
-            continue
-        m = mask(line, site)
-        x = digest(m)
-        if x in literal:
-            out.append(i)
-            below = x in heads
-            continue
-        parts = segments(m)
-        if parts and all(p in words for p in parts):
-            out.append(i)
-            below = False
-            continue
-        # a path: entries of the menu, then the (perhaps cut) title of the page
-        flat = " ".join(line.split()).casefold()
-        if len(parts) > 1 and (title and flat.find(title[:24]) > 0 and len(parts[0]) <= ENTRY or sum(p in words for p in parts) >= 2 and not _END.search(m)):
-            out.append(i)
-            below = False
-            continue
-        # repeated groups of a site whose other pages don't show them: a menu in a line, or in a run of lines
-        if len(parts) >= 3 and not _END.search(m) and all(len(p) <= ENTRY + 8 for p in parts):
-            out.append(i)
-            below = False
-            continue
-        if short[k]:
-            run = 1
-            while k + run < len(rows) and short[k + run]:
-                run += 1
-            while k - 1 >= 0 and short[k - 1] and run < RUN:
-                run += 1
-            near = any(0 <= j < len(rows) and not rows[j][2] and digest(mask(rows[j][1], site)) in literal for j in (k - 1, k + 1))
-            heading = k + 1 < len(rows) and teaser[k + 1]
-            if run >= RUN or near or heading:
-                out.append(i)
-                below = heading
+    def load(cls, raw: bytes) -> Wrapper:
+        rows = np.frombuffer(raw, dtype=np.int64).reshape(-1, 3).tolist()
+        return cls([list(x) for x in rows[1:]], rows[0][0])
+
+
+class Parser:
+    """Reads lines into tokens, each distinct line once."""
+
+    def __init__(self) -> None:
+        self.seen: dict[tuple[str, str | None], tuple] = {}
+
+    def line(self, line: str, site: str | None) -> tuple[int, int, int, tuple[int, ...], str]:
+        """Digest, kind, flags, digests of the parts, and the first part of a line."""
+        got = self.seen.get((line, site))
+        if got is None:
+            m = mask(line, site)
+            parts = segments(m) if len(m) <= 300 else [m]
+            flags = HEADLINE * headline(line) | ENTRY_ * entry(line)
+            end = bool(_END.search(m))
+            if len(parts) >= 3 and not end and all(len(p) <= ENTRY + 8 for p in parts):
+                flags |= ENTRIES
+            small = tuple(digest(p) for p in parts) if 2 <= len(parts) and (not end or all(len(p) <= ENTRY for p in parts)) else ()
+            got = digest(m), KINDS.index(kind(m)), flags, small, parts[0] if len(parts) > 1 else ""
+            if len(self.seen) > 50_000:
+                self.seen.clear()
+            if len(line) <= 300:
+                self.seen[line, site] = got
+        return got
+
+    def page(self, body: str, site: str | None, title: str | None) -> tuple[np.ndarray, set[tuple[int, int]]]:
+        """The lines of a page (``LINE``; a line's parts follow it), and the distinct (digest, kind) of its lines and parts."""
+        out, counted = [], set()
+        title = " ".join((title or "").casefold().split())[:24]
+        for no, line, own in lines(body):
+            if own:  # an entry of a list may still belong to a repeated group
+                out.append((no, 0, OWN | HEADLINE * bool(_ITEM.match(line) and headline(line))))
                 continue
-        if below and teaser[k]:
-            out.append(i)
+            x, k, f, parts, first = self.line(line, site)
+            if title and first and len(first) <= ENTRY and " ".join(line.split()).casefold().find(title) > 0:
+                f |= PATH
+            out.append((no, x, f))
+            counted.add((x, k))
+            for p in parts:
+                out.append((no, p, PART))
+                counted.add((p, 4))
+        return np.array(out, dtype=LINE), counted
+
+
+def tokens_of(rows: np.ndarray, literal: set[int]) -> tuple[list[int], list[list[int]], list[list[int]]]:
+    """The stream of a page: tokens, the lines each stands for, and the run of headlines that follows it."""
+    page: list[list] = []  # number, digest, flags, whether all parts are a menu's words, number of those
+    for no, x, f in rows.tolist():
+        if f == PART:
+            page[-1][3] &= x in literal
+            page[-1][4] += x in literal
+        else:
+            page.append([no, x, f, True, 0])
+    tokens: list[int] = []
+    of: list[list[int]] = []
+    heads: list[list[int]] = []
+    after = False  # whether headlines would follow the last token
+    n = len(page)
+    short = [bool(f & ENTRY_) and not f & OWN for _, _, f, _, _ in page]
+    lit = [not f & OWN and x in literal for _, x, f, _, _ in page]
+    for k, (no, x, f, menu, known) in enumerate(page):
+        if f & OWN:
+            if after and f & HEADLINE:
+                heads[-1].append(no)
+            else:
+                after = False
             continue
-        below = False
-    return out
+        token = 0
+        if lit[k]:
+            token = x
+        elif f & (ENTRIES | PATH) or known and menu or known >= 2 and not f & HEADLINE:
+            token = LIST
+        elif short[k]:
+            near = k and (short[k - 1] or lit[k - 1]) or k + 1 < n and (short[k + 1] or lit[k + 1])
+            heading = k + 1 < n and page[k + 1][2] & HEADLINE and not short[k + 1] and not lit[k + 1]
+            token = MENU if near or heading else 0
+        if token == MENU and tokens and tokens[-1] == MENU and of[-1][-1] == page[k - 1][0]:
+            of[-1].append(no)  # a run is one group
+            after = True
+        elif token:
+            tokens.append(token)
+            of.append([no])
+            heads.append([])
+            after = True
+        elif after and f & HEADLINE:
+            heads[-1].append(no)
+        else:
+            after = False
+    return tokens, of, heads
 
 
-def _pages(articles: DataFrame, ident: str, text: str, host: str, site: str, title: str) -> DataFrame:
-    return articles.where(F.col(text).isNotNull() & (F.col(text) != "")).select(
-        F.col(ident).alias("_id"), F.col(text).alias("_text"), F.coalesce(F.col(host), F.lit("")).alias("_host"), F.col(site).alias("_site"), F.col(title).alias("_title")
-    )
+def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pages as packed lines, and per host how many pages hold a line: two kinds of rows, as the text is read once."""
+    parser = Parser()
+    seen: Counter = Counter()
 
+    def counts() -> pd.DataFrame:
+        return pd.DataFrame([(h, None, None, x, k, n) for (h, x, k), n in seen.items()], columns=["_host", "_id", "lines", "x", "kind", "n"])
 
-def literals(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Literals per host (_host, x) and those that hosts share (x)."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for df in batches:
-            for host, site, body in zip(df["_host"], df["_site"], df["_text"]):
-                seen[host, 0, "page"] += 1
-                seen.update({(host, digest(m), kind(m)) for _, line, own in lines(body) if not own and (m := mask(line, site))})
-            if len(seen) > 200_000:
-                yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["_host", "x", "kind", "n"])
-                seen = Counter()
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["_host", "x", "kind", "n"])
-
-    counts = pages.select("_host", "_site", "_text").mapInPandas(count, "_host string, x long, kind string, n long")
-    counts = materialize(counts.groupBy("_host", "x", "kind").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST) | F.col("kind").isin("page", "site", "plain")), "lines")
-    totals = counts.where("kind = 'page'").select("_host", F.col("n").alias("pages"))
-    least = F.when(F.col("kind") == "site", SHARE["site"]).when(F.col("kind") == "sentence", SHARE["sentence"]).otherwise(SHARE["plain"])
-    own = counts.where("kind <> 'page'").join(totals, "_host").withColumn("share", F.col("n") / F.col("pages")).where((F.col("share") >= least) | ((F.col("kind") == "plain") & (F.col("n") >= ENOUGH)))
-    # lines that recur over hosts; plain ones by a share of all pages as well, so that chance doesn't do it on large tables
+    for df in batches:
+        out = []
+        for ident, host, site, body, title in zip(df["_id"], df["_host"], df["_site"], df["_text"], df["_title"]):
+            rows, counted = parser.page(body, site, title)
+            out.append((host, ident, rows.tobytes(), 0, 5, 1))
+            seen[host, 0, 5] += 1
+            for x, k in counted:
+                seen[host, x, k] += 1
+        yield pd.DataFrame(out, columns=["_host", "_id", "lines", "x", "kind", "n"])
+        if len(seen) > 200_000:
+            yield counts()
+            seen = Counter()
+    if seen:
+        yield counts()
+
+
+def literals(counts: DataFrame) -> DataFrame:
+    """Candidates for literals per host: ``_host``, ``x``, and whether other hosts show the line too (``shared``).
+
+    ``counts`` has the pages per _host, x and kind (of ``KINDS``).
+    """
+    totals = counts.where(F.col("kind") == KINDS.index("page")).select("_host", F.col("n").alias("pages"))
     every = totals.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
-    most = F.when(F.col("kind") == "site", LEAST).otherwise(max(LEAST, every * SPREAD))
-    everywhere = counts.where("kind in ('site', 'plain')").groupBy("x", "kind").agg(F.countDistinct("_host").alias("hosts"), F.sum("n").alias("n")).where((F.col("hosts") >= HOSTS) & (F.col("n") >= most)).select("x", "hosts")
-    own = own.where((F.col("n") >= LEAST))
-    shared = own.where((F.col("share") >= SHARED) | (F.col("kind") == "site")).groupBy("x").agg(F.countDistinct("_host").alias("hosts")).where("hosts >= 2").unionByName(everywhere).distinct()
-    return own.select("_host", "x"), shared.select("x").distinct()
+    site, sentence, plain, part = (F.col("kind") == KINDS.index(k) for k in ("site", "sentence", "plain", "part"))
+    lines_ = counts.where(F.col("kind") != KINDS.index("page"))
+    told = join_small(lines_, totals, ["_host"], "inner").withColumn("share", F.col("n") / F.col("pages"))
+    least = F.when(site, SHARE["site"]).when(sentence, SHARE["sentence"]).otherwise(SHARE["plain"])
+    own = told.where((F.col("n") >= LEAST) & ((F.col("share") >= least) | ((plain | part) & (F.col("n") >= ENOUGH))))
+    wide = own.where((F.col("share") >= SHARED) | site).groupBy("x").agg(F.count_distinct("_host").alias("hosts")).where("hosts >= 2")
+    # lines that recur over hosts; plain ones by a share of all pages as well, so that chance doesn't do it on large tables
+    most = F.when(F.first("kind") == KINDS.index("site"), LEAST).otherwise(max(LEAST, every * SPREAD))
+    over = lines_.where(site | plain | part).groupBy("x").agg(F.count_distinct("_host").alias("hosts"), F.sum("n").alias("n"), most.alias("most"))
+    shared = wide.select("x").unionByName(over.where((F.col("hosts") >= HOSTS) & (F.col("n") >= F.col("most"))).select("x")).distinct()
+    here = lines_.select("_host", "x").join(shared.withColumn("shared", F.lit(True)), "x")  # only lines that the host has
+    return own.select("_host", "x", F.lit(False).alias("shared")).unionByName(here.select("_host", "x", "shared")).groupBy("_host", "x").agg(F.max("shared").alias("shared"))
 
 
 def main_body(articles: DataFrame, ident: str, text: str, host: str, site: str, title: str) -> DataFrame:
     """The site's lines of every page: ``ident``, ``line_no`` (from 1). ``host`` groups pages, ``site`` is the name to mask."""
-    spark = articles.sparkSession
-    pages = materialize(_pages(articles, ident, text, host, site, title), "pages")
-    own, shared = literals(pages)
-    shared_set = frozenset(r["x"] for r in shared.collect())  # literals that several hosts share: menus, notices
-    per_host = materialize(own.groupBy("_host").agg(F.sort_array(F.collect_set("x")).alias("_lit")), "literals")
-    sizes = materialize(pages.groupBy("_host").count().select("_host", F.ceil(F.col("count") / GROUP_PAGES).cast("int").alias("_salts")), "sizes")
+    with Scratch(articles.sparkSession, "pages") as scratch:
+        return materialize(_main_body(articles, ident, text, host, site, title, scratch), "site-lines")
+
+
+def _main_body(articles: DataFrame, ident: str, text: str, host: str, site: str, title: str, scratch: Scratch) -> DataFrame:
     id_type = articles.schema[ident].dataType.simpleString()
-    keyed = pages.join(F.broadcast(sizes), "_host").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_salts")).cast("int"))
-    shared_b = spark.sparkContext.broadcast(shared_set)
+    pages = articles.where(F.col(text).isNotNull() & (F.col(text) != "")).select(
+        F.xxhash64(F.coalesce(F.col(host), F.lit(""))).alias("_host"), F.col(ident).alias("_id"), F.col(site).alias("_site"), F.col(text).alias("_text"), F.col(title).alias("_title")
+    )
+    parsed = scratch.write(pages.mapInPandas(_parsed, f"_host long, _id {id_type}, lines binary, x long, kind int, n long"))
+    counts = parsed.where("lines is null").groupBy("_host", "x", "kind").agg(F.sum("n").alias("n"))
+    known = scratch.write(literals(scratch.write(counts)))
+    pages = parsed.where("lines is not null").select("_host", "_id", "lines")
+    sizes = scratch.write(pages.groupBy("_host").count().select("_host", F.ceil(F.col("count") / GROUP_PAGES).cast("int").alias("_salts")))
+    keyed = join_small(pages, sizes, ["_host"], "inner").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_salts")).cast("int"))
+    by = ["_host", "_salt"]
+    keyed = scratch.write(keyed.select(*by, "_id", "lines"))
+    mine = known.groupBy("_host").agg(F.sort_array(F.collect_list(F.struct("x", "shared"))).alias("_lit"))
+    salted = lambda df: sizes.join(df, "_host", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
 
     def infer(key: tuple, mine: pd.DataFrame, lits: pd.DataFrame) -> pd.DataFrame:
-        literal = set(shared_b.value) | {int(x) for row in lits["_lit"] for x in row}
+        literal = {int(r["x"]) for row in lits["_lit"] if row is not None for r in row}
         streams: Counter = Counter()
-        words: Counter = Counter()
-        for body, site_ in zip(mine["_text"], mine["_site"]):
-            streams[tuple(stream(body, site_, literal))] += 1
-            for _, line, own_ in lines(body):
-                if not own_ and digest(m := mask(line, site_)) in literal and kind(m) in ("plain", "code"):
-                    for p in segments(m):
-                        if len(p) <= 24:
-                            words[p] += 1
+        for raw in mine["lines"]:
+            tokens, _, heads = tokens_of(np.frombuffer(raw, dtype=LINE), literal)
+            streams[tuple(tokens), tuple(bool(h) for h in heads)] += 1
         wrapper = Wrapper()
-        for s, n in sorted(streams.items(), key=lambda x: (-x[1], x[0])):
-            wrapper.align(list(s), n)
-        return pd.DataFrame({"_host": [key[0]], "part": [int(key[1])], "wrapper": [wrapper.dump()], "words": [json.dumps([w for w, n in words.items()])]})
+        for (tokens, follow), n in sorted(streams.items(), key=lambda x: (-x[1], x[0])):
+            wrapper.align(list(tokens), [n] * len(tokens), [n * f for f in follow], n)
+        return pd.DataFrame({"_host": [key[0]], "part": [int(key[1])], "wrapper": [wrapper.dump()]})
 
-    salted_lits = sizes.join(per_host, "_host", "left").select("_host", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.coalesce("_lit", F.array().cast("array<bigint>")).alias("_lit"))
-    by = ["_host", "_salt"]
-    schema = "_host string, part int, wrapper string, words string"
-    parts = materialize(keyed.select(*by, "_text", "_site").groupBy(*by).cogroup(salted_lits.groupBy(*by)).applyInPandas(infer, schema), "wrappers")
+    schema = "_host long, part int, wrapper binary"
+    parts = scratch.write(keyed.groupBy(*by).cogroup(salted(mine).groupBy(*by)).applyInPandas(infer, schema))
 
     def join(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("part")
         whole = Wrapper.load(df["wrapper"].iloc[0])
         for w in df["wrapper"].iloc[1:]:
             whole.merge(Wrapper.load(w))
-        words = sorted({w for x in df["words"] for w in json.loads(x)})
-        return pd.DataFrame({"_host": [key[0]], "part": [int(key[1])], "wrapper": [whole.dump()], "words": [json.dumps(words)]})
+        return pd.DataFrame({"_host": [key[0]], "part": [int(key[1])], "wrapper": [whole.dump()]})
 
     most = sizes.agg(F.max("_salts")).first()[0] or 1
     while most > 1:
-        parts = materialize(parts.groupBy("_host", F.floor(F.col("part") / 32).cast("int").alias("_to")).applyInPandas(join, schema), "wrappers")
+        parts = scratch.write(parts.groupBy("_host", F.floor(F.col("part") / 32).cast("int").alias("_to")).applyInPandas(join, schema))
         most = -(-most // 32)
 
-    # words of menus, and heads, that several hosts share also serve small hosts
-    def shared_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            out = []
-            for host_, w, ws in zip(df["_host"], df["wrapper"], df["words"]):
-                out += [("word", x) for x in json.loads(ws)]
-                out += [("head", x) for x in Wrapper.load(w).heads()]
-            yield pd.DataFrame(out, columns=["what", "x"])
-
-    common = parts.mapInPandas(shared_parts, "what string, x string").groupBy("what", "x").count()
-    got = common.where("count >= 2 or what = 'word'").collect()
-    words_b = spark.sparkContext.broadcast(frozenset(r["x"] for r in got if r["what"] == "word" and r["count"] >= 2))
-    heads_b = spark.sparkContext.broadcast(frozenset(int(r["x"]) for r in got if r["what"] == "head"))
-
     def read(key: tuple, mine: pd.DataFrame, wrap: pd.DataFrame) -> pd.DataFrame:
-        literal, heads, words = set(shared_b.value), set(heads_b.value), set(words_b.value)
-        for w, ws in zip(wrap["wrapper"], wrap["words"]):
-            wrapper = Wrapper.load(w)
-            literal |= {int(x) for x in wrapper.literals()}
-            heads |= {int(x) for x in wrapper.heads()}
-            words |= set(json.loads(ws))
-        out = [(ident_, i) for ident_, body, site_, title_ in zip(mine["_id"], mine["_text"], mine["_site"], mine["_title"]) for i in site_lines(body, site_, title_, literal, heads, words)]
-        return pd.DataFrame(out, columns=["_id", "line_no"])
-
-    salted = sizes.join(parts, "_host").select("_host", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), "wrapper", "words")
-    found = keyed.groupBy(*by).cogroup(salted.groupBy(*by)).applyInPandas(read, f"_id {id_type}, line_no int")
+        lits = [r for row in wrap["_lit"] if row is not None for r in row]
+        literal, shared = {int(r["x"]) for r in lits}, {int(r["x"]) for r in lits if r["shared"]}
+        wrapper = Wrapper.load(wrap["wrapper"].iloc[0]) if len(wrap) else Wrapper()
+        heading = wrapper.heading()
+        ids, nos = [], []
+        for ident_, raw in zip(mine["_id"], mine["lines"]):
+            tokens, of, heads = tokens_of(np.frombuffer(raw, dtype=LINE), literal)
+            for t, j, mine_, below in zip(tokens, wrapper.match(tokens), of, heads):
+                if j < 0:
+                    continue
+                _, support, follow = wrapper.nodes[j]
+                if support < MET and t not in shared and t not in (MENU, LIST):
+                    continue
+                got = mine_ + below if below and (follow >= HEADS * support or t in heading) else mine_
+                ids += [ident_] * len(got)
+                nos += got
+        return pd.DataFrame({"_id": ids, "line_no": nos})
+
+    wrapped = salted(parts.select("_host", "wrapper").join(mine, "_host", "left"))
+    found = keyed.groupBy(*by).cogroup(wrapped.groupBy(*by)).applyInPandas(read, f"_id {id_type}, line_no int")
     return found.withColumnRenamed("_id", ident)
 
 
