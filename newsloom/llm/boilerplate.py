@@ -63,14 +63,19 @@ _END = re.compile(r"[.!?。！？…:;；：][\"”»’）)]*$")
 _INNER = re.compile(r"[.!]\s+[A-ZÀ-Þ„“«¿¡]|[。！]")
 _ITEM = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+")
 _CODE = re.compile(r"[{}=$\\]|<[^<>]*>|://|^[a-z_]+: ")
+_WIDE_GAP = re.compile(r"(?<=\S)\s{2,}(?=\S)")
+_NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 
 
 def mask(line: str, site: str | None) -> str:
-    line = " ".join(re.sub(r"(?<=\S)\s{2,}(?=\S)", " | ", line.strip()).split())
-    if site:
+    line = line.strip()
+    if "  " in line or "\t" in line or "\u3000" in line or not line.isprintable():
+        line = _WIDE_GAP.sub(" | ", line)
+    line = " ".join(line.split())
+    if site and site.casefold() in line.casefold():
         line = re.sub(re.escape(site), SITE, line, flags=re.I)
-    return re.sub(r"\d+(?:[.,]\d+)*", "0", line)
+    return _NUMBER.sub("0", line)
 
 
 def kind(masked: str) -> str:
@@ -214,9 +219,9 @@ class Parser:
         got = self.seen.get((line, site))
         if got is None:
             m = mask(line, site)
-            parts = segments(m) if len(m) <= 300 else [m]
-            flags = HEADLINE * headline(line) | ENTRY_ * entry(line)
             end = bool(_END.search(m))
+            parts = [m] if end and len(m) > 200 else segments(m)  # a paragraph is no menu
+            flags = HEADLINE * headline(line) | ENTRY_ * entry(line)
             if len(parts) >= 3 and not end and all(len(p) <= ENTRY + 8 for p in parts):
                 flags |= ENTRIES
             small = tuple(digest(p) for p in parts) if 2 <= len(parts) and (not end or all(len(p) <= ENTRY for p in parts)) else ()

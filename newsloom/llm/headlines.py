@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 
 #: Dimensions (hashed n-grams) of a vector, and the classes of them that share a weight.
-DIM_BITS, CLASSES = 24, 1 << 18
+DIM_BITS, CLASSES = 21, 1 << 18
 #: Share of a vector's squared length that its cells must hold: the search radius (squared, relative).
 RADIUS = 0.3
 #: Shared n-grams (Dice) from which two headlines with the same numbers tell one story.

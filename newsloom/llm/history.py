@@ -5,13 +5,13 @@ A headline is a sparse vector: its character n-grams, hashed into dimensions and
 is filed in the cells of its heaviest dimensions, as many as hold more than ``RADIUS`` of its squared length (numbers
 count as a dimension that outweighs all others): the heaviest dimension that two vectors within the radius share is
 among these cells of both, so a probe of a new vector's own cells finds every vector within the radius, and no further
-cell can hold a nearer match. A posting carries the vector's signature, whose differing bits bound the distance from
-below; pairs beyond the bound are not reranked, all others are compared exactly by their full vectors. New vectors are
-appended to the cells.
+cell can hold a nearer match. Every vector has a signature, whose differing bits bound the distance from below; pairs
+beyond the bound are not reranked, all others are compared exactly by their full vectors. New vectors are appended to
+the cells.
 
-The index lives in a folder: ``weights``, ``vectors`` (full vectors and texts), ``cells``, ``pages`` and ``titles``
-(accepted rows by page and by headline) and ``links``, each partitioned by block and, where it is probed, by slot of its
-key. A block only reads the slots it asks for and keeps what matches its keys before anything is shuffled. A block
+The index lives in a folder: ``weights``, ``vectors`` (full vectors and texts), ``signs``, ``cells``, ``cut_cells``, ``pages``
+and ``titles`` (accepted rows by page and by headline) and ``links``, each partitioned by block and, where it is probed, by
+slot of its key. A block only reads the slots it asks for and keeps what matches its keys before anything is shuffled. A block
 counts from the moment it is listed in ``commits``; what a broken run left is not read.
 
 Exact copies (same page, same folded headline) are contracted before any vector is made, so hot groups of copies cost
@@ -21,6 +21,7 @@ vectors within the radius must share.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -40,10 +41,14 @@ LEAST_TEXTS = 10_000
 #: Slots of the index's folders by cell or key.
 SLOTS = 16
 #: Headlines of a cell from which it is split by a second dimension.
-HOT = 4_096
+HOT = 256
+#: Undecided edges from which on the greedy choice is finished by one task instead of another round.
+FEW = 500_000
 _SIG = [f"s{i}" for i in range(H.SIGNATURE)]
-_POSTING = "cell long, num int, cut boolean, id long, n int, " + ", ".join(f"{s} long" for s in _SIG)
-_TEXT = "t binary, raw string, folded string, cut boolean, id long, num int, n int, dims binary, " + ", ".join(f"{s} long" for s in _SIG)
+_POSTING = "cell long, num int, id long"
+_VECTOR = "t binary, id long, cut boolean, raw string, dims binary"
+_SIGN = "id long, n int, " + ", ".join(f"{s} long" for s in _SIG)
+_SLOTTED = ("cells", "pages", "titles")
 
 
 def _keys(batches: Iterator[pd.DataFrame], names: frozenset[str]) -> Iterator[pd.DataFrame]:
@@ -56,28 +61,52 @@ def _keys(batches: Iterator[pd.DataFrame], names: frozenset[str]) -> Iterator[pd
             f = H.fold(t)
             page = page_key(url) or (None if f else f"#{row}")
             u, key = page and digest("u", page), digest("t", f + ("…" if cut else "")) if f else None
-            out.append((row, (u or b"") + b"|" + (key or b""), u, key, t, f, cut))
-        yield pd.DataFrame(out, columns=["row_id", "k", "u", "t", "raw", "folded", "cut"])
+            out.append((row, xxhash.xxh3_128_digest((u or b"") + b"|" + (key or b"")), u, key, t, cut))
+        yield pd.DataFrame(out, columns=["row_id", "k", "u", "t", "raw", "cut"])
+
+
+def _packed(starts: np.ndarray, dims: np.ndarray) -> list[bytes]:
+    """Sorted dimensions as 16-bit gaps; a gap of 65535 only moves on."""
+    gap = np.diff(dims, prepend=0)
+    heads = starts[:-1][np.diff(starts) > 0]
+    gap[heads] = dims[heads]
+    more = gap // 65535
+    flat = np.full(len(gap) + int(more.sum()), 65535, dtype=np.uint16)
+    ends = np.cumsum(more + 1)
+    flat[ends - 1] = gap % 65535
+    at = np.concatenate([[0], ends])[starts]
+    return [flat[x:y].tobytes() for x, y in zip(at[:-1], at[1:])]
+
+
+def _vector(packed: bytes) -> np.ndarray:
+    gap = np.frombuffer(packed, dtype=np.uint16)
+    return np.cumsum(gap, dtype=np.int64)[gap != 65535]
+
+
+def _unpacked(dims: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Start of each vector, and all dimensions, of many packed vectors."""
+    gap = np.frombuffer(b"".join(dims), dtype=np.uint16)
+    size = np.fromiter((len(x) // 2 for x in dims), dtype=np.int64, count=len(dims))
+    at = np.concatenate([[0], np.cumsum(size)])
+    total = np.concatenate([[0], np.cumsum(gap, dtype=np.int64)])
+    real = gap != 65535
+    starts = np.concatenate([[0], np.cumsum(real)])[at]
+    return starts, (total[1:] - np.repeat(total[at[:-1]], size))[real]
 
 
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in batches:
-        folded = list(df["folded"])
-        starts, dims = H.vectors(folded)
-        signs = H.signatures(starts, dims)
-        flat = dims.astype(np.int32)
+        starts, dims = H.vectors([H.fold(r) for r in df["raw"]])
         df["id"] = [int.from_bytes(t[:8], "little", signed=True) for t in df["t"]]
-        df["num"] = [H.number_key(f) for f in folded]
-        df["n"] = np.diff(starts)
-        df["dims"] = [flat[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])]
-        for i, s in enumerate(_SIG):
-            df[s] = signs[:, i]
+        df["dims"] = _packed(starts, dims)
         yield df
 
 
-def _unpacked(dims: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    flat = np.frombuffer(b"".join(dims), dtype=np.int32).astype(np.int64)
-    return np.concatenate([[0], np.cumsum([len(x) // 4 for x in dims], dtype=np.int64)]), flat
+def _signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for df in batches:
+        starts, dims = _unpacked(df["dims"])
+        signs = H.signatures(starts, dims)
+        yield pd.DataFrame({"id": df["id"], "n": np.diff(starts).astype(np.int32), **{s: signs[:, i] for i, s in enumerate(_SIG)}})
 
 
 def _bits(*of: Column) -> Column:
@@ -111,34 +140,36 @@ class HistoryIndex:
     def _committed(self) -> list[int]:
         return sorted(r[0] for r in self.spark.read.schema("block int").parquet(f"{self.path}/commits").collect()) if self._exists("commits") else []
 
-    def _read(self, name: str, schema: str, slots: list[int] | None = None) -> DataFrame | None:
-        """A table of the index, its committed blocks and the wanted slots only; None if nothing is there."""
-        if not self.blocks:
+    def _read(self, name: str, schema: str, slots: list[int] | None = None, block: int | None = None) -> DataFrame | None:
+        """A table of the index, its committed blocks (or the one being written) and the wanted slots only; None if nothing is there."""
+        blocks = self.blocks if block is None else [block]
+        if not blocks:
             return None
-        full = StructType.fromDDL(schema + ", block int" + (", slot int" if name in ("cells", "pages", "titles") else ""))
-        out = self.spark.read.schema(full).parquet(f"{self.path}/{name}").where(F.col("block").isin(self.blocks))
+        full = StructType.fromDDL(schema + ", block int" + (", slot int" if name in _SLOTTED else ""))
+        out = self.spark.read.schema(full).parquet(f"{self.path}/{name}").where(F.col("block").isin(blocks))
         return out if slots is None else out.where(F.col("slot").isin(slots))
 
-    def _append(self, df: DataFrame, name: str, slot: Column | None = None, sort: tuple[str, ...] = ()) -> None:
-        df = df.withColumn("block", F.lit(len(self.blocks)))
-        by = ["block"]
-        if slot is not None:
-            df, by = df.withColumn("slot", slot), ["block", "slot"]
-            df = df.sortWithinPartitions("slot", *sort)
+    def _append(self, df: DataFrame, name: str, key: str = "") -> DataFrame:
+        """Writes a block's share of an index table, and reads it back."""
+        schema = df.schema
+        df, by = df.withColumn("block", F.lit(len(self.blocks))), ["block"]
+        if name in _SLOTTED:
+            df, by = df.withColumn("slot", self._slot(key)), ["block", "slot"]
         df.write.mode("append").option("compression", "zstd").partitionBy(*by).parquet(f"{self.path}/{name}")
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        return self._read(name, ddl, block=len(self.blocks)).select(*schema.names)
 
     def _slot(self, key: str) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
 
-    def _near_keys(self, name: str, schema: str, key: str, asked: DataFrame) -> DataFrame | None:
-        """The rows of an index table whose ``key`` is among ``asked`` (one column): only the slots asked for are read, and
-        what doesn't match goes before any shuffle while the keys are few enough to be carried."""
+    def _near_keys(self, name: str, schema: str, key: str, asked: DataFrame, most: int) -> DataFrame | None:
+        """The rows of an index table whose ``key`` is among ``asked`` (one column, ``most`` rows at most): only the slots asked
+        for are read, and what doesn't match goes before any shuffle while the keys are few enough to be carried."""
         if not self.blocks:
             return None
-        seen = asked.select(self._slot(key).alias("s")).agg(F.collect_set("s"), F.count("*")).first()
-        held = self._read(name, schema, sorted(seen[0]))
-        small = seen[1] * 40 <= BROADCAST_BYTES
-        return held.join(F.broadcast(asked) if small else asked, key, "left_semi")
+        # many keys ask for every slot
+        slots = sorted(r[0] for r in asked.select(self._slot(key)).distinct().collect()) if most <= 4 * SLOTS else None
+        return self._read(name, schema, slots).select(*[c.split()[0] for c in schema.split(", ")]).join(carried(asked, most, 40), key, "left_semi")
 
     def _fit(self, texts: DataFrame) -> None:
         """Document frequencies of all classes over the first block; ``CLASSES`` counters at most reach the driver."""
@@ -148,13 +179,13 @@ class HistoryIndex:
             for df in batches:
                 total += len(df)
                 n += np.bincount(_unpacked(df["dims"])[1] & (H.CLASSES - 1), minlength=H.CLASSES)
-                for f in df["folded"]:
-                    for w in set(f.split()):
+                for r in df["raw"]:
+                    for w in set(H.fold(r).split()):
                         n[H.word_class(w)] += 1
             at = np.flatnonzero(n)
             yield pd.DataFrame({"b": np.append(at, -1), "n": np.append(n[at], total)})
 
-        got = texts.select("dims", "folded").mapInPandas(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+        got = texts.select("dims", "raw").mapInPandas(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
         total = max(LEAST_TEXTS, int(got.loc[got["b"] < 0, "n"].sum()))
         got = got[got["b"] >= 0]
         other = float(np.log((total + 1) / 0.5))
@@ -164,175 +195,219 @@ class HistoryIndex:
         rows = self.spark.createDataFrame(got[["b", "w", "other"]] if len(got) else pd.DataFrame({"b": [0], "w": [other], "other": [other]}))
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/weights")
 
-    def _postings(self, texts: DataFrame, radius: float = H.RADIUS) -> DataFrame:
+    def _postings(self, texts: DataFrame) -> DataFrame:
         weight_b = self.spark.sparkContext.broadcast(self.weight)
 
         def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for df in batches:
-                who, cell = H.cells_of(*_unpacked(df["dims"]), weight_b.value, radius)
-                yield pd.DataFrame({"cell": cell, **{c: df[c].to_numpy()[who] for c in ("num", "cut", "id", "n", *_SIG)}})
+                who, cell = H.cells_of(*_unpacked(df["dims"]), weight_b.value)
+                num = np.array([H.number_key(H.fold(r)) for r in df["raw"]], dtype=np.int64)
+                yield pd.DataFrame({"cell": cell, "num": num[who], "id": df["id"].to_numpy()[who]})
 
-        return texts.select("dims", "num", "cut", "id", "n", *_SIG).mapInPandas(file, _POSTING)
+        return texts.select("dims", "raw", "id").mapInPandas(file, _POSTING)
 
     def _split_hot(self, postings: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
         """``postings`` with those of hot cells filed under two dimensions: the cell, and each lighter one that may be the
         next that a vector within the radius shares."""
-        hot = postings.where("not cut").groupBy("cell", "num").count().where(F.col("count") > HOT).select("cell", "num")
-        hot = scratch.write(hot)
-        if hot.isEmpty():
+        hot = scratch.write(postings.groupBy("cell", "num").count().where(F.col("count") > HOT).select("cell", "num"))
+        n = hot.count()
+        if not n:
             return postings
-        hot = F.broadcast(hot)  # at most postings / HOT of them
         weight_b = self.spark.sparkContext.broadcast(self.weight)
-        mine = postings.where("not cut").join(hot, ["cell", "num"]).groupBy("id").agg(F.collect_set("cell").alias("hot"))
+        mine = postings.join(carried(hot, n, 40), ["cell", "num"]).groupBy("id").agg(F.collect_set("cell").alias("hot"), F.min("num").alias("num"))
 
         def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for df in batches:
                 rows, cells = [], []
                 for i, (dims, hot_) in enumerate(zip(df["dims"], df["hot"])):
-                    d = np.frombuffer(dims, dtype=np.int32).astype(np.int64)
+                    d = _vector(dims)
                     w = weight_b.value[d & (H.CLASSES - 1)].astype(np.float64) ** 2
                     order = np.lexsort((d, -w))
                     d, w = d[order], w[order]
-                    lost = np.cumsum(w) - w
+                    lost, all_ = np.cumsum(w) - w, w.sum()
                     for c in hot_:
                         at = int(np.flatnonzero(d == c)[0])
                         # from the cell on, what lies between it and the next shared dimension is lost as well
-                        ok = np.flatnonzero(lost[at + 1 :] - w[at] <= H.RADIUS * w.sum()) + at + 1
-                        rest = 1 - (lost[at] + w[at]) / w.sum() if at + 1 < len(d) else 0.0
+                        ok = np.flatnonzero(lost[at + 1 :] - w[at] <= H.RADIUS * all_) + at + 1
                         two = [int(c) << H.DIM_BITS | int(x) for x in d[ok]]
-                        # the cell alone may hold all that is shared
-                        if lost[at] + rest * w.sum() <= H.RADIUS * w.sum():
+                        if all_ - w[at] <= H.RADIUS * all_:  # the cell alone may be all that is shared
                             two.append(int(c) << H.DIM_BITS | int(c))
                         rows += [i] * len(two)
                         cells += two
-                yield pd.DataFrame({"cell": np.array(cells, dtype=np.int64), **{c: df[c].to_numpy()[rows] for c in ("num", "cut", "id", "n", *_SIG)}})
+                yield pd.DataFrame({"cell": np.array(cells, dtype=np.int64), "num": df["num"].to_numpy()[rows], "id": df["id"].to_numpy()[rows]})
 
-        more = texts.join(mine, "id").select("dims", "num", "cut", "id", "n", *_SIG, "hot").mapInPandas(second, _POSTING)
-        return postings.join(hot, ["cell", "num"], "left_anti").unionByName(more)
+        more = texts.join(mine, "id").select("dims", "num", "id", "hot").mapInPandas(second, _POSTING)
+        return postings.join(carried(hot, n, 40), ["cell", "num"], "left_anti").unionByName(more)
 
     def ingest(self, block: DataFrame) -> DataFrame:
         """Check a block (row_id, title, url) against history and itself, append what is accepted, return ``row_id_a``, ``row_id_b``."""
         with Scratch(self.spark, "ingest") as scratch:
-            return self._ingest(block, scratch)
+            out = self._ingest(block, scratch)
+        self.spark.createDataFrame([(len(self.blocks),)], "block int").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        self.blocks = self._committed()
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()  # shuffles of the block are cleaned once nothing refers to them
+        return out
 
     def _ingest(self, block: DataFrame, scratch: Scratch) -> DataFrame:
         names = self.names
-        keyed = scratch.write(block.select("row_id", "title", "url").mapInPandas(lambda it: _keys(it, names), "row_id long, k binary, u binary, t binary, raw string, folded string, cut boolean"))
-        # contract copies: one node per page and headline, its first row stands for it
-        first = keyed.groupBy("k").agg(F.min("row_id").alias("row"))
-        rows = scratch.write(keyed.select("row_id", "k", "u", "t").join(first, "k").select("row_id", "row", "u", "t"))
-        nodes = rows.where("row_id = row").select("row", "u", "t").dropDuplicates(["row"])
-        texts = keyed.where(F.col("t").isNotNull()).groupBy("t").agg(*[F.min_by(c, "row_id").alias(c) for c in ("raw", "folded", "cut")])
-        known = self._near_keys("titles", "t binary, row long", "t", texts.select("t")) if self.blocks else None
-        seen = self._read("vectors", _TEXT)
-        if seen is not None:
-            texts = texts.join(seen.select("t"), "t", "left_anti")
-        fresh = scratch.write(texts.mapInPandas(_vectors, _TEXT))
+        keyed = scratch.write(block.select("row_id", "title", "url").mapInPandas(lambda it: _keys(it, names), "row_id long, k binary, u binary, t binary, raw string, cut boolean"))
+        size = keyed.count()
+        # contract copies: one node per page and headline, its first row stands for it; a headline's first row gives its text
+        several = lambda key: scratch.write(keyed.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("row_id").alias("row"), F.count("*").alias("c")).where("c > 1").drop("c"))
+        first = several("k")
+        rows = scratch.write(keyed.select("row_id", "k", "u", "t").join(carried(first, first.count(), 60), "k", "left").select("row_id", F.coalesce("row", "row_id").alias("row"), "u", "t"))
+        nodes = rows.where("row_id = row").select("row", "u", "t")
+        first = several("t")
+        texts = keyed.where("t is not null").join(carried(first, first.count(), 60), "t", "left").where("row is null or row = row_id").select("t", "raw", "cut")
+        if self.blocks:
+            seen = scratch.write(self._read("vectors", _VECTOR).select("t").join(carried(texts.select("t"), size, 40), "t", "left_semi"))
+            texts = texts.join(carried(seen, seen.count(), 40), "t", "left_anti")
+        fresh = self._append(texts.mapInPandas(_vectors, _VECTOR), "vectors")
         if self.weight is None:
             self._fit(fresh)
-        links = self._links(fresh, scratch)
-        decided = self._resolve(nodes, links, known, scratch)
-        # append: accepted rows by page and by headline, new texts with their vectors, their cells and links; what is there
-        # is not written again. A text of which no row was accepted stays in the cells, but without an accepted row it tells nothing
-        accepted = nodes.join(decided.where("a = row").select("row"), "row")
-        self._append(accepted.where("u is not null").select("u", "row"), "pages", self._slot("u"), ("u",))
-        self._append(accepted.where("t is not null").select("t", "row"), "titles", self._slot("t"), ("t",))
-        self._append(fresh, "vectors")
-        self._append(links, "links")
-        out = rows.select("row_id", "row").join(decided, "row").select(F.col("a").alias("row_id_a"), F.col("row_id").alias("row_id_b")).where("row_id_a < row_id_b").distinct()
-        out = materialize(out, "repeats")
-        self.spark.createDataFrame([(len(self.blocks),)], "block int").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
-        self.blocks = self._committed()
-        return out
-
-    def _links(self, fresh: DataFrame, scratch: Scratch) -> DataFrame:
-        """Fresh headlines and those, fresh or in history, that tell the same story: (t, o) both ways round."""
-        new = scratch.write(self._postings(fresh))
-        self._append(new, "cells", self._slot("cell"), ("cell", "num"))
-        held = self._read("cells", _POSTING)
-        pair = [F.least("x.id", "y.id").alias("p"), F.greatest("x.id", "y.id").alias("q")]
-        cell = F.col("x.cell") == F.col("y.cell")
-        differ = _bits(*[F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}")) for s in _SIG])
-        close = (F.col("x.num") == F.col("y.num")) & (differ <= (1 - H.SIMILAR) * (F.col("x.n") + F.col("y.n")))
-        lacks = lambda a, b: _bits(*[F.col(f"{a}.{s}").bitwiseAND(F.bitwise_not(f"{b}.{s}")) for s in _SIG]) <= (1 - H.BEGINS) * F.col(f"{a}.n")
-        part = (F.col("x.cut") & lacks("x", "y")) | (F.col("y.cut") & lacks("y", "x"))
-        plain = self._split_hot(new, fresh, scratch).where("not cut")
-        pairs = plain.alias("x").join(plain.alias("y"), cell & close & (F.col("x.id") < F.col("y.id"))).select(*pair)
-        cut, cells = new.where("cut"), new.select("cell").distinct()
-        carry = lambda df: F.broadcast(df) if df.count() * 80 <= BROADCAST_BYTES else df
-        # cut headlines are few, and may lack numbers: they are carried to the cells, while their size allows it
-        pairs = pairs.unionByName(carry(cut).alias("x").join(new.alias("y"), cell & part & (F.col("x.id") != F.col("y.id"))).select(*pair))
-        if held is not None:
-            near = self._near_keys("cells", _POSTING, "cell", cells)
-            pairs = pairs.unionByName(new.where("not cut").alias("x").join(near.where("not cut").alias("y"), cell & close).select(*pair))
-            pairs = pairs.unionByName(carry(cut).alias("x").join(near.alias("y"), cell & part).select(*pair))
-            pairs = pairs.unionByName(new.where("not cut").alias("x").join(carry(near.where("cut")).alias("y"), cell & part).select(*pair))
-        pairs = scratch.write(pairs.where("p <> q").distinct())
+        links = self._links(fresh, size, scratch)
+        decided = self._resolve(nodes, links, size, scratch)
+        # append: accepted rows by page and by headline; new texts with their vectors, cells and links are there already. What
+        # was there is not written again. A text of which no row was accepted stays in the cells, but without an accepted row
+        # it tells nothing
+        rejected = scratch.write(decided.where("a <> row"))
+        most = rejected.count()
+        accepted = nodes.join(carried(rejected.select("row"), most, 40), "row", "left_anti")
+        self._append(accepted.where("u is not null").select("u", "row"), "pages", "u")
+        self._append(accepted.where("t is not null").select("t", "row"), "titles", "t")
+        out = rows.select("row_id", "row").join(carried(rejected, most, 60), "row", "left").select(F.coalesce("a", "row").alias("row_id_a"), F.col("row_id").alias("row_id_b"))
+        return materialize(out.where("row_id_a < row_id_b").distinct(), "repeats")
+
+    def _links(self, fresh: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+        """Fresh headlines and those, fresh or in history, that tell the same story: (t, o) both ways round.
+
+        Headlines that were cut lie in cells of their own (``cut_cells``), as they may lack numbers: they are few, and are
+        carried to the cells of the whole ones while their size allows it.
+        """
+        new = self._append(self._postings(fresh.where("not cut")), "cells", "cell")
+        new_cut = self._append(self._postings(fresh.where("cut")), "cut_cells")
+        fresh_signs = self._append(fresh.select("dims", "id").mapInPandas(_signs, _SIGN), "signs")
+        n_cut = new_cut.count()
+        plain = self._split_hot(new, fresh.where("not cut"), scratch)
+        same, less = ["cell", "num"], F.col("x.id") < F.col("y.id")
+        ids = [F.col("x.id").alias("p"), F.col("y.id").alias("q"), F.lit(False).alias("part")]
+        cut_ids = [F.col("x.id").alias("p"), F.col("y.id").alias("q"), F.lit(True).alias("part")]  # p is cut
+        pairs = plain.alias("x").join(plain.alias("y"), same).where(less).select(*ids)
+        by_cell = F.col("x.cell") == F.col("y.cell")
+        cut_x = carried(new_cut, n_cut, 40).alias("x")
+        pairs = pairs.unionByName(cut_x.join(new.unionByName(new_cut).alias("y"), by_cell & (F.col("x.id") != F.col("y.id"))).select(*cut_ids))
+        signs, texts = fresh_signs, fresh
+        if self.blocks:
+            near = self._near_keys("cells", _POSTING, "cell", new.select("cell").unionByName(new_cut.select("cell")).distinct(), 12 * size)
+            old_cut = self._read("cut_cells", _POSTING).select(*new.columns)
+            pairs = pairs.unionByName(new.alias("x").join(near.alias("y"), same).select(*ids))
+            pairs = pairs.unionByName(cut_x.join(near.unionByName(old_cut).alias("y"), by_cell).select(*cut_ids))
+            pairs = pairs.unionByName(carried(old_cut, old_cut.count(), 40).alias("x").join(new.unionByName(new_cut).alias("y"), by_cell).select(*cut_ids))
+            signs = signs.unionByName(self._read("signs", _SIGN).select(*signs.columns))
+            texts = texts.unionByName(self._read("vectors", _VECTOR).select(*fresh.columns))
+        # differing bits bound the distance from below; beyond the bound nothing is reranked
+        n = signs.count()
+        if n * 60 > BROADCAST_BYTES:
+            pairs = pairs.distinct()
+        side = lambda k: carried(signs.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", *_SIG)]), n, 60)
+        differ = _bits(*[F.col(f"{s}_p").bitwiseXOR(F.col(f"{s}_q")) for s in _SIG]) <= (1 - H.SIMILAR) * (F.col("n_p") + F.col("n_q"))
+        lacks = _bits(*[F.col(f"{s}_p").bitwiseAND(F.bitwise_not(f"{s}_q")) for s in _SIG]) <= (1 - H.BEGINS) * F.col("n_p")
+        pairs = pairs.join(side("p"), "p").join(side("q"), "q").where(F.when(F.col("part"), lacks).otherwise(differ))
+        pairs = scratch.write(pairs.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct())
         # only the vectors that are compared are moved
-        ids = pairs.select(F.explode(F.array("p", "q")).alias("id")).distinct()
-        small = ids.count() * 24 <= BROADCAST_BYTES
-        seen = self._read("vectors", _TEXT)
-        full = fresh if seen is None else fresh.unionByName(seen.drop("block"))
-        full = full.select("id", "t", "raw", "folded", "cut", "dims").join(F.broadcast(ids) if small else ids, "id", "left_semi")
-        side = lambda k: full.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("t", "raw", "folded", "cut", "dims")])
+        wanted = pairs.select(F.explode(F.array("p", "q")).alias("id")).distinct()
+        n = 2 * pairs.count()
+        texts = scratch.write(texts.join(carried(wanted, n, 24), "id", "left_semi"))
+        text = lambda k: carried(texts.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("t", "raw", "cut", "dims")]), n, 500)
         weight_b = self.spark.sparkContext.broadcast(self.weight)
 
         def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            vector = lambda x: np.frombuffer(x, dtype=np.int32)
             for df in batches:
                 ok = [
-                    H.same_story(a, b, vector(ga), vector(gb), ra, rb, ca, cb, weight_b.value)
-                    for a, b, ga, gb, ra, rb, ca, cb in zip(df["folded_p"], df["folded_q"], df["dims_p"], df["dims_q"], df["raw_p"], df["raw_q"], df["cut_p"], df["cut_q"])
+                    H.same_story(H.fold(ra), H.fold(rb), _vector(ga), _vector(gb), ra, rb, ca, cb, weight_b.value)
+                    for ga, gb, ra, rb, ca, cb in zip(df["dims_p"], df["dims_q"], df["raw_p"], df["raw_q"], df["cut_p"], df["cut_q"])
                 ]
                 got = df.loc[ok, ["t_p", "t_q"]]
                 yield pd.DataFrame({"t": pd.concat([got["t_p"], got["t_q"]]), "o": pd.concat([got["t_q"], got["t_p"]])})
 
-        return scratch.write(pairs.join(side("p"), "p").join(side("q"), "q").drop("p", "q").mapInPandas(rerank, "t binary, o binary"))
+        links = pairs.repartition(16).join(text("p"), "p").join(text("q"), "q").drop("p", "q").mapInPandas(rerank, "t binary, o binary")
+        return self._append(links, "links")
 
-    def _resolve(self, nodes: DataFrame, links: DataFrame, titles: DataFrame | None, scratch: Scratch) -> DataFrame:
-        """(row, a) of all nodes: the accepted row they repeat, themselves if accepted. Greedy in row order, in parallel rounds.
+    def _resolve(self, nodes: DataFrame, links: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+        """(row, a) of all nodes that have anything in common with another: the accepted row they repeat, themselves if accepted.
+        Greedy in row order, in parallel rounds; a node that is not listed is accepted.
 
         Page and headline are hubs that a node provides and asks, so copies never meet in pairs; a node also asks the
         headlines its own is linked with. In a round a node is rejected if an accepted one provides a hub it asks, and
-        accepted if no undecided node before it does.
+        accepted if no undecided node before it does. What is left of a few edges is decided in order by one task.
         """
         near = links
-        past = self._read("links", "t binary, o binary")
-        if past is not None:  # a text of the block that isn't fresh has its links in history
-            mine = nodes.where("t is not null").select("t").distinct()
-            near = near.unionByName(past.select("t", "o").join(F.broadcast(mine) if mine.count() * 40 <= BROADCAST_BYTES else mine, "t", "left_semi"))
+        if self.blocks:  # a text of the block that isn't fresh has its links in history
+            mine = carried(nodes.where("t is not null").select("t").distinct(), size, 40)
+            near = near.unionByName(self._read("links", "t binary, o binary").select("t", "o").join(mine, "t", "left_semi"))
+        near = scratch.write(near.distinct())
+        n_near = near.count()
         own = nodes.select("row", F.explode(F.array_compact(F.array("u", "t"))).alias("hub")).withColumn("own", F.lit(True))
-        asks = nodes.join(near, "t").select("row", F.col("o").alias("hub"), F.lit(False).alias("own"))
-        edges = scratch.write(own.unionByName(asks))
+        asks = nodes.where("t is not null").select("row", "t").join(carried(near, n_near, 60), "t").select("row", F.col("o").alias("hub"), F.lit(False).alias("own"))
+        edges = own.unionByName(asks)
+        # only hubs that more than one node has to do with, or history has, decide anything
+        hot = scratch.write(edges.groupBy("hub").count().where("count > 1").select("hub"))
         before = None
         if self.blocks:
-            pages = self._near_keys("pages", "u binary, row long", "u", nodes.where("u is not null").select("u").distinct())
-            before = titles.select(F.col("t").alias("hub"), "row").unionByName(pages.select(F.col("u").alias("hub"), "row"))
-            linked = near.select(F.col("o").alias("t")).distinct()
-            more = self._near_keys("titles", "t binary, row long", "t", linked)
-            before = scratch.write(before.unionByName(more.select(F.col("t").alias("hub"), "row")).groupBy("hub").agg(F.min("row").alias("ma")))
+            held = self._near_keys("pages", "u binary, row long", "u", nodes.where("u is not null").select("u"), size).withColumnRenamed("u", "hub")
+            asked = nodes.where("t is not null").select("t").unionByName(near.select(F.col("o").alias("t")))
+            held = held.unionByName(self._near_keys("titles", "t binary, row long", "t", asked, size + n_near).withColumnRenamed("t", "hub"))
+            before = scratch.write(held.groupBy("hub").agg(F.min("row").alias("ma")))
+            hot = scratch.write(hot.unionByName(before.select("hub")).distinct())
+        edges = scratch.write(edges.join(carried(hot, hot.count(), 40), "hub", "left_semi"))
         done, acc = [], None  # acc: hubs with the smallest row accepted in the round before
+        none = F.lit(None).cast("long")
         while True:
-            mt = edges.where("own").groupBy("hub").agg(F.min("row").alias("mt"), F.lit(None).cast("long").alias("ma"))
-            if before is not None:
-                mt = mt.unionByName(before.select("hub", F.lit(None).cast("long").alias("mt"), "ma"))
-            if acc is not None:
-                mt = mt.unionByName(acc)
-            hubs = mt.groupBy("hub").agg(F.min("mt").alias("mt"), F.min("ma").alias("ma"))
+            hubs = edges.where("own").groupBy("hub").agg(F.min("row").alias("mt")).withColumn("ma", none)
+            for known in (before, acc):
+                if known is not None:
+                    hubs = hubs.unionByName(known.select("hub", none.alias("mt"), "ma"))
+            if edges.count() <= FEW:
+                done.append(scratch.write(edges.join(hubs.where("ma is not null").groupBy("hub").agg(F.min("ma").alias("ma")), "hub", "left").coalesce(1).mapInPandas(_in_order, "row long, a long")))
+                break
+            hubs = hubs.groupBy("hub").agg(F.min("mt").alias("mt"), F.min("ma").alias("ma"))
             told = edges.join(hubs, "hub", "left").groupBy("row").agg(F.min("ma").alias("ma"), F.min("mt").alias("mt"))
             told = scratch.write(told.select("row", F.when(F.col("ma").isNotNull(), F.col("ma")).when(F.coalesce("mt", "row") >= F.col("row"), F.col("row")).alias("a")))
             done.append(told.where("a is not null"))
-            rest = told.where("a is null").select("row")
-            if rest.isEmpty():
-                break
-            todo = scratch.write(edges.join(rest, "row"))
+            todo = scratch.write(edges.join(told.where("a is null").select("row"), "row"))
             won = told.where("a = row").select("row")
-            acc = edges.where("own").join(won, "row").join(todo.select("hub").distinct(), "hub", "left_semi").groupBy("hub").agg(F.lit(None).cast("long").alias("mt"), F.min("row").alias("ma"))
-            acc, edges, before = scratch.write(acc.select("hub", "mt", "ma")), todo, None
+            acc = scratch.write(edges.where("own").join(won, "row").join(todo.select("hub").distinct(), "hub", "left_semi").groupBy("hub").agg(F.min("row").alias("ma")))
+            edges, before = todo, None
         out = done[0]
         for more in done[1:]:
             out = out.unionByName(more)
-        return scratch.write(out)
+        return out
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Decides nodes in row order; at most ``FEW`` edges (hub, row, own, ma: the smallest row accepted before) come here."""
+    edges = pd.concat(list(batches) or [pd.DataFrame({"hub": [], "row": [], "own": [], "ma": []})])
+    taken = {h: int(m) for h, m in zip(edges["hub"], edges["ma"]) if m == m and m is not None}
+    asks: dict[int, list] = {}
+    gives: dict[int, list] = {}
+    for hub, row, own in zip(edges["hub"], edges["row"], edges["own"]):
+        asks.setdefault(row, []).append(hub)
+        if own:
+            gives.setdefault(row, []).append(hub)
+    out = []
+    for row in sorted(asks):
+        a = min((taken[h] for h in asks[row] if h in taken), default=row)
+        if a == row:
+            for h in gives.get(row, ()):
+                taken.setdefault(h, row)
+        out.append((row, a))
+    yield pd.DataFrame(out, columns=["row", "a"])
+
+
+def carried(df: DataFrame, rows: int, width: int) -> DataFrame:
+    """``df`` marked for broadcast if that many rows of that width are few enough, else as it is."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
 def repeats(spark: SparkSession, items: DataFrame, order: str, site_names: frozenset[str], shares: tuple[float, ...] = (0.75,), path: str | None = None) -> DataFrame:

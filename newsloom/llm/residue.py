@@ -38,7 +38,8 @@ _CODE_NAME = r"\s*[\w.]+(?:[ :|/.\-]+(?:\w+|\"[^\"]*\"|'[^']*'))*\s*"
 _SHAPES = [(f"{a}…{b}", re.compile(re.escape(a) + _CODE_NAME + re.escape(b))) for a, b in DELIMITERS]
 _CAPS = [(f"{a}N{b}", re.compile((r"(?<![\w" + re.escape(a) + "])" if a.isalpha() is False else r"\b") + re.escape(a) + r"\s*(?:[A-Z][A-Z0-9]*(?:[_ ][A-Z0-9]+)*|[a-z]+(?:_[a-z0-9]+)+)\s*" + re.escape(b))) for a, b in CAPITAL_DELIMITERS]
 _TOKEN = re.compile(r"⟦[^⟧]*⟧|[぀-ヿ㐀-鿿]+|[^\W\d_぀-ヿ㐀-鿿]+|\w*\d\w*")
-_ALPHA = re.compile(r"[^\W\d_぀-ヿ㐀-鿿]+")
+#: Runs of the letters that the exemplars are written in, beside signs; a token of theirs is such a run wherever it stands alone.
+_ALPHA = re.compile("[a-zß-öø-ÿ" + "".join(sorted({c for _, t in EXEMPLARS for c in t.casefold() if c.isalpha() and not "぀" <= c <= "鿿"})) + "]+")
 _SIGNS = re.compile(r"[぀-ヿ㐀-鿿]+")
 #: What a slot opens with, and its pattern: the pattern is tried only where the opening stands.
 _OPENERS = [(d[0], p) for d, (_, p) in zip(DELIMITERS + CAPITAL_DELIMITERS, _SHAPES + _CAPS) if len(d[0]) > 1]
@@ -182,8 +183,9 @@ class Index:
         matched: Counter = Counter()
         by: dict[str, str] = {}
         lines = prose_lines(body)
+        some = slotted(body)
         for line in lines:
-            slots = slotted(line)
+            slots = some and slotted(line)
             if not slots:
                 folded = line.casefold()
                 if not any(t in folded for t in near) or not self.reachable(words(line)):

@@ -150,10 +150,30 @@ def test_history_opens_again(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "index").rglob("block=0/**/*.parquet")) <= size
     assert history.HistoryIndex(spark, path=path).blocks == [0, 1]
     # few keys ask for few slots only
-    near = index._near_keys("titles", "t binary, row long", "t", spark.createDataFrame([(bytearray(b"k"),)], "t binary"))
+    near = index._near_keys("titles", "t binary, row long", "t", spark.createDataFrame([(bytearray(b"k"),)], "t binary"), 1)
     assert len({f.split("slot=")[1].split("/")[0] for f in near.inputFiles()}) <= history.SLOTS and "PartitionFilters" in near._jdf.queryExecution().toString()
 
 
+def test_packed_vectors_round_trip():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 1 << headlines.DIM_BITS, n)) for n in (0, 1, 7, 84, 0, 300)]
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    packed = history._packed(starts, np.concatenate(sets))
+    assert all((history._vector(p) == s).all() for p, s in zip(packed, sets))
+    got = history._unpacked(packed)
+    assert (got[0] == starts).all() and (got[1] == np.concatenate(sets)).all()
+
+
+def test_rounds_decide_like_one_task(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(i, f"Story {r.choice('abcdefgh')} of the {r.choice(['quiet', 'loud'])} house and its many rooms", f"https://a.test/{r.randrange(25)}") for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, title string, url string")
+    accepted = lambda got: {i for i, *_ in rows} - {x["row_id_b"] for x in got}
+    whole = accepted(history.HistoryIndex(spark).ingest(df).collect())
+    monkeypatch.setattr(history, "FEW", 0)
+    assert accepted(history.HistoryIndex(spark).ingest(df).collect()) == whole and len(whole) < 5
+
+
 def test_hot_cells_are_split(spark, monkeypatch):
     r = random.Random(3)
     words = ["alpha", "beta", "gamma", "delta", "reward", "kernel", "cache", "router"]
