@@ -11,6 +11,22 @@ TRACKING_PREFIXES = ("utm_", "pk_", "mtm_")
 # fixed values: host labels that only name a rendition of the site
 RENDITIONS = ("www.", "m.", "amp.", "mobile.")
 _REDIRECT_KEYS = ("u", "url", "q", "target", "to", "dest")
+_SIMPLE = re.compile(r"https?://([a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*)((?:/[A-Za-z0-9._~-]+)*)/?(?:\?((?:[A-Za-z0-9_-]+=[A-Za-z0-9._-]*)(?:&[A-Za-z0-9_-]+=[A-Za-z0-9._-]*)*))?")
+
+
+def _simple_key(text: str) -> str | None:
+    """The key of an address in plain characters that needs none of the rules; None for any other."""
+    m = _SIMPLE.fullmatch(text)
+    if not m or m[1].startswith(RENDITIONS):
+        return None
+    if not m[3]:
+        return m[1] + m[2]
+    pairs = sorted(tuple(x.split("=", 1)) for x in m[3].split("&"))
+    for k, _ in pairs:
+        low = k.lower()
+        if low in TRACKING_KEYS or low in _REDIRECT_KEYS or low.startswith(TRACKING_PREFIXES):
+            return None
+    return f"{m[1]}{m[2]}?" + "&".join(f"{k}={v}" for k, v in pairs)
 
 
 def page_key(url: str | None, depth: int = 3) -> str | None:
@@ -22,6 +38,8 @@ def page_key(url: str | None, depth: int = 3) -> str | None:
     if not url or not url.strip():
         return None
     text = url.strip()
+    if (simple := _simple_key(text)) is not None:
+        return simple
     try:
         parts = urlsplit(text if "//" in text[:12] else f"//{text}")
         host = (parts.hostname or "").rstrip(".")
