@@ -47,7 +47,9 @@ def plain_title(title: str | None) -> tuple[str, bool]:
 
 def strip_site(t: str, names: frozenset[str]) -> str:
     """``t`` without a leading ``Site: `` or a trailing `` - Site`` that names a known source."""
-    for sep in _SEPARATOR.finditer(t):
+    if not any(c in t for c in "-–—|·:："):
+        return t
+    for sep in _SEPARATOR.finditer(t) if ":" in t or "：" in t else ():
         if sep.group().strip() in (":", "：") and t[: sep.start()].casefold() in names:
             return t[sep.end() :]
     last = None

@@ -45,7 +45,7 @@ HOT = 256
 #: Undecided edges from which on the greedy choice is finished by one task instead of another round.
 FEW = 500_000
 _SIG = [f"s{i}" for i in range(H.SIGNATURE)]
-_POSTING = "cell long, num int, id long"
+_POSTING = "key long, id long"
 _VECTOR = "t binary, id long, cut boolean, raw string, dims binary"
 _SIGN = "id long, n int, " + ", ".join(f"{s} long" for s in _SIG)
 _SLOTTED = ("cells", "pages", "titles")
@@ -202,42 +202,42 @@ class HistoryIndex:
             for df in batches:
                 who, cell = H.cells_of(*_unpacked(df["dims"]), weight_b.value)
                 num = np.array([H.number_key(H.fold(r)) for r in df["raw"]], dtype=np.int64)
-                yield pd.DataFrame({"cell": cell, "num": num[who], "id": df["id"].to_numpy()[who]})
+                yield pd.DataFrame({"key": cell << 31 | num[who], "id": df["id"].to_numpy()[who]})
 
         return texts.select("dims", "raw", "id").mapInPandas(file, _POSTING)
 
     def _split_hot(self, postings: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
         """``postings`` with those of hot cells filed under two dimensions: the cell, and each lighter one that may be the
-        next that a vector within the radius shares."""
-        hot = scratch.write(postings.groupBy("cell", "num").count().where(F.col("count") > HOT).select("cell", "num"))
+        next that a vector within the radius shares. The key of two dimensions is a hash below 0."""
+        hot = scratch.write(postings.groupBy("key").count().where(F.col("count") > HOT).select("key"))
         n = hot.count()
         if not n:
             return postings
         weight_b = self.spark.sparkContext.broadcast(self.weight)
-        mine = postings.join(carried(hot, n, 40), ["cell", "num"]).groupBy("id").agg(F.collect_set("cell").alias("hot"), F.min("num").alias("num"))
+        mine = postings.join(carried(hot, n, 40), "key").groupBy("id").agg(F.collect_set("key").alias("hot"))
 
         def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for df in batches:
-                rows, cells = [], []
+                rows, keys = [], []
                 for i, (dims, hot_) in enumerate(zip(df["dims"], df["hot"])):
                     d = _vector(dims)
                     w = weight_b.value[d & (H.CLASSES - 1)].astype(np.float64) ** 2
                     order = np.lexsort((d, -w))
                     d, w = d[order], w[order]
                     lost, all_ = np.cumsum(w) - w, w.sum()
-                    for c in hot_:
-                        at = int(np.flatnonzero(d == c)[0])
+                    for c in map(int, hot_):
+                        at = int(np.flatnonzero(d == c >> 31)[0])
                         # from the cell on, what lies between it and the next shared dimension is lost as well
                         ok = np.flatnonzero(lost[at + 1 :] - w[at] <= H.RADIUS * all_) + at + 1
-                        two = [int(c) << H.DIM_BITS | int(x) for x in d[ok]]
+                        two = [int(x) for x in d[ok]]
                         if all_ - w[at] <= H.RADIUS * all_:  # the cell alone may be all that is shared
-                            two.append(int(c) << H.DIM_BITS | int(c))
+                            two.append(-1)
                         rows += [i] * len(two)
-                        cells += two
-                yield pd.DataFrame({"cell": np.array(cells, dtype=np.int64), "num": df["num"].to_numpy()[rows], "id": df["id"].to_numpy()[rows]})
+                        keys += [-1 - (xxhash.xxh64_intdigest(f"{c},{x}") >> 1) for x in two]
+                yield pd.DataFrame({"key": np.array(keys, dtype=np.int64), "id": df["id"].to_numpy()[rows]})
 
-        more = texts.join(mine, "id").select("dims", "num", "id", "hot").mapInPandas(second, _POSTING)
-        return postings.join(carried(hot, n, 40), ["cell", "num"], "left_anti").unionByName(more)
+        more = texts.join(mine, "id").select("dims", "id", "hot").mapInPandas(second, _POSTING)
+        return postings.join(carried(hot, n, 40), "key", "left_anti").unionByName(more)
 
     def ingest(self, block: DataFrame) -> DataFrame:
         """Check a block (row_id, title, url) against history and itself, append what is accepted, return ``row_id_a``, ``row_id_b``."""
@@ -285,24 +285,29 @@ class HistoryIndex:
         Headlines that were cut lie in cells of their own (``cut_cells``), as they may lack numbers: they are few, and are
         carried to the cells of the whole ones while their size allows it.
         """
-        new = self._append(self._postings(fresh.where("not cut")), "cells", "cell")
+        new = self._append(self._postings(fresh.where("not cut")), "cells", "key")
         new_cut = self._append(self._postings(fresh.where("cut")), "cut_cells")
         fresh_signs = self._append(fresh.select("dims", "id").mapInPandas(_signs, _SIGN), "signs")
-        n_cut = new_cut.count()
+        n_new, n_cut = new.count(), new_cut.count()
         plain = self._split_hot(new, fresh.where("not cut"), scratch)
-        same, less = ["cell", "num"], F.col("x.id") < F.col("y.id")
+        less = F.col("x.id") < F.col("y.id")
         ids = [F.col("x.id").alias("p"), F.col("y.id").alias("q"), F.lit(False).alias("part")]
         cut_ids = [F.col("x.id").alias("p"), F.col("y.id").alias("q"), F.lit(True).alias("part")]  # p is cut
-        pairs = plain.alias("x").join(plain.alias("y"), same).where(less).select(*ids)
-        by_cell = F.col("x.cell") == F.col("y.cell")
+        small = n_new * 40 <= BROADCAST_BYTES
+        build = lambda df: F.broadcast(df) if small else df.hint("shuffle_hash")
+        pairs = plain.alias("x").join(build(plain).alias("y"), "key").where(less).select(*ids)
+        # the numbers of a cut headline may be cut off: its cells are looked up alone
+        by_cell = F.shiftright("x.key", 31) == F.shiftright("y.key", 31)
         cut_x = carried(new_cut, n_cut, 40).alias("x")
         pairs = pairs.unionByName(cut_x.join(new.unionByName(new_cut).alias("y"), by_cell & (F.col("x.id") != F.col("y.id"))).select(*cut_ids))
         signs, texts = fresh_signs, fresh
         if self.blocks:
-            near = self._near_keys("cells", _POSTING, "cell", new.select("cell").unionByName(new_cut.select("cell")).distinct(), 12 * size)
             old_cut = self._read("cut_cells", _POSTING).select(*new.columns)
-            pairs = pairs.unionByName(new.alias("x").join(near.alias("y"), same).select(*ids))
-            pairs = pairs.unionByName(cut_x.join(near.unionByName(old_cut).alias("y"), by_cell).select(*cut_ids))
+            old = self._read("cells", _POSTING).select(*new.columns)
+            # a small block is carried to the cells it asks for, a large one meets them in a shuffle
+            near = self._near_keys("cells", _POSTING, "key", new.select("key"), n_new) if n_new <= 4 * SLOTS else old
+            pairs = pairs.unionByName(near.alias("y").join(build(new).alias("x"), "key").select(*ids))
+            pairs = pairs.unionByName(cut_x.join(old.unionByName(old_cut).alias("y"), by_cell).select(*cut_ids))
             pairs = pairs.unionByName(carried(old_cut, old_cut.count(), 40).alias("x").join(new.unionByName(new_cut).alias("y"), by_cell).select(*cut_ids))
             signs = signs.unionByName(self._read("signs", _SIGN).select(*signs.columns))
             texts = texts.unionByName(self._read("vectors", _VECTOR).select(*fresh.columns))
