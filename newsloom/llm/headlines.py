@@ -114,18 +114,31 @@ def vectors(folded: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(key >> DIM_BITS, np.arange(len(folded) + 1)), key & ((1 << DIM_BITS) - 1)
 
 
-def cells_of(starts: np.ndarray, dims: np.ndarray, weight: np.ndarray, radius: float = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+class Weights:
+    """The weight of every class of dimensions, and the order in which dimensions go: heaviest first, the same for all headlines."""
+
+    def __init__(self, weight: np.ndarray) -> None:
+        self.weight = weight
+        self.place = np.empty(CLASSES, dtype=np.int64)
+        order = np.lexsort((np.arange(CLASSES), -weight))
+        self.place[order] = np.arange(CLASSES)
+        self.square = weight[order].astype(np.float64) ** 2  # by place
+
+    def ordered(self, starts: np.ndarray, dims: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Headline, dimension and squared weight, heaviest first within a headline."""
+        which = np.repeat(np.arange(len(starts) - 1, dtype=np.int64), np.diff(starts))
+        key = np.sort(which << DIM_BITS + 18 | self.place[dims & (CLASSES - 1)] << DIM_BITS | dims)
+        return key >> DIM_BITS + 18, key & ((1 << DIM_BITS) - 1), self.square[key >> DIM_BITS & (CLASSES - 1)]
+
+
+def cells_of(starts: np.ndarray, dims: np.ndarray, weights: Weights, radius: float = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Per headline the heaviest dimensions that together hold more than ``radius`` of the squared length: (headline, dimension)."""
-    n = len(starts) - 1
-    which = np.repeat(np.arange(n), np.diff(starts))
-    w = weight[dims & (CLASSES - 1)].astype(np.float64) ** 2
-    order = np.lexsort((dims, -w, which))
-    w = w[order]
+    which, dims, w = weights.ordered(starts, dims)
     held = np.cumsum(w)
     before = np.concatenate([[0.0], held])
     total = before[starts[1:]] - before[starts[:-1]]
-    kept = held - w - np.repeat(before[starts[:-1]], np.diff(starts)) <= radius * total[which]
-    return which[kept], dims[order][kept]
+    kept = held - w - before[starts[:-1]][which] <= radius * total[which]
+    return which[kept], dims[kept]
 
 
 def signatures(starts: np.ndarray, dims: np.ndarray) -> np.ndarray:

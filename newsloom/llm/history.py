@@ -9,9 +9,8 @@ cell can hold a nearer match. Every vector has a signature, whose differing bits
 beyond the bound are not reranked, all others are compared exactly by their full vectors. New vectors are appended to
 the cells.
 
-The index lives in a folder: ``weights``, ``vectors`` (full vectors and texts), ``signs``, ``cells``, ``cut_cells``, ``pages``
-and ``titles`` (accepted rows by page and by headline) and ``links``, each partitioned by block and, where it is probed, by
-slot of its key. A block only reads the slots it asks for and keeps what matches its keys before anything is shuffled. A block
+The index lives in a folder: ``weights``, ``vectors`` (full vectors, texts, signatures), ``cells``, ``cut_cells``, ``taken``
+(accepted rows by page and by headline) and ``links``, each partitioned by block and, where it is probed, by slot of its key. A block only reads the slots it asks for and keeps what matches its keys before anything is shuffled. A block
 counts from the moment it is listed in ``commits``; what a broken run left is not read.
 
 Exact copies (same page, same folded headline) are contracted before any vector is made, so hot groups of copies cost
@@ -46,9 +45,10 @@ HOT = 256
 FEW = 500_000
 _SIG = [f"s{i}" for i in range(H.SIGNATURE)]
 _POSTING = "key long, id long"
-_VECTOR = "t binary, id long, cut boolean, raw string, dims binary"
-_SIGN = "id long, n int, " + ", ".join(f"{s} long" for s in _SIG)
-_SLOTTED = ("cells", "pages", "titles")
+_SIGN = ", ".join(f"{s} long" for s in _SIG)
+_VECTOR = f"t binary, id long, cut boolean, raw string, dims binary, num int, n int, {_SIGN}"
+_TAKEN = "hub binary, row long"
+_SLOTTED = ("cells", "taken")
 
 
 def _keys(batches: Iterator[pd.DataFrame], names: frozenset[str]) -> Iterator[pd.DataFrame]:
@@ -96,17 +96,16 @@ def _unpacked(dims: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in batches:
-        starts, dims = H.vectors([H.fold(r) for r in df["raw"]])
+        folded = [H.fold(r) for r in df["raw"]]
+        starts, dims = H.vectors(folded)
         df["id"] = [int.from_bytes(t[:8], "little", signed=True) for t in df["t"]]
         df["dims"] = _packed(starts, dims)
-        yield df
-
-
-def _signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for df in batches:
-        starts, dims = _unpacked(df["dims"])
+        df["num"] = [H.number_key(f) for f in folded]
+        df["n"] = np.diff(starts).astype(np.int32)
         signs = H.signatures(starts, dims)
-        yield pd.DataFrame({"id": df["id"], "n": np.diff(starts).astype(np.int32), **{s: signs[:, i] for i, s in enumerate(_SIG)}})
+        for i, s in enumerate(_SIG):
+            df[s] = signs[:, i]
+        yield df
 
 
 def _bits(*of: Column) -> Column:
@@ -196,15 +195,14 @@ class HistoryIndex:
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/weights")
 
     def _postings(self, texts: DataFrame) -> DataFrame:
-        weight_b = self.spark.sparkContext.broadcast(self.weight)
+        weight_b = self.spark.sparkContext.broadcast(H.Weights(self.weight))
 
         def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for df in batches:
                 who, cell = H.cells_of(*_unpacked(df["dims"]), weight_b.value)
-                num = np.array([H.number_key(H.fold(r)) for r in df["raw"]], dtype=np.int64)
-                yield pd.DataFrame({"key": cell << 31 | num[who], "id": df["id"].to_numpy()[who]})
+                yield pd.DataFrame({"key": cell << 31 | df["num"].to_numpy(dtype=np.int64)[who], "id": df["id"].to_numpy()[who]})
 
-        return texts.select("dims", "raw", "id").mapInPandas(file, _POSTING)
+        return texts.select("dims", "num", "id").mapInPandas(file, _POSTING)
 
     def _split_hot(self, postings: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
         """``postings`` with those of hot cells filed under two dimensions: the cell, and each lighter one that may be the
@@ -213,7 +211,7 @@ class HistoryIndex:
         n = hot.count()
         if not n:
             return postings
-        weight_b = self.spark.sparkContext.broadcast(self.weight)
+        weight_b = self.spark.sparkContext.broadcast(H.Weights(self.weight))
         mine = postings.join(carried(hot, n, 40), "key").groupBy("id").agg(F.collect_set("key").alias("hot"))
 
         def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,9 +219,7 @@ class HistoryIndex:
                 rows, keys = [], []
                 for i, (dims, hot_) in enumerate(zip(df["dims"], df["hot"])):
                     d = _vector(dims)
-                    w = weight_b.value[d & (H.CLASSES - 1)].astype(np.float64) ** 2
-                    order = np.lexsort((d, -w))
-                    d, w = d[order], w[order]
+                    _, d, w = weight_b.value.ordered(np.array([0, len(d)]), d)
                     lost, all_ = np.cumsum(w) - w, w.sum()
                     for c in map(int, hot_):
                         at = int(np.flatnonzero(d == c >> 31)[0])
@@ -274,8 +270,7 @@ class HistoryIndex:
         rejected = scratch.write(decided.where("a <> row"))
         most = rejected.count()
         accepted = nodes.join(carried(rejected.select("row"), most, 40), "row", "left_anti")
-        self._append(accepted.where("u is not null").select("u", "row"), "pages", "u")
-        self._append(accepted.where("t is not null").select("t", "row"), "titles", "t")
+        self._append(accepted.select(F.explode(F.array_compact(F.array("u", "t"))).alias("hub"), "row"), "taken", "hub")
         out = rows.select("row_id", "row").join(carried(rejected, most, 60), "row", "left").select(F.coalesce("a", "row").alias("row_id_a"), F.col("row_id").alias("row_id_b"))
         return materialize(out.where("row_id_a < row_id_b").distinct(), "repeats")
 
@@ -287,7 +282,6 @@ class HistoryIndex:
         """
         new = self._append(self._postings(fresh.where("not cut")), "cells", "key")
         new_cut = self._append(self._postings(fresh.where("cut")), "cut_cells")
-        fresh_signs = self._append(fresh.select("dims", "id").mapInPandas(_signs, _SIGN), "signs")
         n_new, n_cut = new.count(), new_cut.count()
         plain = self._split_hot(new, fresh.where("not cut"), scratch)
         less = F.col("x.id") < F.col("y.id")
@@ -300,7 +294,7 @@ class HistoryIndex:
         by_cell = F.shiftright("x.key", 31) == F.shiftright("y.key", 31)
         cut_x = carried(new_cut, n_cut, 40).alias("x")
         pairs = pairs.unionByName(cut_x.join(new.unionByName(new_cut).alias("y"), by_cell & (F.col("x.id") != F.col("y.id"))).select(*cut_ids))
-        signs, texts = fresh_signs, fresh
+        texts = fresh
         if self.blocks:
             old_cut = self._read("cut_cells", _POSTING).select(*new.columns)
             old = self._read("cells", _POSTING).select(*new.columns)
@@ -309,9 +303,9 @@ class HistoryIndex:
             pairs = pairs.unionByName(near.alias("y").join(build(new).alias("x"), "key").select(*ids))
             pairs = pairs.unionByName(cut_x.join(old.unionByName(old_cut).alias("y"), by_cell).select(*cut_ids))
             pairs = pairs.unionByName(carried(old_cut, old_cut.count(), 40).alias("x").join(new.unionByName(new_cut).alias("y"), by_cell).select(*cut_ids))
-            signs = signs.unionByName(self._read("signs", _SIGN).select(*signs.columns))
             texts = texts.unionByName(self._read("vectors", _VECTOR).select(*fresh.columns))
         # differing bits bound the distance from below; beyond the bound nothing is reranked
+        signs = texts.select("id", "n", *_SIG)
         n = signs.count()
         if n * 60 > BROADCAST_BYTES:
             pairs = pairs.distinct()
@@ -351,7 +345,7 @@ class HistoryIndex:
         if self.blocks:  # a text of the block that isn't fresh has its links in history
             mine = carried(nodes.where("t is not null").select("t").distinct(), size, 40)
             near = near.unionByName(self._read("links", "t binary, o binary").select("t", "o").join(mine, "t", "left_semi"))
-        near = scratch.write(near.distinct())
+            near = scratch.write(near.distinct())
         n_near = near.count()
         own = nodes.select("row", F.explode(F.array_compact(F.array("u", "t"))).alias("hub")).withColumn("own", F.lit(True))
         asks = nodes.where("t is not null").select("row", "t").join(carried(near, n_near, 60), "t").select("row", F.col("o").alias("hub"), F.lit(False).alias("own"))
@@ -360,9 +354,7 @@ class HistoryIndex:
         hot = scratch.write(edges.groupBy("hub").count().where("count > 1").select("hub"))
         before = None
         if self.blocks:
-            held = self._near_keys("pages", "u binary, row long", "u", nodes.where("u is not null").select("u"), size).withColumnRenamed("u", "hub")
-            asked = nodes.where("t is not null").select("t").unionByName(near.select(F.col("o").alias("t")))
-            held = held.unionByName(self._near_keys("titles", "t binary, row long", "t", asked, size + n_near).withColumnRenamed("t", "hub"))
+            held = self._near_keys("taken", _TAKEN, "hub", edges.select("hub"), 2 * size + n_near)
             before = scratch.write(held.groupBy("hub").agg(F.min("row").alias("ma")))
             hot = scratch.write(hot.unionByName(before.select("hub")).distinct())
         edges = scratch.write(edges.join(carried(hot, hot.count(), 40), "hub", "left_semi"))

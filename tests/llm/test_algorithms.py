@@ -150,7 +150,7 @@ def test_history_opens_again(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "index").rglob("block=0/**/*.parquet")) <= size
     assert history.HistoryIndex(spark, path=path).blocks == [0, 1]
     # few keys ask for few slots only
-    near = index._near_keys("titles", "t binary, row long", "t", spark.createDataFrame([(bytearray(b"k"),)], "t binary"), 1)
+    near = index._near_keys("taken", "hub binary, row long", "hub", spark.createDataFrame([(bytearray(b"k"),)], "hub binary"), 1)
     assert len({f.split("slot=")[1].split("/")[0] for f in near.inputFiles()}) <= history.SLOTS and "PartitionFilters" in near._jdf.queryExecution().toString()
 
 
@@ -190,7 +190,7 @@ def test_cells_find_all_within_the_radius():
     texts = [" ".join(r.choices(words, k=7)) for _ in range(120)]
     weight = np.random.default_rng(1).uniform(0.5, 3, headlines.CLASSES).astype(np.float32)
     starts, dims = headlines.vectors(texts)
-    who, cell = headlines.cells_of(starts, dims, weight)
+    who, cell = headlines.cells_of(starts, dims, headlines.Weights(weight))
     sign = headlines.signatures(starts, dims).view(np.uint64)
     sets = [dims[a:b] for a, b in zip(starts[:-1], starts[1:])]
     cells = [set(cell[who == i].tolist()) for i in range(len(texts))]
