@@ -18,9 +18,21 @@ TAG_PATTERNS = {
 }
 SIGNAL_WORDS = ["release", "launch", "benchmark", "发布", "开源"]
 NOISE_PHRASES = ["accept cookies", "all rights reserved", "cookie policy", "enable javascript", "privacy policy", "sign in", "sign up", "sponsored by", "subscribe to", "terms of use", "use cookies", "版权所有", "登录后", "隐私政策"]
+#: Secrets stand where no letter or digit touches them (what may touch on either side differs by kind).
 SECRETS = [
-    (r"\bhf_[A-Za-z0-9]{20,}", "hf_[REDACTED]"), (r"\bgithub_pat_[A-Za-z0-9_]{20,}", "github_pat_[REDACTED]"), (r"\bgh[pousr]_[A-Za-z0-9]{20,}", "gh_[REDACTED]"),
-    (r"\bsk-[A-Za-z0-9_-]{20,}", "sk-[REDACTED]"), (r"\bAIza[A-Za-z0-9_-]{35}", "AIza[REDACTED]"), (r"\bAKIA[A-Z0-9]{16}", "AKIA[REDACTED]"),
-]
+    (r"(?<![A-Za-z0-9])hf_[A-Za-z0-9]{20,}(?![A-Za-z0-9])", "hf_[REDACTED]"),
+    (r"(?<![A-Za-z0-9])github_pat_[A-Za-z0-9_]{20,}(?![A-Za-z0-9_])", "github_pat_[REDACTED]"),
+    (r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{20,}(?![A-Za-z0-9])", "gh_[REDACTED]"),
+    (r"(?<![A-Za-z0-9])sk-[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-])", "sk-[REDACTED]"),
+    (r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])", "AIza[REDACTED]"),
+    (r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])", "AKIA[REDACTED]"),
+]
+#: Most points of a review's dimension, words a review may use.
+DIMENSION_LIMITS = {"relevance": 25, "impact": 25, "novelty": 15, "credibility": 15, "usefulness": 10, "timeliness": 10}
+EVIDENCE = ["clear", "partial", "none"]
+INFORMATION = ["original", "analysis", "rehash", "rumor"]
+CATEGORIES = ["industry", "agent", "release", "benchmark"]
+COMMUNITY = ["reddit", "linux do", "linux.do"]
+DEFAULT_SUMMARY = "来自原始信息源的最新动态，点击标题查看完整内容。"
 DIMENSIONS = ["relevance", "impact", "novelty", "credibility", "usefulness", "timeliness"]
 LEVEL_STEPS = [(85, 5), (70, 4), (50, 3), (30, 2)]

@@ -11,8 +11,8 @@ from . import rules
 
 
 def normalized_title(title: Column) -> Column:
-    """Lower case, without a trailing `` - Publisher``, word characters only: the key of a headline."""
-    return F.regexp_replace(F.regexp_replace(F.lower(title), r"\s+-\s+[^-]{2,40}$", ""), r"[^\p{L}\p{N}_]+", "")
+    """Folded case (ß as ss), without a trailing `` - Publisher``, word characters only: the key of a headline."""
+    return F.regexp_replace(F.regexp_replace(F.replace(F.lower(title), F.lit("ß"), F.lit("ss")), r"\s+-\s+[^-]{2,40}$", ""), r"[^\p{L}\p{N}_]+", "")
 
 
 def item_id(title: Column) -> Column:
@@ -83,6 +83,31 @@ def redact(text: Column) -> Column:
     return text
 
 
+def limit_lines(body: Column, limit: int) -> Column:
+    """As many whole lines as fit into ``limit`` characters; a code fence left open is closed. Null stays null."""
+    plain = F.regexp_replace(F.regexp_replace(body, "\r\n?", "\n"), r"^\s+|\s+$", "")
+    lines = F.split(plain, "\n")
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("kept"), F.lit(False).alias("full"), F.lit(False).alias("code"))
+
+    def take(acc: Column, line: Column) -> Column:
+        used = acc["used"] + F.length(line) + 1
+        full = acc["full"] | (used > limit)
+        fence = F.ltrim(line).startswith("```")
+        return F.struct(
+            F.when(full, acc["used"]).otherwise(used).alias("used"), F.when(full, acc["kept"]).otherwise(acc["kept"] + 1).alias("kept"), full.alias("full"), F.when(full, acc["code"]).otherwise(acc["code"] != fence).alias("code")
+        )
+
+    got = F.aggregate(lines, start, take)
+    cut = F.concat(F.array_join(F.when(got["kept"] > 0, F.slice(lines, F.lit(1), got["kept"])).otherwise(F.array().cast("array<string>")), "\n"), F.when(got["code"], "\n```").otherwise(""))
+    return F.when(plain.isNull() | (F.length(plain) <= limit), plain).otherwise(F.regexp_replace(cut, r"^\s+|\s+$", ""))
+
+
+def community(source: Column, domain: Column) -> Column:
+    """Whether a record comes from a forum."""
+    hay = F.lower(F.concat_ws(" ", F.coalesce(source, F.lit("")), F.coalesce(domain, F.lit(""))))
+    return reduce(lambda a, b: a | b, [F.contains(hay, F.lit(w)) for w in rules.COMMUNITY])
+
+
 def han(text: Column) -> Column:
     return F.regexp_count(text, F.lit("[一-鿿]"))
 

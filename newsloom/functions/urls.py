@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # fixed values: query keys that only track a visit
 TRACKING_KEYS = frozenset("fbclid gclid dclid msclkid yclid mc_cid mc_eid igshid spm ref ref_src ref_url cmpid".split())
@@ -59,3 +62,14 @@ def page_key(url: str | None, depth: int = 3) -> str | None:
     path = quote(unquote(re.sub(r"/{2,}", "/", parts.path)).rstrip("/"), safe="/:@!$&'()*+,;=~-._")
     kept = sorted((k, v) for k, v in query if not (k.lower() in TRACKING_KEYS or k.lower().startswith(TRACKING_PREFIXES)))
     return host + path + (f"?{urlencode(kept)}" if kept else "")
+
+
+def page_keys(url: Column) -> Column:
+    """``page_key`` as a column, in Arrow batches."""
+
+    def keys(urls: pd.Series) -> pd.Series:
+        return urls.map(page_key, na_action="ignore")
+
+    # a stated type of the function decides the kind of the UDF
+    keys.__annotations__ = {"urls": pd.Series, "return": pd.Series}
+    return F.pandas_udf(keys, "string")(url)

@@ -207,7 +207,9 @@ def t14_untried_first(spark, d):
 
 _RED = "body"
 for _p, _l in rules.SECRETS:
-    _RED = f"regexp_replace({_RED}, '{_p}', '{_l}', 'g')"
+    # SQL's patterns have no look-arounds: what stands before is taken along and put back
+    _before, _core = _p[3:].split(")", 1)
+    _RED = f"regexp_replace({_RED}, '(^|[^{_before[2:-1]}]){_core.rsplit('(?!', 1)[0]}', '\\1{_l}', 'g')"
 
 
 @query(f"select article_no, {_RED} as body from articles where body is not null")
@@ -226,9 +228,17 @@ def x11_clean_blocks(spark, d):
     return kept.groupBy("article_no", F.lower("block").alias("k")).agg(F.min("p").alias("p"), F.min_by("block", "p").alias("block")).select("article_no", (F.col("p") + 1).alias("line_no"), "block")
 
 
-@query("select article_no, case when length(body) <= 3000 then body else substr(body, 1, 3000) end as body from articles where body is not null")
+_LIMIT = 1500
+
+
+@query(f"""with b as (select article_no, trim(replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10)), ' ' || chr(9) || chr(10)) as b from articles where body is not null),
+l as (select article_no, unnest(string_split(b, chr(10))) as l, generate_subscripts(string_split(b, chr(10)), 1) as k from b where length(b) > {_LIMIT}),
+u as (select *, sum(length(l) + 1) over (partition by article_no order by k) as used, (ltrim(l) like '```%')::int as f from l),
+k as (select article_no, string_agg(l, chr(10) order by k) || case when sum(f) % 2 = 1 then chr(10) || '```' else '' end as t from u where used <= {_LIMIT} group by 1)
+select b.article_no, case when length(b) <= {_LIMIT} then b else coalesce(trim(t, ' ' || chr(9) || chr(10)), '') end as body from b left join k on b.article_no = k.article_no""")
 def x14_limited(spark, d):
-    return articles(spark, d).where("body is not null").select("article_no", F.substring("body", 1, 3000).alias("body"))
+    """Bodies cut at a line's end, an open code fence closed."""
+    return articles(spark, d).where("body is not null").select("article_no", text.limit_lines(F.col("body"), _LIMIT).alias("body"))
 
 
 @query("with s as (select article_no, unnest(string_split(body, chr(10))) as l, generate_subscripts(string_split(body, chr(10)), 1)::int as line_no from articles) select article_no, line_no, case when regexp_matches(trim(l), '^#{1,6} ') then 'heading' when regexp_matches(trim(l), '^([-*+]|\\d+[.)]) ') then 'list-item' when regexp_matches(trim(l), '^>') then 'blockquote' when regexp_matches(trim(l), '^```') then 'fence' else 'text' end as kind from s where trim(l) <> ''")

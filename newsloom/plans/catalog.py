@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archive, feed, metrics, pieces  # noqa: F401 - they register their queries
+from . import archive, feed, metrics, pieces, reviews, state  # noqa: F401 - they register their queries
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "proj03_search_entries"

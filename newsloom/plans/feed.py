@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
+from ..functions.urls import page_keys
+from ..operators.dedupe import greedy_first
 from ..operators.relational import diff, first_per_key, lookup_two_keys, merge_newer
 from ..session import table
 from .registry import query
@@ -13,7 +15,7 @@ from .registry import query
 # one spelling of the rules in SQL, for the checks
 _HITS = {c: " + ".join(f"(contains(t, '{w}'))::int" for w in ws) for c, ws in rules.CATEGORY_KEYWORDS.items()}
 _LEVEL = "case when {0} >= 85 then 5 when {0} >= 70 then 4 when {0} >= 50 then 3 when {0} >= 30 then 2 else 1 end"
-_KEY = r"regexp_replace(regexp_replace(lower(title), '\s+-\s+[^-]{2,40}$', ''), '[^\p{L}\p{N}_]+', '', 'g')"
+_KEY = r"regexp_replace(regexp_replace(replace(lower(title), 'ß', 'ss'), '\s+-\s+[^-]{2,40}$', ''), '[^\p{L}\p{N}_]+', '', 'g')"
 _SCORE = 'coalesce("aiReview".importanceScore, score, 0)'
 _LVL = f'coalesce("aiReview".importanceLevel, {_LEVEL.format(_SCORE)})'
 
@@ -244,8 +246,17 @@ def j19_neighbours(spark, d):
     return items(spark, d).select("row_id", before.alias("before"), after.alias("after"))
 
 
+@query()
+def w01_greedy(spark, d):
+    """The greedy loop of an ingest, newest first: a row is taken unless a taken one has its headline or its page. Tested
+    against the loop."""
+    df = items(spark, d).select("row_id", text.normalized_title(F.col("title")).alias("k"), page_keys(F.col("url")).alias("u"), F.unix_micros(F.col("published_ts").cast("timestamp")).alias("at"))
+    return greedy_first(df.where("k <> ''"), ["k", "u"], F.struct((-F.coalesce("at", F.lit(0))).alias("at"), "row_id"), "row_id").select("row_id")
+
+
 @query(f"select row_id, k from (select row_id, {_KEY} as k, row_number() over (partition by {_KEY} order by row_id) as r from items) where r = 1")
 def w01_first_headline(spark, d):
+    """The case of one key: the first row of each headline."""
     df = items(spark, d).select("row_id", text.normalized_title(F.col("title")).alias("k"))
     return df.groupBy("k").agg(F.min("row_id").alias("row_id"))
 

@@ -69,10 +69,23 @@ def w02_completions(spark, d):
     return df.agg(within("1 hour").alias("last_hour"), within("1 day").alias("last_day"), within("7 days").alias("last_week"))
 
 
-@query("select event_id, count(*) over w as n_day, round(sum(value) over w, 6) as sum_day from (select *, floor(epoch(ts))::bigint as s from events) window w as (partition by user_id order by s range between 86400 preceding and current row)")
+_SPANS = {"minute": 60, "day": 86_400}
+
+
+@query("select event_id, count(*) over m as n_minute, round(sum(value) over m, 6) as sum_minute, count(*) over d as n_day, round(sum(value) over d, 6) as sum_day from (select *, epoch_us(ts) as s from events) window m as (partition by user_id order by s range between 59999999 preceding and current row), d as (partition by user_id order by s range between 86399999999 preceding and current row)")
 def w03_sliding_budget(spark, d):
-    out = rolling(events(spark, d).withColumn("s", seconds("ts")), ["user_id"], F.col("s"), 86_400, {"n_day": F.count("*"), "sum_day": F.sum("value")})
-    return out.select("event_id", "n_day", F.round("sum_day", 6).alias("sum_day"))
+    """Requests and tokens of the last minute and day; an event that is exactly as old as the span is out."""
+    out = events(spark, d).withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")))
+    for name, span in _SPANS.items():
+        out = rolling(out, ["user_id"], F.col("s"), span * 1_000_000 - 1, {f"n_{name}": F.count("*"), f"sum_{name}": F.sum("value")})
+    return out.select("event_id", "n_minute", F.round("sum_minute", 6).alias("sum_minute"), "n_day", F.round("sum_day", 6).alias("sum_day"))
+
+
+@query("select event_id, n_minute > 2 as over_minute, n_day > 60 or sum_day > 3000 as over_day from (select event_id, count(*) over m as n_minute, count(*) over d as n_day, sum(value) over d as sum_day from (select *, epoch_us(ts) as s from events) window m as (partition by user_id order by s range between 59999999 preceding and current row), d as (partition by user_id order by s range between 86399999999 preceding and current row))")
+def m05_sliding_budgets(spark, d):
+    """Which events exceed the budgets of requests a minute, requests a day and tokens a day."""
+    out = w03_sliding_budget(spark, d)
+    return out.select("event_id", (F.col("n_minute") > 2).alias("over_minute"), ((F.col("n_day") > 60) | (F.col("sum_day") > 3000)).alias("over_day"))
 
 
 @query("with e as (select *, (event_type = 'click')::int as bad, row_number() over (partition by user_id order by ts, event_id) as k from events), i as (select *, sum(1 - bad) over (partition by user_id order by k) as island from e) select event_id, case when bad = 1 then sum(bad) over (partition by user_id, island order by k) else 0 end::bigint as streak from i")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.urls import page_key
+from ..functions.urls import page_keys
 from ..operators.chunks import chunks
 from ..session import table
 from .registry import query
@@ -22,11 +21,7 @@ def w09_chunks(spark, d):
 @query()
 def x04_page_keys(spark, d):
     """One spelling per page address. Tested on pairs of spellings."""
-
-    def keys(urls: pd.Series) -> pd.Series:
-        return urls.map(page_key, na_action="ignore")
-
-    return table(spark, d, "items").select("row_id", F.pandas_udf(keys, "string")("url").alias("page_key"))
+    return table(spark, d, "items").select("row_id", page_keys(F.col("url")).alias("page_key"))
 
 
 @query("select source, sourceDomain, lang, coalesce(feed_max_age_days, 120) as age_days, len(coalesce(aliases, [])) as n_aliases from sources")
@@ -79,8 +74,3 @@ def h20_staleness(spark, d):
     stale = F.col("polled_at") < F.col("newest") - F.expr("interval 1 hour")
     g = b.join(F.broadcast(b.agg(F.max("polled_at").alias("newest"))), F.lit(True)).agg(F.count_if(stale).alias("n_stale"), F.count("*").alias("n"))
     return g.withColumn("percent", F.round(F.col("n_stale") * 100.0 / F.col("n"), 2))
-
-
-@query("select source, batch_no, count(*) as n, (count(*) > 1)::boolean as many from items where source <> '' group by 1, 2")
-def m05_batch_budget(spark, d):
-    return table(spark, d, "items").where("source <> ''").groupBy("source", "batch_no").agg(F.count("*").alias("n"), (F.count("*") > 1).alias("many"))

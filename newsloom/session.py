@@ -76,6 +76,12 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``, wherever the session's file system keeps it."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a written table, or a folder of them, wherever the session's file system keeps it."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import exists
+
 
 def changed_partitions(new: DataFrame, old: DataFrame | None, part: str, columns: list[str]) -> DataFrame:
     """Values of ``part`` whose rows differ, by count and an order-free hash of the rows."""
@@ -19,11 +21,7 @@ def changed_partitions(new: DataFrame, old: DataFrame | None, part: str, columns
 def write_changed(new: DataFrame, path: str, part: str = "day") -> int:
     """Overwrites the partitions of ``path`` that changed; returns how many. The first write creates the table."""
     spark = new.sparkSession
-    try:
-        old = spark.read.parquet(path)
-        old.schema  # noqa: B018
-    except Exception:  # noqa: BLE001 - no table there yet
-        old = None
+    old = spark.read.parquet(path) if exists(spark, path) else None  # any other failure to read must not look like "no table"
     columns = [c for c in new.columns if c != part]
     parts = changed_partitions(new, old.select(*new.columns) if old is not None else None, part, columns).persist()
     n = parts.count()

@@ -1,6 +1,8 @@
 """Feeds as a stream: landed rows arrive, are deduplicated and merged with the table of items.
 
-``merge_stream`` keeps the first date, score and signal of a known item; a restart goes on where it stopped.
+``merge_stream`` keeps the first date, score and signal of a known item; a restart goes on where it stopped. The table is
+partitioned by a hash of the id: a batch reads and overwrites only the parts its ids fall into, and a batch that runs
+twice leaves the same table. A table that can't be read stops the stream; it is never taken for an empty one.
 ``tumbling`` and ``deduplicated`` are bounded in state by a watermark.
 """
 
@@ -12,7 +14,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import item_id
 from ..operators.relational import first_per_key, merge_newer
+from ..session import exists
 
+#: Parts of the merged table.
+PARTS = 32
 KEPT = ["published", "score", "signal"]
 COLUMNS = ["id", "title", "url", "source", "published", "score", "signal"]
 
@@ -28,13 +33,12 @@ def merge_stream(landed: DataFrame, table: str, checkpoint: str) -> StreamingQue
     def merge(batch: DataFrame, number: int) -> None:
         new = batch.where("title is not null and url is not null").withColumn("id", item_id(F.col("title")))
         new = first_per_key(new.select(*COLUMNS), ["id"], [F.desc_nulls_last("published"), F.col("url")])
-        try:
-            old = spark.read.parquet(f"{table}/current-{number - 1}") if number else None
-        except Exception:  # noqa: BLE001 - the batch before was empty
-            old = None
-        merged = merge_newer(new, old.select(*COLUMNS), "id", KEPT) if old is not None else new
-        # each batch has its own folder, so that a batch that runs twice leaves the same table
-        merged.write.mode("overwrite").parquet(f"{table}/current-{number}")
+        new = new.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
+        if exists(spark, table):
+            touched = [r[0] for r in new.select("part").distinct().collect()]  # at most PARTS
+            old = spark.read.parquet(table).where(F.col("part").isin(touched))
+            new = merge_newer(new, old.select(*COLUMNS, "part"), "id", KEPT)
+        new.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(table)
 
     return landed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from newsloom.sources.feeds import card_entries, feed_entries, json_lines, page_metadata, parse_date, scan, sitemap_entries
 from newsloom.sources.sinks import write_changed
 from newsloom.streaming.ingest import COLUMNS, deduplicated, merge_stream, read_landed, tumbling
@@ -59,8 +61,15 @@ def test_stream_merge_and_windows(spark, tmp_path):
     go()
     (landed / "2.json").write_text(json.dumps(row | {"title": "A story", "url": "u3", "published": "2026-02-01", "score": 9}) + "\n" + json.dumps(row | {"title": "Other"}))
     go()
-    got = {r["title"]: r for r in spark.read.parquet(str(tmp_path / "table/current-1")).collect()}
+    got = {r["title"]: r for r in spark.read.parquet(str(tmp_path / "table")).collect()}
     assert got["A story"]["published"] == "2026-01-02" and got["A story"]["score"] == 5 and got["A story"]["url"] == "u3" and "Other" in got
+    # a table that can't be read stops the stream and stays as it is
+    (part,) = {f.parent for f in (tmp_path / "table").rglob("*.parquet") if "Other" in str(spark.read.parquet(str(f)).collect())}
+    next(part.glob("*.parquet")).write_bytes(b"broken")
+    (landed / "3.json").write_text(json.dumps(row | {"title": "Other", "url": "u9"}))
+    with pytest.raises(Exception):
+        go()
+    assert b"broken" in b"".join(f.read_bytes() for f in part.glob("*.parquet"))
     events = spark.readStream.format("rate").load()
     assert deduplicated(events, "value", "timestamp").isStreaming and tumbling(events, "timestamp").isStreaming and len(COLUMNS) == 7
 
