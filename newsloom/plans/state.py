@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import repair, rules
+from ..operators.pacing import paced
 from ..session import table
 from .archive import articles
 from .feed import _LVL, items, scored
@@ -368,3 +369,42 @@ def proj08_index_paths(spark, d):
     """Where a record's file lies in a sharded index, and whether its id may name one."""
     ids = articles(spark, d).select("id").distinct()
     return ids.select("id", ((F.length("id") == 12) & F.col("id").rlike("^[0-9a-f]+$")).alias("valid"), F.concat(F.substring("id", 1, 2), F.lit("/"), F.col("id"), F.lit(".json")).alias("path"))
+
+
+@query()
+def x12_block_fences(spark, d):
+    """Bodies with every code fence on a line of its own. Tested on golden cases."""
+    return articles(spark, d).where("body is not null").select("article_no", repair.each_text(repair.block_fences, F.col("body")).alias("body"))
+
+
+@query()
+def x13_plain_markup(spark, d):
+    """Bodies without the mark-up of papers, code untouched. Tested on golden cases."""
+    return articles(spark, d).where("body is not null").select("article_no", repair.each_text(repair.normal_body, F.col("body")).alias("body"))
+
+
+@query()
+def x15_broken_up(spark, d):
+    """Code blocks of bodies, broken into lines again where they lost them. Tested on golden cases."""
+    code = articles(spark, d).select("article_no", F.posexplode(F.regexp_extract_all("body", F.lit(r"```[^\r\n]*\r?\n([\s\S]*?)\r?\n```"), F.lit(1))).alias("p", "code"))
+    return code.select("article_no", (F.col("p") + 1).alias("k"), repair.each_text(repair.broken_up, F.col("code")).alias("code"))
+
+
+@query()
+def x46_repaired(spark, d):
+    """Damaged bodies put right. Tested on golden cases."""
+    return articles(spark, d).where("body is not null").select("article_no", repair.each_text(repair.repaired, F.col("body")).alias("body")).where("body is not null")
+
+
+@query()
+def f15_flattened(spark, d):
+    """Bodies with code that lost its line breaks. Tested on golden cases."""
+    flat = repair.each_text(repair.flattened, F.col("body"), "boolean")
+    return articles(spark, d).where("body is not null").select("article_no", flat.alias("flat")).where("flat").select("article_no")
+
+
+@query()
+def m07_pacing(spark, d):
+    """The interval between requests per user after each event, replayed. Tested against a loop."""
+    e = table(spark, d, "events").select("user_id", "event_id", (F.col("event_type") == "error").alias("bad"))
+    return paced(e, "user_id", "event_id", "bad", 1.0)

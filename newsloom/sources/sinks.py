@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import exists
+from ..session import discard, exists
 
 
 def changed_partitions(new: DataFrame, old: DataFrame | None, part: str, columns: list[str]) -> DataFrame:
@@ -29,3 +29,45 @@ def write_changed(new: DataFrame, path: str, part: str = "day") -> int:
         new.join(parts, part, "left_semi").repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
     parts.unpersist()
     return n
+
+
+def write_index(rows: DataFrame, path: str) -> None:
+    """A search index as compact JSON lines: null and empty fields are left out."""
+    slim = rows.select(*[F.when(F.col(c).cast("string") != "", F.col(c)).alias(c) for c in rows.columns])
+    slim.write.mode("overwrite").option("ignoreNullFields", True).option("compression", "none").json(path)
+
+
+def unexpected(present: DataFrame, expected: DataFrame, key: str = "path") -> DataFrame:
+    """Files that nothing expects. Refuses (raises) where nothing at all is expected, as that would be a broken plan."""
+    if expected.isEmpty():
+        raise ValueError("no file is expected: nothing is removed")
+    return present.join(expected.select(key).distinct(), key, "left_anti")
+
+
+def prune(present: DataFrame, expected: DataFrame, key: str = "path") -> int:
+    """Removes the files that nothing expects, in batches of rows as they stream by; returns how many."""
+    spark, n = present.sparkSession, 0
+    for row in unexpected(present, expected, key).select(key).toLocalIterator():
+        discard(spark, row[0])
+        n += 1
+    return n
+
+
+def append_measure(rows: DataFrame, path: str, key: list[str]) -> None:
+    """Appends measurements; one that is there already (by ``key``) is not written twice."""
+    if exists(rows.sparkSession, path):
+        rows = rows.join(rows.sparkSession.read.parquet(path).select(*key), key, "left_anti")
+    rows.write.mode("append").parquet(path)
+
+
+def rewrite_paths(documents: DataFrame, ident: str, body: str, moved: DataFrame) -> DataFrame:
+    """``documents`` with every quoted path that ``moved`` (old, new) names replaced, all else byte for byte.
+
+    Texts are cut at quotes, the pieces joined with ``moved`` and put together again; a text with no quote stays whole.
+    """
+    pieces = documents.select(ident, F.posexplode(F.split(body, '"', -1)).alias("_p", "old"))
+    changed = pieces.join(moved.groupBy("old").agg(F.min("new").alias("new")), "old", "left")
+    # only what stands between two quotes is a path
+    text = F.when(F.col("_p") % 2 == 1, F.coalesce("new", "old")).otherwise(F.col("old"))
+    whole = changed.groupBy(ident).agg(F.sort_array(F.collect_list(F.struct("_p", text.alias("t")))).alias("_t"))
+    return documents.drop(body).join(whole.select(ident, F.array_join("_t.t", '"').alias(body)), ident, "left").select(*documents.columns)
