@@ -26,7 +26,9 @@ WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 WINDOW, STRIDE = 240, 192
 HIDDEN, EMBED, CHARS = 28, 20, 640
 #: Labelled texts, corpus texts around them, passes of training.
-LABELLED, SAMPLE, PASSES = 5_000, 400, 4
+LABELLED, SAMPLE, PASSES = 5_000, 1_500, 4
+#: Share of the steps after which weights are averaged: single steps swing, their mean doesn't.
+AVERAGED = 0.7
 TAGS = ["O"] + [f"{b}-{k}" for k in KINDS for b in "BI"]
 _COMMON = " etaoinshrdlucmfwypvbgkjqxzETAOINSHRDLUCMFWYPVBGKJQXZ0123456789@.,;:()[]{}\"'“”’-–—_+/\\*#%&=<>\n…。，、：；（）！？·ßäöüÄÖÜéèêàâçñáíóúãõºª＠"
 _ID = {c: i + 2 for i, c in enumerate(_COMMON)}
@@ -113,24 +115,25 @@ class Tagger:
             path[:, k - 1] = best
         return path
 
-    def fit(self, texts: list[tuple[str, list[tuple[int, int, str]]]], passes: int = PASSES, batch: int = 32, rate: float = 0.008, verbose: bool = False) -> Tagger:
+    def fit(self, texts: list[tuple[str, list[tuple[int, int, str]]]], passes: int = PASSES, batch: int = 32, rate: float = 0.007, verbose: bool = False) -> Tagger:
         """Maximises the CRF likelihood of the labelled spans with Adam."""
         order = sorted(range(len(texts)), key=lambda i: len(texts[i][0]))
-        xs = [encode(texts[i][0][:320]) for i in order]
+        xs = [encode(texts[i][0]) for i in order]
         ys = []
         for i, x in zip(order, xs):
             y = np.zeros(len(x), np.int64)
             for a, b, k in texts[i][1]:
-                if a < len(x):
-                    n = 1 + 2 * KINDS.index(k)
-                    y[a:b] = n + 1
-                    y[a] = n
+                n = 1 + 2 * KINDS.index(k)
+                y[a:b] = n + 1
+                y[a] = n
             ys.append(y)
         r = np.random.default_rng(1)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         step, groups = 0, [list(range(i, min(i + batch, len(xs)))) for i in range(0, len(xs), batch)]
         total = passes * len(groups)
+        mean = {k: np.zeros_like(v, dtype=np.float64) for k, v in self.p.items()}
+        summed = 0
         for _ in range(passes):
             r.shuffle(groups)
             for g in groups:
@@ -149,6 +152,12 @@ class Tagger:
                     m[k] = 0.9 * m[k] + 0.1 * q
                     v2[k] = 0.99 * v2[k] + 0.01 * q * q
                     self.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                if step > total * AVERAGED:
+                    summed += 1
+                    for k in mean:
+                        mean[k] += self.p[k]
+        if summed:
+            self.p = {k: (v / summed).astype(np.float32) for k, v in mean.items()}
         return self
 
     def _gradient(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
@@ -287,6 +296,11 @@ _EXACT = {
     "id_number": re.compile(r"(?<![A-Za-z0-9])[A-Z]{0,2}\d(?:[ .-]?\d){5,17}(?:-?[A-Z])?(?![A-Za-z0-9])"),
 }
 _WORD = re.compile(r"[^\W\d_]")
+#: What stands before a street's name within its address.
+_STREET = re.compile(
+    r"(?:\d{1,4}[a-z]?(?: bis| ter)?,? (?:rue|avenue|allée|boulevard|impasse|place|chemin|quai) (?:de la |de |du |des |d’|l’)?|(?:Calle|Avenida|Avda\.|Paseo|Plaza|Rua|Travessa|Praça|Largo) (?:de la |de |del |da |do )?"
+    r"|[^\W\d_]+(?:straße|strasse|weg|platz|allee|gasse|str\.) |\d{1,4}[a-z]? )$"
+)
 _TITLE = re.compile(r"^(?:(?:Dr|Prof|Mr|Mrs|Ms|Mme|Mlle|M|Sr|Sra|Herr|Frau|Señor|Señora|Don|Doña|Sir)\.?\s+)+")
 
 
@@ -334,6 +348,8 @@ def check(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int,
             piece = text[a:b]
             a += len(piece) - len(piece.lstrip(" ,.;:\"'()"))
             b = a + len(text[a:b].rstrip(" ,;:\"'("))
+            if m := _STREET.search(text, max(0, a - 40), a):
+                a = m.start()
             if b - a < 6 or not any(c.isdigit() for c in text[a:b]):
                 continue
         out.append((a, b, k))
@@ -393,7 +409,7 @@ def find(texts: DataFrame, ident: str, text: str, tagger: Tagger) -> DataFrame:
     return out.withColumnRenamed("_id", ident)
 
 
-def main(documents: str, names: str, size: int = 13_000, passes: int = 5) -> None:
+def main(documents: str, names: str, size: int = 30_000, passes: int = 4) -> None:
     """Trains the tagger on the labelled spans and writes its weights beside this module."""
     import pyarrow.dataset as ds
 

@@ -20,6 +20,13 @@ CARRIERS = [
     "Según {P}, el piloto termina en mayo.", "El formulario aún mostraba a {P}, con domicilio en {A}.", "Para cualquier duda, escriba a {P} ({E}) o llame al {F}.", "Contacto: {E}, tel. {F}", "El DNI {I} seguía en la muestra.", "La muestra contenía el documento {I} de {P}.",
     "Segundo {P}, o piloto termina em maio.", "Dúvidas podem ser enviadas a {P} pelo endereço {E} ou pelo telefone {F}.", "O CPF {I} ainda estava na amostra.", "A amostra trazia {P}, residente na {A}.",
     "样本中仍保留了{C}的身份证号{I}。", "请拨打{F}预约演示。", "联系邮箱 {E}，电话 {F}。", "据{C}介绍，试点将在五月结束。", "{C}表示，结果需要复核。", "资料请寄往{A}，{C}收。", "{C}和{C}参与了评审。", "如有疑问请联系{C}（{E}）。",
+    "收件地址：{A}，收件人{C}。", "收件地址：{A}，收件人{C}。", "收件人{C}，地址{A}。", "收货地址：{A}，收货人{C}。", "邮寄地址：{A}。", "{A}，{C}收。", "样品寄到{A}，请{C}签收。", "收件地址：{A}，联系人{C}，电话{F}。", "寄送地址为{A}，由{C}签收。", "联系人{C}，电话{F}。", "负责人{C}表示，数据将重新测试。", "如有疑问，请联系{C}，邮箱 {E}，电话 {F}。", "如有疑问，请联系{C}，邮箱 {E}，电话 {F}。", "{C}住在{A}。", "表格里写着{C}，证件号{I}。", "身份证{I}属于{C}。", "由{C}审核，{C}复核。", "地址：{A}。", "致电{F}，找{C}。", "邮件请发至{E}，抄送{C}。",
+    "El documento de identidad {I} aparecía sin ocultar.", "El documento de identidad {I} aparecía en la muestra.", "Su documento de identidad, {I}, quedó a la vista.", "El documento de identidad {I} figuraba en el archivo.", "Documento de identidad: {I}.", "El documento {I} es de {P}.", "La cédula {I} no se ocultó.", "Con DNI {I}, {P} firmó el acta.", "El NIE {I} no estaba oculto.", "Envíen las tarjetas a {A}, a la atención de {P}.", "Vive en {A}.", "Dirección: {A}.", "Su casa está en {A}.", "Firmado: {P}", "Nota: {P} pidió borrar el domicilio {A}.", "{P} (tel. {F}) vive en {A}.",
+    "O documento {I} de {P} ainda estava no registro.", "O bilhete de identidade {I} não foi ocultado.", "Envie os cartões para {A}, aos cuidados de {P}.", "Assinado: {P}", "Mora na {A}.", "Ligue para {F} e fale com {P}.", "Contato: {E}, tel. {F}",
+    "Le document d’identité {I} restait visible.", "Merci d’envoyer les cartes au {A}, à l’attention de {P}.", "Elle habite {A}.", "Le dossier mentionnait {P}, demeurant {A}.", "Il vit {A}.", "Son domicile, {A}, a été publié.", "Adresse : {A}.", "Contact : {E} – {F}", "Appelez {P} au {F}.", "Signé : {P}", "Mme {P} dirige l’équipe depuis mars.", "La carte d’identité {I} de {P} était lisible.", "Rendez-vous au {A}, sonnez deux fois.",
+    "Die Ausweisnummer {I} war nicht geschwärzt.", "Bitte schicken Sie die Karten an {A}, zu Händen von {P}.", "Wohnhaft in {A}.", "Anschrift: {A}.", "Das Paket ging an {A}.", "Gezeichnet, {P}", "Rufen Sie {P} unter {F} an.", "Der Personalausweis {I} lag offen.", "{P} bat darum, die Anschrift {A} zu löschen.", "Tel. {F}",
+    "-- \n{P}\n{E}\n{F}", "-- \n{P}\n{E}\n{F}", "Regards,\n{P}\n{F}", "Cheers, {P}", "contact: {E} / {F}", "contact: {E} / {F}", "reported-by: {E}", "cc: {P} <{E}>", "{P} | {F} | {E}", "row {N};{P};{E};{A};{F}", "Moderator note: {P} asked us to remove the home address {A}.", "Questions about the plan can be sent to {P} at {E}.", "Please ship the kits to {A}, attention {P}.", "{P} still appeared with passport {I}, living at {A}.", "Call {F} and ask for {P}.", "The parcel for {P} went to {A} by mistake.", "The form listed {P}, born 1984, of {A}.", "{P} and {P} signed the letter; {T} {P} did not.", "Driver licence {I} was in plain sight.", "National ID {I}, phone {F}.", "{T} {P} disagreed.", "Her number is {F}, his is {F}.", "The invoice went to {P}, {A}.", "Ask {P} or {P} before the freeze.", "name={P}&phone={F}", "Reach me at {F} or {E}.", "or call {F} during the day.",
+    "連絡先は{J}さん、電話は{F}です。", "{J}氏によると、五月に終わる。", "住所は{A}です。", "身分証番号{I}が残っていた。", "担当の{J}さん（{E}）まで。",
     "お問い合わせは {E} または電話 {F} まで。", "記録には番号 {I} がそのまま残っていた。", "資料は{A}まで送ってください。", "{J}さんは、結果を確認中だと述べた。",
 ]
 NEGATIVE = [
@@ -33,7 +40,7 @@ PLACE_SIGNS = "青云石松溪桥泽岭秋知望舒听雨涛中山东西南北
 EN_STREET = ["Street", "St", "St.", "Road", "Rd.", "Rd", "Avenue", "Ave", "Lane", "Close", "Terrace", "Drive", "Way", "Court"]
 JA_FAMILY = ["佐藤", "鈴木", "高橋", "田中", "伊藤", "渡辺", "山本", "中村", "小林", "加藤"]
 _SIGN = re.compile(
-    r"[@＠]|\(at\)|\[at\]|\bAT\b|\bat \w+ (?:dot|DOT)|\d[\d ().-]{7,}\d|\b(?:passport|ssn|badge|taxpayer|address|tel|call|phone|living|domicil|email|mail|contact|signed|thanked|attention|moderator|meetup|row|"
+    r"收件|收货|地址|号\d+[栋室]|\d+号|负责人|联系|保留|编号|\d{6,}|\d{3}[-. ]\d{4}|\d{2}[. ]\d{2}[. ]\d{2}|documento|identi|document d|\b[A-Z]\. [A-Z]|\breported|\bcontact|;\S*;|\"name\"|^-- |\bresiden|ausweis|\bgezeichnet|\bfirmad|\bassinad|\bshipped? |[@＠]|\(at\)|\[at\]|\bAT\b|\bat \w+ (?:dot|DOT)|\d[\d ().-]{7,}\d|\b(?:passport|ssn|badge|taxpayer|address|tel|call|phone|living|domicil|email|mail|contact|signed|thanked|attention|moderator|meetup|row|"
     r"steuer|frau|herr|unterlagen|treffpunkt|fragen|selon|dossier|sécurité|écrivez|según|formulario|escriba|dúvidas|segundo)\b|身份证|电话|邮|请|联系|番号|問い合わせ|介绍|表示",
     re.I,
 )
@@ -76,10 +83,10 @@ class Maker:
         return "".join(self.r.choice("0123456789") if c == "9" else self.r.choice("ABCDEFGHJKLMNPQRSTVWXYZ") if c == "?" else c for c in shape)
 
     def F(self) -> str:
-        return self.digits(self.r.choice(["(999) 555-0999", "999-555-0999", "+19995550999", "+1 999 555 0999", "999.555.0999", "+44 20 7999 0999", "020 7999 0999", "555-0999", "+49 30 99999999", "(030) 99999-999", "030 99999999", "0199009999", "01 99 00 99 99", "01.99.00.99.99", "09 99 99 99 99", "+33 1 99 00 99 99", "+33 9 99 99 99 99", "900 555 999", "900-555-999", "900555999", "999-999-999", "+34 900 555 999", "(11) 95559-9999", "+55 11 95559 9999", "199-0000-9999", "+86 199 0000 9999", "010-99999999", "19900009999", "+81 3 5559 9999", "03-5559-9999", "+999 99 999 9999", "0049 30 999999", "0049-30-99999999", "030 99999 999", "+49-30-99999999", "+442079460999", "02079460999"]))
+        return self.digits(self.r.choice(["(999) 555-0999", "999-555-0999", "999.999.0999", "999-0999", "+99 99 99 99 99 99", "99 99 99 99 99", "99.99.99.99.99", "999 999 999", "0999-99-99999-999", "(099) 99999-999", "099 99999 999", "+19995550999", "+1 999 555 0999", "999.555.0999", "+44 20 7999 0999", "020 7999 0999", "555-0999", "+49 30 99999999", "(030) 99999-999", "030 99999999", "0199009999", "01 99 00 99 99", "01.99.00.99.99", "09 99 99 99 99", "+33 1 99 00 99 99", "+33 9 99 99 99 99", "900 555 999", "900-555-999", "900555999", "999-999-999", "+34 900 555 999", "(11) 95559-9999", "+55 11 95559 9999", "199-0000-9999", "+86 199 0000 9999", "010-99999999", "19900009999", "+81 3 5559 9999", "03-5559-9999", "+999 99 999 9999", "0049 30 999999", "0049-30-99999999", "030 99999 999", "+49-30-99999999", "+442079460999", "02079460999"]))
 
     def I(self) -> str:  # noqa: E743
-        return self.digits(self.r.choice(["999-99-9999", "999-99-9999", "999 99 9999", "999999999", "?99999999", "?99999999", "99 999 999 999", "99999999999", "9 99 99 99 999 999 99", "999999999999999", "99999999?", "99999999-?", "99.999.999-9", "999.999.999-99", "990999199999999999", "99999919999999999X", "??999999?", "?9999999", "999999-999?"]))
+        return self.digits(self.r.choice(["999-99-9999", "999-99-9999", "999 99 9999", "999999999", "?99999999", "?99999999", "99 999 999 999", "99999999999", "9 99 99 99 999 999 99", "999999999999999", "99999999?", "99999999-?", "99999999?", "99999999-?", "?9999999-?", "?9999999?", "99.999.999-9", "999.999.999-99", "990999199999999999", "99999919999999999X", "??999999?", "?9999999", "999999-999?"]))
 
     def E(self) -> str:
         g, f = self.syllables(self.r.choice([2, 3])), (self.r.choice(self.family) if self.r.random() < 0.5 else self.syllables(3)).lower()
@@ -102,13 +109,13 @@ class Maker:
         if x < 0.57:
             return f"{w}{r.choice(['straße', 'weg', 'platz', 'allee', 'gasse', 'str.'])} {n}{r.choice(['', 'a', 'b'])}, {zip5} {town}{r.choice(['bruck', 'stadt', ''])}"
         if x < 0.68:
-            return f"{n}{r.choice(['', ' bis', ' ter'])} {r.choice(['rue', 'avenue', 'allée', 'boulevard', 'impasse'])} {r.choice(['de ', 'du ', 'des ', ''])}{w}, {zip5} {town}ville"
+            return f"{n}{r.choice(['', ' bis', ' ter', ',', ','])} {r.choice(['rue', 'avenue', 'allée', 'boulevard', 'impasse'])} {r.choice(['de ', 'du ', 'des ', ''])}{w}, {zip5} {town}ville"
         if x < 0.79:
             return f"{r.choice(['Calle', 'Avenida', 'Paseo', 'Plaza', 'Rua', 'Travessa'])} {r.choice(['de ', 'del ', ''])}{w} {n}{r.choice(['', f', {r.randrange(1, 9)}.º {r.choice('ABCD')}'])}, {zip5} {town}"
         if x < 0.97:
             s = r.choice
             z = lambda: s(PLACE_SIGNS) + s(PLACE_SIGNS)
-            return f"{s(['', '', z() + '市'])}{s(['', z() + '区', z() + '区'])}{z()}{s(['路', '街', '大道', '巷'])}{n}号{s(['', f'{r.randrange(1, 30)}室', f'{r.randrange(1, 29)}栋{r.randrange(1, 600)}室'])}"
+            return f"{s(['', '', z() + '市'])}{s(['', z() + '区', z() + '区', z() + '区'])}{z()}{s(['路', '街', '大道', '巷'])}{n}号{s(['', f'{r.randrange(1, 30)}室', f'{r.randrange(1, 29)}栋{r.randrange(1, 600)}室'])}"
         return f"{r.choice(['東京都', '大阪府'])}{r.choice(['港区', '北区', '中央区'])}{r.choice(['青山', '本町', '芝'])}{r.randrange(1, 9)}-{r.randrange(1, 20)}-{r.randrange(1, 20)}"
 
     def carrier(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
@@ -133,7 +140,9 @@ def labelled(given: list[str], family: list[str], corpus: list[str], size: int,
     r = make.r
     calm = [s for t in corpus for s in re.split(r"\n|(?<=[.!?])\s+|(?<=。)", t) if 8 < len(s) < 160 and not _SIGN.search(s)] or ["The report lists failures."]
     known = set(given) | set(family)
-    calm = [s for s in calm if not any(w in known for w in re.findall(r"\w+", s))] or calm
+    ends = tuple(make.ends)
+    # sentences that may name somebody would teach the tagger to leave names alone
+    calm = [s for s in calm if not any(w in known or w[:1].isupper() and len(w) > 6 and w.endswith(ends) for w in re.findall(r"\w+", s))] or calm
     out = []
     for i in range(size):
         x = r.random()

@@ -182,6 +182,32 @@ def test_pii_held_out(spark):
     assert pii.find(df.where("false"), "doc_id", "text", tagger).count() == 0
 
 
+#: Carriers that training never sees, neither word for word nor in these turns.
+UNSEEN = [
+    "Deliveries for {P} should go to {A} before noon.", "You can reach our colleague {P} via {E}, or by phone: {F}.", "The clerk typed {I} into the wrong field of the form.", "Yesterday {P} resigned, and {P} took over the desk.", "Her mail is {E} and her mobile is {F}.", "We met at {A} last week.",
+    "Gestern hat {P} die Leitung übernommen.", "Bitte rufen Sie uns unter {F} zurück oder schreiben Sie an {E}.", "Die Lieferung ging an {P}, {A}.", "Hier, {P} a pris la parole.", "Vous pouvez joindre {P} au {F} ou par {E}.", "Ayer {P} dejó el equipo.", "Puede llamar a {P} al {F}.", "Ontem {P} deixou a equipe.",
+    "昨天{C}离开了团队。", "包裹寄往{A}，由{C}领取。", "有问题可以打{F}或写信到{E}。",
+]
+
+
+def test_pii_on_unseen_carriers():
+    """Recall per kind on turns that training has not seen: reported by the assertion, bounded from below."""
+    assert not set(UNSEEN) & set(pii_train.CARRIERS)
+    make = pii_train.Maker(["Anna", "Boris", "Clara"], ["Keller", "Novakson", "Brandberg"], 31)
+    tagger, right, wanted, found = pii.load(), {}, {}, 0
+    texts = [make.carrier(c) for _ in range(14) for c in UNSEEN]
+    texts = [(f"{PROSE[k % 3]} {t}", [(a + len(PROSE[k % 3]) + 1, b + len(PROSE[k % 3]) + 1, kind) for a, b, kind in spans]) for k, (t, spans) in enumerate(texts)]
+    for (t, gold), s in zip(texts, pii.spans(tagger, [t for t, _ in texts])):
+        got = {(x, k) for x, _, k in pii.check(t, s)}
+        found += len(got)
+        for x, _, k in gold:
+            wanted[k] = wanted.get(k, 0) + 1
+            right[k] = right.get(k, 0) + ((x, k) in got)
+    recall = {k: round(right[k] / n, 2) for k, n in wanted.items()}
+    print(recall, sum(right.values()) / found)
+    assert sum(right.values()) >= 0.5 * sum(wanted.values()) and sum(right.values()) >= 0.8 * found, recall
+
+
 def test_pii_training_learns():
     texts = pii_train.labelled(["Anna"], ["Keller"], [" ".join(PROSE)], 64, seed=1)
     a = pii.Tagger()
