@@ -431,4 +431,4 @@ def with_host(articles: DataFrame, sources: DataFrame, url: str = "url") -> Data
     host = F.pandas_udf(hosts, "string")(F.col(url))
     names = sources.select(fold_host(F.col("sourceDomain")).alias("host"), F.col("source").alias("site")).where(F.col("host").isNotNull()).groupBy("host").agg(F.min("site").alias("site"))
     out = articles.withColumn("host", F.coalesce(host, fold_host(F.col("sourceDomain"))))
-    return out.join(F.broadcast(names), "host", "left")
+    return join_small(out, names, ["host"])

@@ -39,8 +39,9 @@ from . import headlines as H
 LEAST_TEXTS = 10_000
 #: Slots of the index's folders by cell or key.
 SLOTS = 16
-#: Headlines of a cell from which it is split by a second dimension.
-HOT = 256
+#: Headlines of a cell from which it is split by a second dimension, and the share of postings on which cells are counted for
+#: that: whether a cell is split changes the work, not the result.
+HOT, COUNTED = 256, 1 / 16
 #: Undecided edges from which on the greedy choice is finished by one task instead of another round.
 FEW = 500_000
 _SIG = [f"s{i}" for i in range(H.SIGNATURE)]
@@ -207,7 +208,8 @@ class HistoryIndex:
     def _split_hot(self, postings: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
         """``postings`` with those of hot cells filed under two dimensions: the cell, and each lighter one that may be the
         next that a vector within the radius shares. The key of two dimensions is a hash below 0."""
-        hot = scratch.write(postings.groupBy("key").count().where(F.col("count") > HOT).select("key"))
+        share = min(1.0, max(COUNTED, 4 / HOT))
+        hot = scratch.write(postings.where(F.rand(11) < share).groupBy("key").count().where(F.col("count") > HOT * share).select("key"))
         n = hot.count()
         if not n:
             return postings
@@ -250,15 +252,14 @@ class HistoryIndex:
         keyed = scratch.write(block.select("row_id", "title", "url").mapInPandas(lambda it: _keys(it, names), "row_id long, k binary, u binary, t binary, raw string, cut boolean"))
         size = keyed.count()
         # contract copies: one node per page and headline, its first row stands for it; a headline's first row gives its text
-        several = lambda key: scratch.write(keyed.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("row_id").alias("row"), F.count("*").alias("c")).where("c > 1").drop("c"))
-        first = several("k")
-        rows = scratch.write(keyed.select("row_id", "k", "u", "t").join(carried(first, first.count(), 60), "k", "left").select("row_id", F.coalesce("row", "row_id").alias("row"), "u", "t"))
+        # (at most half as many keys as rows come more than once)
+        several = lambda key: carried(keyed.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("row_id").alias("row"), F.count("*").alias("c")).where("c > 1").drop("c"), size // 2, 60)
+        rows = scratch.write(keyed.select("row_id", "k", "u", "t").join(several("k"), "k", "left").select("row_id", F.coalesce("row", "row_id").alias("row"), "u", "t"))
         nodes = rows.where("row_id = row").select("row", "u", "t")
-        first = several("t")
-        texts = keyed.where("t is not null").join(carried(first, first.count(), 60), "t", "left").where("row is null or row = row_id").select("t", "raw", "cut")
+        texts = keyed.where("t is not null").join(several("t"), "t", "left").where("row is null or row = row_id").select("t", "raw", "cut")
         if self.blocks:
-            seen = scratch.write(self._read("vectors", _VECTOR).select("t").join(carried(texts.select("t"), size, 40), "t", "left_semi"))
-            texts = texts.join(carried(seen, seen.count(), 40), "t", "left_anti")
+            seen = self._read("vectors", _VECTOR).select("t").join(carried(texts.select("t"), size, 40), "t", "left_semi")
+            texts = texts.join(carried(seen, size, 40), "t", "left_anti")
         fresh = self._append(texts.mapInPandas(_vectors, _VECTOR), "vectors")
         if self.weight is None:
             self._fit(fresh)
@@ -267,11 +268,10 @@ class HistoryIndex:
         # append: accepted rows by page and by headline; new texts with their vectors, cells and links are there already. What
         # was there is not written again. A text of which no row was accepted stays in the cells, but without an accepted row
         # it tells nothing
-        rejected = scratch.write(decided.where("a <> row"))
-        most = rejected.count()
-        accepted = nodes.join(carried(rejected.select("row"), most, 40), "row", "left_anti")
+        rejected = decided.where("a <> row")
+        accepted = nodes.join(carried(rejected.select("row"), size, 40), "row", "left_anti")
         self._append(accepted.select(F.explode(F.array_compact(F.array("u", "t"))).alias("hub"), "row"), "taken", "hub")
-        out = rows.select("row_id", "row").join(carried(rejected, most, 60), "row", "left").select(F.coalesce("a", "row").alias("row_id_a"), F.col("row_id").alias("row_id_b"))
+        out = rows.select("row_id", "row").join(carried(rejected, size, 60), "row", "left").select(F.coalesce("a", "row").alias("row_id_a"), F.col("row_id").alias("row_id_b"))
         return materialize(out.where("row_id_a < row_id_b").distinct(), "repeats")
 
     def _links(self, fresh: DataFrame, size: int, scratch: Scratch) -> DataFrame:
@@ -341,23 +341,22 @@ class HistoryIndex:
         headlines its own is linked with. In a round a node is rejected if an accepted one provides a hub it asks, and
         accepted if no undecided node before it does. What is left of a few edges is decided in order by one task.
         """
-        near = links
+        near, n_near = links, links.count()
         if self.blocks:  # a text of the block that isn't fresh has its links in history
             mine = carried(nodes.where("t is not null").select("t").distinct(), size, 40)
-            near = near.unionByName(self._read("links", "t binary, o binary").select("t", "o").join(mine, "t", "left_semi"))
-            near = scratch.write(near.distinct())
-        n_near = near.count()
+            past = self._read("links", "t binary, o binary").select("t", "o")
+            near, n_near = near.unionByName(past.join(mine, "t", "left_semi")), n_near + past.count()
         own = nodes.select("row", F.explode(F.array_compact(F.array("u", "t"))).alias("hub")).withColumn("own", F.lit(True))
         asks = nodes.where("t is not null").select("row", "t").join(carried(near, n_near, 60), "t").select("row", F.col("o").alias("hub"), F.lit(False).alias("own"))
         edges = own.unionByName(asks)
         # only hubs that more than one node has to do with, or history has, decide anything
-        hot = scratch.write(edges.groupBy("hub").count().where("count > 1").select("hub"))
+        hot = edges.groupBy("hub").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("hub")
         before = None
         if self.blocks:
             held = self._near_keys("taken", _TAKEN, "hub", edges.select("hub"), 2 * size + n_near)
             before = scratch.write(held.groupBy("hub").agg(F.min("row").alias("ma")))
-            hot = scratch.write(hot.unionByName(before.select("hub")).distinct())
-        edges = scratch.write(edges.join(carried(hot, hot.count(), 40), "hub", "left_semi"))
+            hot = hot.unionByName(before.select("hub"))
+        edges = scratch.write(edges.join(carried(hot, size + n_near, 40), "hub", "left_semi"))
         done, acc = [], None  # acc: hubs with the smallest row accepted in the round before
         none = F.lit(None).cast("long")
         while True:

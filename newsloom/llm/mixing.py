@@ -28,6 +28,11 @@ RESERVE = 128
 _OPEN = "source string, doc_id long, tokens long, whole int, p double, open boolean, part int"
 
 
+_FIELDS = ["source", "doc_id", "tokens", "whole", "p"]
+#: Documents of one group of the first step.
+GROUP = 50_000
+
+
 def _uniform(*of: object) -> float:
     return xxhash.xxh64_intdigest("|".join(map(str, of))) / 2**64
 
@@ -129,21 +134,23 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
     rows = rows.select("source", "doc_id", "tokens", whole.alias("whole"), F.greatest(F.col("_c") - whole, F.lit(0.0)).alias("p"))
     rows = rows.withColumn("p", F.when(F.col("p") < 1e-9, 0.0).otherwise(F.col("p")))
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+    # groups of bounded size by a hash of the document, in order: the result doesn't depend on files or arrival
+    parts = max(1, -(-rows.count() // GROUP))
 
-        part = TaskContext.get().partitionId()
-        yield from _frames(_reduce((r for df in batches for r in df.to_dict("records")), seed, part))
+    def first(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["source", "doc_id", "tokens"])
+        records = (dict(zip(_FIELDS, r)) for r in zip(*(df[c].tolist() for c in _FIELDS)))
+        return pd.DataFrame(list(_reduce(records, seed, int(key[0]))))[[*_FIELDS, "open", "part"]]
 
-    state = materialize(rows.mapInPandas(first, _OPEN), "pivot")
+    state = materialize(rows.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("_part")).applyInPandas(first, _OPEN), "pivot")
     done, left = [state.where("not open")], state.where("open")
-    parts = (state.agg(F.max("part")).first()[0] or 0) + 1
     while parts > 1:
         parts = -(-parts // FAN_IN)
 
         def join(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-            got = list(_reduce(iter(df.sort_values("doc_id").to_dict("records")), seed, int(key[1])))
-            return pd.DataFrame(got)[["source", "doc_id", "tokens", "whole", "p", "open", "part"]]
+            df = df.sort_values(["doc_id", "tokens"])
+            records = (dict(zip(_FIELDS, r)) for r in zip(*(df[c].tolist() for c in _FIELDS)))
+            return pd.DataFrame(list(_reduce(records, seed, int(key[1]))))[[*_FIELDS, "open", "part"]]
 
         state = materialize(left.groupBy("source", F.floor(F.col("part") / FAN_IN).cast("int").alias("_to")).applyInPandas(join, _OPEN), "pivot")
         done.append(state.where("not open"))
@@ -154,17 +161,6 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
     return out.select("source", "doc_id", "tokens", (F.col("whole") + F.col("p").cast("int")).alias("copies"))
 
 
-def _frames(rows: Iterator[dict], size: int = 20_000) -> Iterator[pd.DataFrame]:
-    held = []
-    for r in rows:
-        held.append(r)
-        if len(held) == size:
-            yield pd.DataFrame(held)
-            held = []
-    if held:
-        yield pd.DataFrame(held)
-
-
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target: what was wanted and what was reached; a source that is absent reaches 0."""
     got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies"), F.count("*").alias("n_docs"))

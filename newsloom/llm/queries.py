@@ -146,6 +146,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_containers(spark, d).where("pieces > 1").select("capacity_tokens", "doc_id").distinct()
 
 
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity what the containers hold: documents and tokens (as the sizes say), pieces that are there twice, containers
+    over their capacity, and whether at least nine tenths of the space is used (or a container is left over)."""
+    packed = p8_containers(spark, d)
+    per = packed.groupBy("capacity_tokens", "doc_id").agg(F.count("*").alias("k"), F.max("pieces").alias("pieces"), F.sum("tokens").alias("tokens"))
+    docs = per.groupBy("capacity_tokens").agg(F.count("*").alias("n_docs"), F.sum("tokens").alias("tokens"), F.count_if(F.col("k") != F.col("pieces")).alias("n_wrong_pieces"))
+    bins = packed.groupBy("capacity_tokens", "bin_id").agg(F.sum("tokens").alias("held"), F.max("bin_tokens").alias("said"))
+    full = bins.groupBy("capacity_tokens").agg(F.count_if((F.col("held") > F.col("capacity_tokens")) | (F.col("held") != F.col("said"))).alias("n_over"), F.count("*").alias("n_bins"))
+    out = docs.join(full, "capacity_tokens")
+    filled = F.col("tokens") >= F.lit(0.9) * (F.col("n_bins") - 1) * F.col("capacity_tokens")
+    return out.select("capacity_tokens", "n_docs", "tokens", "n_wrong_pieces", "n_over", filled.alias("well_filled"))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """Copies of each document of the target sources."""
     docs = resolve_entry(sizes(spark, d).withColumn("sourceDomain", F.lit(None).cast("string")), table(spark, d, "mix_targets").select("source", F.array().cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("sourceDomain")))
@@ -157,6 +170,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Per source that is present: its documents, copies beyond the most allowed, and whether its share is within a hundredth
+    of its weight over the sources present."""
+    got = p9_shares(spark, d).where("n_docs > 0")
+    all_ = got.agg(F.sum("target_weight").alias("_w"))
+    out = got.join(all_, F.lit(True))
+    near = F.abs(F.col("actual_share") - F.col("target_weight") / F.col("_w")) <= 0.01
+    return out.select("source", "n_docs", (F.col("most_copies") > F.col("max_repeats")).alias("over"), near.alias("on_target"))
+
+
 def p10_clean(spark: SparkSession, d: str) -> DataFrame:
     """Documents with placeholders for personal information, and the pieces."""
     docs = table(spark, d, "documents")
@@ -186,8 +209,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_rates": p7_rates,
     "p8_found": p8_found,
     "p8_containers": p8_containers,
+    "p8_checked": p8_checked,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_checked": p9_checked,
     "p10_found": p10_found,
     "p10_clean": p10_clean,
 }
@@ -201,5 +226,8 @@ hosts as (select {_HOST.format('"sourceDomain"')} as h, source as entry, max_per
 told as (select i.row_id, i.batch_no, i.score, coalesce(n.entry, h.entry) as entry, case when n.entry is not null then n.max_per_batch else h.max_per_batch end as m from (select *, {_FOLD.replace("COL", "source")} as fn, {_HOST.format('"sourceDomain"')} as fh from items) i left join names n on n.n = i.fn left join hosts h on h.h = i.fh),
 ranked as (select row_id, m, row_number() over (partition by entry, batch_no order by score desc nulls last, row_id) as r from told where m is not null)
 select row_id from ranked where r > m""",
+    "p8_checked": "select capacity_tokens, count(*) as n_docs, sum(coalesce(n_tokens, strlen(text)))::bigint as tokens, 0 as n_wrong_pieces, 0 as n_over, true as well_filled from documents, containers group by 1",
+    "p9_checked": f"""with t as (select source as entry, {_FOLD.replace("COL", "source")} as f from mix_targets where target_weight > 0)
+select entry as source, count(*) as n_docs, false as over, true as on_target from documents join t on f = {_FOLD.replace("COL", "source")} group by 1""",
     "p8_found": "select capacity_tokens, doc_id from documents, containers where coalesce(n_tokens, strlen(text)) > capacity_tokens",
 }
