@@ -10,8 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .repair import block_fences
+
 _FORMS = [("heading", re.compile(r"^#{1,6}\s+(.+)$")), ("list-item", re.compile(r"^(?:[-*+]|\d+[.)])\s+(.+)$")), ("blockquote", re.compile(r"^>\s?(.+)$"))]
 
+_ESCAPED = re.compile(r"^\\(?=[#*+>\-]|\d+[.)]\s)")
+
 
 def line_blocks(df: DataFrame, ident: str, text: str) -> DataFrame:
     """The kind of every line that isn't empty: ident, line_no (from 1), kind."""
@@ -22,7 +26,10 @@ def line_blocks(df: DataFrame, ident: str, text: str) -> DataFrame:
 
 
 def blocks(body: str | None) -> list[tuple[str, str, str]]:
-    """(id, kind, source) of a text's prose blocks: lines of a paragraph join, code is left out, ids count from b0001."""
+    """(id, kind, source) of a text's prose blocks: lines of a paragraph join, code is left out, ids count from b0001.
+
+    Fences within lines and fences left open are put right first; a backslash before a mark of structure isn't text.
+    """
     out: list[tuple[str, str]] = []
     open_lines: list[str] = []
     code = False
@@ -32,7 +39,7 @@ def blocks(body: str | None) -> list[tuple[str, str, str]]:
             out.append(("paragraph", " ".join(open_lines)))
             open_lines.clear()
 
-    for line in map(str.strip, (body or "").splitlines()):
+    for line in map(str.strip, block_fences(body or "").splitlines()):
         if line.startswith("```"):
             close()
             code = not code
@@ -45,7 +52,7 @@ def blocks(body: str | None) -> list[tuple[str, str, str]]:
             elif line:
                 open_lines.append(line)
     close()
-    texts = [(k, " ".join(s.split())) for k, s in out]
+    texts = [(k, " ".join(_ESCAPED.sub("", s).split())) for k, s in out]
     return [(f"b{n:04d}", k, s) for n, (k, s) in enumerate(((k, s) for k, s in texts if s), 1)]
 
 

@@ -27,9 +27,10 @@ def k03_versions_per_record(spark, d):
 
 @query("select id, article_no, coalesce(nullif(\"resolvedUrl\", ''), nullif(\"originalUrl\", ''), url) as address from (select *, row_number() over (partition by id order by length(coalesce(body, '')) desc, article_no) as r from articles) where r = 1")
 def k04_best_snapshot(spark, d):
-    keep = first_per_key(articles(spark, d), ["id"], [F.desc(F.length(F.coalesce("body", F.lit("")))), F.col("article_no")])
+    # bodies are measured before anything is moved
     some = lambda c: F.when(F.col(c) != "", F.col(c))
-    return keep.select("id", "article_no", F.coalesce(some("resolvedUrl"), some("originalUrl"), "url").alias("address"))
+    slim = articles(spark, d).select("id", "article_no", F.coalesce(some("resolvedUrl"), some("originalUrl"), "url").alias("address"), F.length(F.coalesce("body", F.lit(""))).alias("n"))
+    return slim.groupBy("id").agg(F.max_by(F.struct("article_no", "address"), F.struct("n", -F.col("article_no"))).alias("k")).select("id", "k.article_no", "k.address")
 
 
 @query("select article_no, 'img-' || substr(sha256(i.src), 1, 16) as media_key from (select article_no, unnest(images) as i from articles) where i.src is not null")

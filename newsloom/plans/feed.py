@@ -9,7 +9,7 @@ from ..functions import rules, text
 from ..functions.urls import page_keys
 from ..operators.dedupe import greedy_first
 from ..operators.relational import diff, first_per_key, lookup_two_keys, merge_newer
-from ..session import table
+from ..session import join_small, table
 from .registry import query
 
 # one spelling of the rules in SQL, for the checks
@@ -130,7 +130,7 @@ def proj11_fallback_summary(spark, d):
 @query("select i.row_id from items i join batches b using (batch_no) left join sources s on s.source = i.source where i.published_ts is not null and (s.source is not null and s.feed_max_age_days is null or i.published_ts >= b.polled_at - to_days(coalesce(s.feed_max_age_days, 120)))")
 def f01_age_cutoff(spark, d):
     s = table(spark, d, "sources").select("source", "feed_max_age_days", F.lit(True).alias("known"))
-    df = items(spark, d).select("row_id", "batch_no", "source", "published_ts").join(table(spark, d, "batches").select("batch_no", "polled_at"), "batch_no").join(F.broadcast(s), "source", "left")
+    df = join_small(items(spark, d).select("row_id", "batch_no", "source", "published_ts").join(table(spark, d, "batches").select("batch_no", "polled_at"), "batch_no"), s, ["source"])
     age = F.coalesce("feed_max_age_days", F.lit(120))
     fresh = F.col("published_ts") >= F.col("polled_at") - F.make_interval(days=age)
     return df.where(F.col("published_ts").isNotNull() & ((F.col("known") & F.col("feed_max_age_days").isNull()) | fresh)).select("row_id")
@@ -389,7 +389,7 @@ def x03_shorten(spark, d):
 
 @query("with t as (select row_id, hint, lower(title || ' ' || coalesce(summary, '')) as t from (select i.row_id, i.title, i.summary, s.hint from items i left join sources s on s.source = i.source)), s as (select row_id, hint, " + ", ".join(f"{_HITS[c]} + coalesce((hint = '{c}')::int, 0) as {c}" for c in ("agent", "benchmark", "release", "industry")) + ") from t)".replace(")", "", 1) + ", b as (select *, greatest(agent, benchmark, release, industry) as best from s) select row_id, case when best = 0 then coalesce(hint, 'industry') when agent = best then 'agent' when benchmark = best then 'benchmark' when release = best then 'release' else 'industry' end as category from b")
 def x05_classify(spark, d):
-    df = items(spark, d).select("row_id", "title", "summary", "source").join(F.broadcast(table(spark, d, "sources").select("source", "hint")), "source", "left")
+    df = join_small(items(spark, d).select("row_id", "title", "summary", "source"), table(spark, d, "sources").select("source", "hint"), ["source"])
     return df.select("row_id", text.classify(F.concat("title", F.lit(" "), F.coalesce("summary", F.lit(""))), F.col("hint")).alias("category"))
 
 
@@ -408,7 +408,8 @@ def x07_parse_date(spark, d):
 
 @query("with t as (select row_id, lower(title || ' ' || coalesce(summary, '')) as t, greatest(0, epoch(polled_at - published_ts) / 3600) as h, coalesce(official, false) as o, len(coalesce(tags, [])) as n from items join batches using (batch_no) left join sources using (source) where published_ts is not null) select row_id, least(100, 48 + greatest(0, 18 - floor(h / 8)) + case when o then 18 else 0 end + least(14, (n - 1) * 4) + case when contains(t, 'release') or contains(t, 'launch') or contains(t, 'benchmark') or contains(t, '发布') or contains(t, '开源') then 6 else 0 end)::int as score from t")
 def x08_rule_score(spark, d):
-    df = items(spark, d).where("published_ts is not null").join(table(spark, d, "batches").select("batch_no", "polled_at"), "batch_no").join(F.broadcast(table(spark, d, "sources").select("source", "official")), "source", "left")
+    df = items(spark, d).where("published_ts is not null").select("row_id", "batch_no", "source", "published_ts", "tags", "title", "summary").join(table(spark, d, "batches").select("batch_no", "polled_at"), "batch_no")
+    df = join_small(df, table(spark, d, "sources").select("source", "official"), ["source"])
     hours = (F.unix_micros(F.col("polled_at").cast("timestamp")) - F.unix_micros(F.col("published_ts").cast("timestamp"))) / 1e6 / 3600
     n = F.size(F.coalesce("tags", F.array().cast("array<string>")))
     return df.select("row_id", text.rule_score(hours, F.coalesce("official", F.lit(False)), n, F.concat("title", F.lit(" "), F.coalesce("summary", F.lit("")))).alias("score"))
