@@ -38,7 +38,7 @@ from . import headlines as H
 #: Texts that the weights assume at least: in a small first block a slip must not outweigh a headline.
 LEAST_TEXTS = 10_000
 #: Slots of the index's folders by cell or key.
-SLOTS = 16
+SLOTS = 4
 #: Headlines of a cell from which it is split by a second dimension, and the share of postings on which cells are counted for
 #: that: whether a cell is split changes the work, not the result.
 HOT, COUNTED = 256, 1 / 16
@@ -53,17 +53,17 @@ _SLOTTED = ("cells", "taken")
 
 
 def _keys(batches: Iterator[pd.DataFrame], names: frozenset[str]) -> Iterator[pd.DataFrame]:
-    digest = lambda kind, x: xxhash.xxh3_128_digest(f"{kind}{x}")
+    digest = xxhash.xxh3_128_digest
     for df in batches:
-        out = []
-        for row, title, url in zip(df["row_id"], df["title"], df["url"]):
-            t, cut = H.plain_title(title)
-            t = H.strip_site(t, names)
-            f = H.fold(t)
-            page = page_key(url) or (None if f else f"#{row}")
-            u, key = page and digest("u", page), digest("t", f + ("…" if cut else "")) if f else None
-            out.append((row, xxhash.xxh3_128_digest((u or b"") + b"|" + (key or b"")), u, key, t, cut))
-        yield pd.DataFrame(out, columns=["row_id", "k", "u", "t", "raw", "cut"])
+        plain = [H.plain_title(t) for t in df["title"]]
+        raw = [H.strip_site(t, names) for t, _ in plain]
+        cut = [c for _, c in plain]
+        folded = [H.fold(r) for r in raw]
+        pages = [page_key(u) or (None if f else f"#{r}") for u, f, r in zip(df["url"], folded, df["row_id"])]
+        u = [digest(f"u{p}") if p else None for p in pages]
+        t = [digest(f"t{f}…" if c else f"t{f}") if f else None for f, c in zip(folded, cut)]
+        k = [digest((x or b"") + b"|" + (y or b"")) for x, y in zip(u, t)]
+        yield pd.DataFrame({"row_id": df["row_id"].to_numpy(), "k": pd.Series(k, dtype=object), "u": pd.Series(u, dtype=object), "t": pd.Series(t, dtype=object), "raw": pd.Series(raw, dtype=object), "cut": np.array(cut, dtype=bool)})
 
 
 def _packed(starts: np.ndarray, dims: np.ndarray) -> list[bytes]:
@@ -155,7 +155,7 @@ class HistoryIndex:
         df, by = df.withColumn("block", F.lit(len(self.blocks))), ["block"]
         if name in _SLOTTED:
             df, by = df.withColumn("slot", self._slot(key)), ["block", "slot"]
-        df.write.mode("append").option("compression", "zstd").partitionBy(*by).parquet(f"{self.path}/{name}")
+        df.write.mode("append").option("compression", "snappy").partitionBy(*by).parquet(f"{self.path}/{name}")
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         return self._read(name, ddl, block=len(self.blocks)).select(*schema.names)
 
