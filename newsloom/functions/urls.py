@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit
 import pandas as pd
 from pyspark.sql import Column
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 # fixed values: query keys that only track a visit
 TRACKING_KEYS = frozenset("fbclid gclid dclid msclkid yclid mc_cid mc_eid igshid spm ref ref_src ref_url cmpid".split())
+#: Keys that the canonical spelling of an address drops, besides those that begin with ``utm_``.
+CANONICAL_DROPPED = frozenset("fbclid gclid mc_cid mc_eid ref_src s_cid".split())
 TRACKING_PREFIXES = ("utm_", "pk_", "mtm_")
 # fixed values: host labels that only name a rendition of the site
 RENDITIONS = ("www.", "m.", "amp.", "mobile.")
@@ -64,12 +67,41 @@ def page_key(url: str | None, depth: int = 3) -> str | None:
     return host + path + (f"?{urlencode(kept)}" if kept else "")
 
 
-def page_keys(url: Column) -> Column:
-    """``page_key`` as a column, in Arrow batches."""
+def canonical_url(url: str | None) -> str | None:
+    """One spelling of an address that still leads there: unlike ``page_key`` it keeps scheme, host label and redirects.
+
+    Default ports, doubled and trailing slashes, tracking keys, the order of the query and the fragment don't count. None
+    for anything that is no address of the web.
+    """
+    try:
+        parts = urlsplit((url or "").strip())
+        host, port = (parts.hostname or "").lower(), parts.port
+    except ValueError:
+        return None
+    scheme = parts.scheme.lower()
+    if scheme not in ("http", "https") or not host:
+        return None
+    if port and port != {"http": 80, "https": 443}[scheme]:
+        host = f"{host}:{port}"
+    path = re.sub("/{2,}", "/", parts.path or "/")
+    kept = sorted((k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if not (k.lower().startswith("utm_") or k.lower() in CANONICAL_DROPPED))
+    return f"{scheme}://{host}{path.rstrip('/') or '/'}" + (f"?{urlencode(kept)}" if kept else "")
 
+
+def _each(f: Callable[[str], str | None], url: Column) -> Column:
     def keys(urls: pd.Series) -> pd.Series:
-        return urls.map(page_key, na_action="ignore")
+        return urls.map(f, na_action="ignore")
 
     # a stated type of the function decides the kind of the UDF
     keys.__annotations__ = {"urls": pd.Series, "return": pd.Series}
     return F.pandas_udf(keys, "string")(url)
+
+
+def canonical_urls(url: Column) -> Column:
+    """``canonical_url`` as a column, in Arrow batches."""
+    return _each(canonical_url, url)
+
+
+def page_keys(url: Column) -> Column:
+    """``page_key`` as a column, in Arrow batches."""
+    return _each(page_key, url)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..functions.blocks import blocks_udtf_rows, line_blocks
-from ..operators.relational import first_per_key
+from ..operators import filters
 from ..session import table
 from .registry import query
 
@@ -56,9 +56,10 @@ def f08_thin_records(spark, d):
     return articles(spark, d).where(thin).select("article_no")
 
 
-@query("select article_no from articles where not contains(url, 'kefiblog') and length(trim(title)) > 0")
+@query("select article_no from articles where not (regexp_extract(lower(url), '^https?://([^/?#:]+)', 1) in ('kefiblog.invalid', 'deminotes.test') or suffix(regexp_extract(lower(url), '^https?://([^/?#:]+)', 1), '.kefiblog.invalid') or suffix(regexp_extract(lower(url), '^https?://([^/?#:]+)', 1), '.deminotes.test')) and length(trim(title)) > 0")
 def f10_removed_domain(spark, d):
-    return articles(spark, d).where(~F.contains("url", F.lit("kefiblog")) & (F.length(F.trim("title")) > 0)).select("article_no")
+    gone = filters.under(filters.host_of(F.col("url")), ["kefiblog.invalid", "deminotes.test"])
+    return articles(spark, d).where(~gone & F.col("url").isNotNull() & (F.length(F.trim("title")) > 0)).select("article_no")
 
 
 @query("select article_no, (contains(b, 'search'))::int + (contains(b, 'sign in'))::int + (contains(b, 'archive'))::int + (contains(b, 'about us'))::int as marks from (select article_no, lower(body) as b from articles where length(trim(body)) between 1 and 1500) where (contains(b, 'search'))::int + (contains(b, 'sign in'))::int + (contains(b, 'archive'))::int + (contains(b, 'about us'))::int >= 2")
@@ -68,32 +69,54 @@ def f11_menu_shell(spark, d):
     return articles(spark, d).where(F.length(F.trim("body")).between(1, 1500)).select("article_no", marks.alias("marks")).where("marks >= 2")
 
 
-@query("select article_no from articles where regexp_matches(url, '^https?://([^/]+\\.)?(mopawire|zitrireview)\\.[a-z]+(/|$)')")
+@query("select article_no from articles where regexp_matches(lower(url), '^https?://([^/]+\\.)?(mopawire\\.example|zitrireview\\.test)(/|$)')")
 def f12_script_hosts(spark, d):
-    return articles(spark, d).where(F.col("url").rlike(r"^https?://([^/]+\.)?(mopawire|zitrireview)\.[a-z]+(/|$)")).select("article_no")
+    return articles(spark, d).where(filters.under(filters.host_of(F.col("url")), ["mopawire.example", "zitrireview.test"])).select("article_no")
 
 
-@query("select article_no, length(body) - length(replace(body, chr(65533), '')) as lost from articles where length(body) - length(replace(body, chr(65533), '')) >= 3")
+_LOST = "length(body) - length(replace(body, chr(65533), ''))"
+_CONTROL = "length(body) - length(regexp_replace(body, '[\\x{0}-\\x{8}\\x{b}-\\x{1f}]', '', 'g'))"
+
+
+@query(f"select article_no, {_LOST} as lost, {_CONTROL} as control from articles where {_LOST} >= 3 or {_CONTROL} >= 3")
 def f13_corrupted(spark, d):
     lost = F.length("body") - F.length(F.replace("body", F.lit("�"), F.lit("")))
-    return articles(spark, d).select("article_no", lost.alias("lost")).where("lost >= 3")
+    control = F.length("body") - F.length(F.regexp_replace("body", r"[\x00-\x08\x0b-\x1f]", ""))
+    return articles(spark, d).select("article_no", lost.alias("lost"), control.alias("control")).where("lost >= 3 or control >= 3")
 
 
-@query("select article_no from articles where ((length(body) - length(replace(body, '```', ''))) // 3) % 2 = 1")
+@query("select article_no from articles where ((length(body) - length(replace(body, '```', ''))) // 3) % 2 = 1 or regexp_matches(body, '(?m)^.*\\S[ \\t]+```[^\\r\\n`]*')")
 def f14_open_fence(spark, d):
+    """Bodies with a code fence that is left open or stands within a line."""
     n = (F.length("body") - F.length(F.replace("body", F.lit("```"), F.lit("")))) / 3
-    return articles(spark, d).where(n % 2 == 1).select("article_no")
+    return articles(spark, d).where((n % 2 == 1) | F.col("body").rlike(r"(?m)^.*\S[ \t]+```[^\r\n`]*")).select("article_no")
+
 
+_MARKUP = r"\\[A-Za-z]{2,}(?:\s*\{|\s|$)|(?:^|[^\\])\$"
+_FENCED = r"```[^\r\n]*\r?\n[\s\S]*?\r?\n```"
 
-@query("select article_no from articles where regexp_matches(body, '\\\\(textbf|emph|frac|sqrt|cite|ref|begin|end)\\b|\\$[^$\n]+\\$')")
+
+@query(f"select article_no from articles where regexp_matches(regexp_replace(body, '{_FENCED}', '', 'g'), '{_MARKUP}')")
 def f16_markup_left(spark, d):
-    return articles(spark, d).where(F.col("body").rlike(r"\\(textbf|emph|frac|sqrt|cite|ref|begin|end)\b|\$[^$\n]+\$")).select("article_no")
+    """Bodies that show mark-up of papers outside their code."""
+    return articles(spark, d).where(F.regexp_replace("body", _FENCED, "").rlike(_MARKUP)).select("article_no")
+
+
+_NOW = "2015-10-31T00:00:00Z"
 
 
-@query("select i.row_id, case when a.id is null then 'missing' when a.v < 3 then 'old' else 'current' end as state from items i left join (select id, max(\"bodyFormatVersion\") as v from articles group by id) a using (id)")
+@query(f"""with a as (select id, arg_max("contentKind", article_no) as kind, arg_max(coalesce(note, ''), article_no) as note, arg_max("archiveVersion", article_no) as v, arg_max("fetchedAt", article_no) as at from articles group by id)
+select i.row_id, case when a.id is null then true when kind <> 'summary' then false when note = 'archive:not attempted' or coalesce(v, 0) < 2 then true else coalesce(i.published_ts >= timestamp '2015-10-01' and try_strptime(a.at, '%Y-%m-%dT%H:%M:%SZ') <= timestamp '2015-10-24', false) end as needs from items i left join a using (id)""")
 def f17_needs_archive(spark, d):
-    a = articles(spark, d).groupBy("id").agg(F.max("bodyFormatVersion").alias("v"), F.lit(True).alias("there"))
-    return table(spark, d, "items").select("row_id", "id").join(a, "id", "left").select("row_id", F.when(F.col("there").isNull(), "missing").when(F.col("v") < 3, "old").otherwise("current").alias("state"))
+    """Rows whose body should be fetched: never stored, or only a summary that was not attempted, is of an old version, or is
+    due again (published within 30 days, last attempt 7 days ago)."""
+    now = F.lit(_NOW).cast("timestamp")
+    a = articles(spark, d).select("id", "article_no", "contentKind", F.coalesce("note", F.lit("")).alias("note"), "archiveVersion", "fetchedAt")
+    a = a.groupBy("id").agg(F.max_by(F.struct(F.col("contentKind").alias("kind"), "note", F.col("archiveVersion").alias("v"), F.col("fetchedAt").alias("at")), "article_no").alias("s"))
+    df = table(spark, d, "items").select("row_id", "id", "published_ts").join(a, "id", "left")
+    due = (F.col("published_ts").cast("timestamp") >= now - F.expr("interval 30 days")) & (F.try_to_timestamp("s.at") <= now - F.expr("interval 7 days"))
+    needs = F.when(F.col("s").isNull(), True).when(F.col("s.kind") != "summary", False).when((F.col("s.note") == "archive:not attempted") | (F.coalesce("s.v", F.lit(0)) < 2), True).otherwise(F.coalesce(due, F.lit(False)))
+    return df.select("row_id", needs.alias("needs"))
 
 
 @query("select article_no, note from articles where contains(note, 'Error')")
@@ -131,9 +154,10 @@ def f29_safe_address(spark, d):
     return articles(spark, d).where(ok).select("article_no")
 
 
-@query("select article_no from articles where len(list_filter(coalesce(images, []), lambda x: coalesce(x.alt, '') = '')) > 0")
+@query("select article_no, len(list_filter(coalesce(images, []), lambda x: coalesce(trim(x.alt), '') = '')) as no_text, len(list_filter(coalesce(images, []), lambda x: coalesce(x.src, '') = '')) as no_source from articles where len(coalesce(images, [])) > 0 and len(list_filter(images, lambda x: coalesce(trim(x.alt), '') = '' or coalesce(x.src, '') = '')) > 0")
 def f34_images_without_text(spark, d):
-    return articles(spark, d).where(F.exists("images", lambda x: F.coalesce(x["alt"], F.lit("")) == "")).select("article_no")
+    bad = lambda c: F.size(F.filter("images", lambda x: F.coalesce(F.trim(x[c]), F.lit("")) == ""))
+    return articles(spark, d).where("images is not null").select("article_no", bad("alt").alias("no_text"), bad("src").alias("no_source")).where("no_text + no_source > 0")
 
 
 @query("with n as (select id, max_by(sha256(coalesce(body, '')), article_no) as h from articles group by id) select a.article_no from articles a join n using (id) where sha256(coalesce(a.body, '')) <> n.h")
@@ -308,12 +332,11 @@ def h18_image_order(spark, d):
     return df.select("article_no", F.col("i.id").alias("image_id"), "pos", F.row_number().over(Window.partitionBy("article_no").orderBy("pos")).alias("ordinal"))
 
 
-@query("select article_no, f.term from articles a join (values ('attention'), ('caching'), ('decoding'), ('tokenizer')) f(term) on contains(lower(a.body), f.term)")
+@query("with f as (select article_no, term, instr(lower(body), term) as pos, length(term) as n from articles, (values ('attention'), ('sparse attention'), ('caching'), ('prompt caching'), ('decoding'), ('tokenizer')) t(term) where contains(lower(body), term)) select article_no, term, pos from f where not exists (select 1 from f g where g.article_no = f.article_no and g.n > f.n and g.pos <= f.pos and g.pos + g.n >= f.pos + f.n)")
 def j17_terms_in_text(spark, d):
-    terms = F.array(*[F.lit(t) for t in ("attention", "caching", "decoding", "tokenizer")])
-    low = F.lower("body")
-    # the terms are a fixed list: a filter over an array, so the texts are never joined with them
-    return articles(spark, d).select("article_no", F.explode(F.filter(terms, lambda t: F.contains(low, t))).alias("term"))
+    """Terms at their first occurrence, the longest at a place, each once. The terms travel in the plan, so texts are never joined with them."""
+    found = filters.terms_in(F.col("body"), ["attention", "sparse attention", "caching", "prompt caching", "decoding", "tokenizer"])
+    return articles(spark, d).select("article_no", F.explode(found).alias("t")).select("article_no", "t.term", F.col("t.at").alias("pos"))
 
 
 @query("select id, max(article_no) as article_no, count(distinct \"contentKind\") as kinds from articles where \"contentKind\" in ('community', 'feed', 'page', 'reader') group by id")

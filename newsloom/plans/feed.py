@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..functions.urls import page_keys
+from ..functions.urls import canonical_urls
+from ..operators import filters
 from ..operators.dedupe import greedy_first
 from ..operators.relational import diff, first_per_key, lookup_two_keys, merge_newer
 from ..session import join_small, table
@@ -46,9 +47,13 @@ def a03_topic_counts(spark, d):
     return tags.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag")
 
 
-@query(f"select count(*) as n, count(*) filter (where {_LVL} = 5) as n_top, count(*) filter (where {_LVL} = 1) as n_low, count(distinct source) as n_sources from items")
+@query(f"with t as (select tag, count(*) as k from (select unnest(tags) as tag from items) where length(tag) > 1 group by 1) select count(*) as n, count(*) filter (where {_LVL} = 5) as n_top, count(*) filter (where {_LVL} = 1) as n_low, count(distinct source) as n_sources, " + ", ".join(f"count(*) filter (where {_LVL} = {k}) as level_{k}" for k in range(1, 6)) + ", (select tag from t order by k desc, tag limit 1) as top_topic from items")
 def a04_feed_metrics(spark, d):
-    return scored(items(spark, d)).agg(F.count("*").alias("n"), F.count_if(F.col("eff_level") == 5).alias("n_top"), F.count_if(F.col("eff_level") == 1).alias("n_low"), F.countDistinct("source").alias("n_sources"))
+    """The feed in one row: sizes, levels as a histogram, the topic with most rows."""
+    of = lambda k: F.count_if(F.col("eff_level") == k)
+    m = scored(items(spark, d)).agg(F.count("*").alias("n"), of(5).alias("n_top"), of(1).alias("n_low"), F.countDistinct("source").alias("n_sources"), *[of(k).alias(f"level_{k}") for k in range(1, 6)])
+    topics = items(spark, d).select(F.explode("tags").alias("tag")).where(F.length("tag") > 1).groupBy("tag").count()
+    return m.join(topics.orderBy(F.desc("count"), "tag").limit(1).select(F.col("tag").alias("top_topic")), F.lit(True), "left")
 
 
 @query("with c as (select k.category, count(i.row_id) as n from (values ('agent'), ('benchmark'), ('release'), ('industry')) k(category) left join items i on i.category = k.category group by 1) select category, n, greatest(5, floor(100 * n / greatest(1, max(n) over ())))::int as bar from c")
@@ -66,11 +71,12 @@ def a06_source_counts(spark, d):
     return s.join(n, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n_items"))
 
 
-@query("select substr(day::varchar, 1, 7) as month, count(*) as n_items, count(distinct day) as n_days from items group by 1")
-def a07_month_rollup(spark, d):
-    # days first, so that the distinct count needs no second pass over the rows
-    days = items(spark, d).groupBy("day").count()
-    return days.groupBy(F.substring(F.col("day").cast("string"), 1, 7).alias("month")).agg(F.sum("count").alias("n_items"), F.count("day").alias("n_days"))
+@query("with d as (select day, count(*) as n from items where day is not null group by 1) select 'year' as span, substr(day::varchar, 1, 4) as name, sum(n)::bigint as n_items, count(*) as n_days from d group by 2 union all select 'month', substr(day::varchar, 1, 7), sum(n)::bigint, count(*) from d group by 2 union all select 'day', day::varchar, n, 1 from d")
+def a07_calendar_rollup(spark, d):
+    """Rows per year, month and day: days are counted once, the longer spans from them."""
+    days = items(spark, d).where("day is not null").groupBy("day").count().withColumn("t", F.col("day").cast("string"))
+    spans = F.explode(F.array(*[F.struct(F.lit(n).alias("span"), F.substring("t", 1, k).alias("name")) for n, k in (("year", 4), ("month", 7), ("day", 10))]))
+    return days.select(spans.alias("s"), "count").groupBy("s.span", "s.name").agg(F.sum("count").alias("n_items"), F.count("*").alias("n_days"))
 
 
 @query("select batch_no, count(*) as n_rows, count(distinct source) as n_sources, count(*) filter (where summary is null or summary = '') as n_no_summary from items group by 1")
@@ -94,9 +100,10 @@ def a22_kind_counts(spark, d):
     return items(spark, d).groupBy(F.coalesce("articleKind", F.lit("none")).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("releaseFeed"), 1).otherwise(0)).alias("n_release_feed"))
 
 
-@query("select row_id, id, title, url, source, category, score, signal from (select *, row_number() over (partition by id order by row_id) as r from items) where r = 1")
+@query(f"select row_id, id, title, url, source, category, score, signal, level, evidence from (select *, {_LVL} as level, \"aiReview\".evidenceLevel as evidence, row_number() over (partition by id order by row_id) as r from items) where r = 1")
 def proj02_index_rows(spark, d):
-    return first_per_key(items(spark, d).select("row_id", "id", "title", "url", "source", "category", "score", "signal"), ["id"], [F.col("row_id")])
+    df = scored(items(spark, d)).select("row_id", "id", "title", "url", "source", "category", "score", "signal", F.col("eff_level").alias("level"), F.col("aiReview.evidenceLevel").alias("evidence"))
+    return first_per_key(df, ["id"], [F.col("row_id")])
 
 
 @query(f"select row_id, title, coalesce(nullif(category, ''), 'industry') as category, {_SCORE} as score, {_LVL} as level, substr(coalesce(nullif(\"summaryZh\", ''), summary, ''), 1, 160) as summary from items")
@@ -114,17 +121,19 @@ def proj04_model_input(spark, d):
     return items(spark, d).select("row_id", text.compact(F.col("title"), 300).alias("title"), text.compact(F.col("source"), 80).alias("source"), text.compact(F.col("summary"), 700).alias("summary"))
 
 
-@query(f"select row_id, {_SCORE} as score, least(5, greatest(1, {_LVL})) as level, coalesce(nullif(\"aiReview\".category, ''), category) as category from items")
+@query(f"select row_id, {_SCORE} as score, least(5, greatest(1, {_LVL})) as level, coalesce(nullif(\"aiReview\".category, ''), category) as category, coalesce(nullif(\"summaryZh\", ''), summary, '') as summary, array_to_string(coalesce(tags, [])[1:5], '|') as tags from items")
 def proj06_effective_fields(spark, d):
-    return scored(items(spark, d)).select("row_id", F.col("eff_score").alias("score"), F.least(F.lit(5), F.greatest(F.lit(1), "eff_level")).alias("level"), F.coalesce(F.when(F.col("aiReview.category") != "", F.col("aiReview.category")), "category").alias("category"))
+    shown = F.coalesce(F.when(F.col("summaryZh") != "", F.col("summaryZh")), "summary", F.lit(""))
+    tags = F.array_join(F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, 5), "|")
+    return scored(items(spark, d)).select("row_id", F.col("eff_score").alias("score"), F.least(F.lit(5), F.greatest(F.lit(1), "eff_level")).alias("level"), F.coalesce(F.when(F.col("aiReview.category") != "", F.col("aiReview.category")), "category").alias("category"), shown.alias("summary"), tags.alias("tags"))
 
 
-@query("select row_id, 'From ' || coalesce(nullif(source, ''), 'a public source') || ': ' || title || case when len(coalesce(tags, [])) > 0 then ' (' || array_to_string(tags[1:3], ', ') || ')' else '' end as summary from items where summary is null or summary = ''")
+@query("select row_id, substr('From ' || coalesce(nullif(source, ''), 'a public source') || ': ' || title || case when len(coalesce(tags, [])) > 0 then ' (' || array_to_string(tags[1:3], ', ') || ')' else '' end, 1, 260) as summary from items where summary is null or summary = ''")
 def proj11_fallback_summary(spark, d):
     df = items(spark, d).where(F.col("summary").isNull() | (F.col("summary") == ""))
     source = F.coalesce(F.when(F.col("source") != "", F.col("source")), F.lit("a public source"))
     topics = F.when(F.size(F.coalesce("tags", F.array().cast("array<string>"))) > 0, F.concat(F.lit(" ("), F.array_join(F.slice("tags", 1, 3), ", "), F.lit(")"))).otherwise("")
-    return df.select("row_id", F.concat(F.lit("From "), source, F.lit(": "), "title", topics).alias("summary"))
+    return df.select("row_id", F.substring(F.concat(F.lit("From "), source, F.lit(": "), "title", topics), 1, 260).alias("summary"))
 
 
 @query("select i.row_id from items i join batches b using (batch_no) left join sources s on s.source = i.source where i.published_ts is not null and (s.source is not null and s.feed_max_age_days is null or i.published_ts >= b.polled_at - to_days(coalesce(s.feed_max_age_days, 120)))")
@@ -136,10 +145,9 @@ def f01_age_cutoff(spark, d):
     return df.where(F.col("published_ts").isNotNull() & ((F.col("known") & F.col("feed_max_age_days").isNull()) | fresh)).select("row_id")
 
 
-@query(r"select row_id, url, split_part(regexp_replace(lower(url), '^[a-z]+://', ''), '/', 1) as host from items where regexp_matches(lower(url), '^https?://') and contains(url, '/2015/')")
+@query("select row_id from items where regexp_matches(lower(url), '^https?://') and (contains(lower(url), '/2015/') or contains(lower(url), '/blog/')) and not contains(lower(url), 'release')")
 def f02_address_filter(spark, d):
-    host = F.split_part(F.regexp_replace(F.lower("url"), "^[a-z]+://", ""), F.lit("/"), F.lit(1))
-    return items(spark, d).where(F.lower("url").rlike("^https?://") & F.contains("url", F.lit("/2015/"))).select("row_id", "url", host.alias("host"))
+    return items(spark, d).where(filters.allowed(F.col("url"), ["/2015/", "/blog/"], ["release"])).select("row_id")
 
 
 @query(r"select row_id, regexp_extract(title, '\d+(?:\.\d+)+') as version, case when regexp_matches(title, '(^| )v?0\.\d') then 'pre' when regexp_matches(title, ' \d+\.\d+\.[1-9]\d*') then 'patch' when regexp_matches(title, '\d+\.0( |:|$)') then 'major' else 'minor' end as step from items where regexp_matches(title, '\d+(?:\.\d+)+')")
@@ -149,17 +157,22 @@ def f03_version_kind(spark, d):
     return items(spark, d).where(t.rlike(r"\d+(?:\.\d+)+")).select("row_id", F.regexp_extract(t, r"\d+(?:\.\d+)+", 0).alias("version"), step.alias("step"))
 
 
-@query("select row_id from items where contains(lower(concat_ws(' ', coalesce(source, ''), coalesce(\"sourceDomain\", ''))), 'forum')")
+@query("select row_id from items where contains(lower(concat_ws(' ', coalesce(source, ''), coalesce(\"sourceDomain\", ''))), 'forum') or contains(lower(concat_ws(' ', coalesce(source, ''), coalesce(\"sourceDomain\", ''))), 'blog')")
 def f07_community(spark, d):
-    where = F.concat_ws(" ", F.coalesce("source", F.lit("")), F.coalesce("sourceDomain", F.lit("")))
-    return items(spark, d).where(F.contains(F.lower(where), F.lit("forum"))).select("row_id")
+    return items(spark, d).where(filters.from_community(F.col("source"), F.col("sourceDomain"), ["forum", "Blog"])).select("row_id")
 
 
-@query(f"select row_id, {_LVL} as level from items where category in ('agent', 'release') and {_LVL} >= 3 and contains(lower(concat_ws(' ', title, coalesce(summary, ''), coalesce(source, ''))), 'open weights') and day between date '2015-10-01' and date '2015-10-31'")
+@query(f"select row_id, {_LVL} as level from items where category in ('agent', 'release') and {_LVL} >= 3 and contains(lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''), coalesce(source, ''))), 'open') and contains(lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''), coalesce(source, ''))), 'weights') and day between date '2015-10-01' and date '2015-10-31'")
 def f30_feed_filter(spark, d):
-    df = scored(items(spark, d)).where(F.col("category").isin("agent", "release") & (F.col("eff_level") >= 3) & F.col("day").between("2015-10-01", "2015-10-31"))
-    everything = F.concat_ws(" ", "title", F.coalesce("summary", F.lit("")), F.coalesce("source", F.lit("")))
-    return df.where(F.contains(F.lower(everything), F.lit("open weights"))).select("row_id", F.col("eff_level").alias("level"))
+    df = scored(items(spark, d))
+    return filters.feed(df, F.col("eff_level"), ["agent", "release"], None, 3, "Open weights", ("2015-10-01", "2015-10-31")).select("row_id", F.col("eff_level").alias("level"))
+
+
+@query("select row_id from items where source in (select source from sources where official) and day between date '2015-10-01' and date '2015-10-31'")
+def f30_curated(spark, d):
+    """The curated view: sources picked by the catalogue, within a range of days."""
+    picked = table(spark, d, "sources").where("official").select("source")
+    return filters.feed(items(spark, d), F.lit(0), days=("2015-10-01", "2015-10-31")).join(picked, "source", "left_semi").select("row_id")
 
 
 @query("select row_id, day from items where day between date '2015-10-02' and date '2015-10-08'")
@@ -167,10 +180,9 @@ def f31_calendar_range(spark, d):
     return items(spark, d).where(F.col("day").between("2015-10-02", "2015-10-08")).select("row_id", "day")
 
 
-@query("select row_id, \"sourceDomain\" from items where \"sourceDomain\" = 'trokovareleases.invalid' or suffix(\"sourceDomain\", '.trokovareleases.invalid')")
+@query("select row_id, \"sourceDomain\" from items where lower(\"sourceDomain\") = 'trokovareleases.invalid' or suffix(lower(\"sourceDomain\"), '.trokovareleases.invalid') or lower(\"sourceDomain\") = 'deminotes.test' or suffix(lower(\"sourceDomain\"), '.deminotes.test')")
 def f32_domain_match(spark, d):
-    c = F.col("sourceDomain")
-    return items(spark, d).where((c == "trokovareleases.invalid") | c.endswith(".trokovareleases.invalid")).select("row_id", "sourceDomain")
+    return items(spark, d).where(filters.under(F.lower("sourceDomain"), ["trokovareleases.invalid", "deminotes.test"])).select("row_id", "sourceDomain")
 
 
 @query("with h as (select id, url, row_id from items where batch_no <= 3), n as (select row_id, id, url from items where batch_no > 3), a as (select id, min(row_id) as r from h group by id), b as (select url, min(row_id) as r from h group by url) select n.row_id, coalesce(a.r, b.r) as known_row from n left join a using (id) left join b using (url) where coalesce(a.r, b.r) is not null")
@@ -200,6 +212,21 @@ def j04_block_list(spark, d):
     return items(spark, d).select("row_id", "url").join(table(spark, d, "articles").select("url"), "url", "left_anti").select("row_id")
 
 
+@query()
+def j04_blocked_addresses(spark, d):
+    """Rows whose address, in its one spelling on both sides, is not among the archived ones. Tested on spellings."""
+    gone = table(spark, d, "articles").select(canonical_urls(F.col("url")).alias("c")).where("c is not null").distinct()
+    return items(spark, d).select("row_id", canonical_urls(F.col("url")).alias("c")).join(gone, "c", "left_anti").select("row_id")
+
+
+@query()
+def j01_canonical_lookup(spark, d):
+    """The row of history with the same id, else with the same address in its one spelling. Tested on spellings."""
+    rows = items(spark, d).select("row_id", "id", canonical_urls(F.col("url")).alias("u"), "batch_no")
+    history = rows.where("batch_no <= 3").select("id", "u", F.col("row_id").alias("known_row"))
+    return lookup_two_keys(rows.where("batch_no > 3"), history, "id", "u", "known_row").where("known_row is not null").select("row_id", "known_row")
+
+
 @query("with s as (select id, bool_or(coalesce(body, '') <> '') as has_body, count(*) as n from articles group by id) select i.row_id, case when s.id is null then 'none' when s.n > 1 and has_body then 'complete' when has_body then 'partial' else 'none' end as status from items i left join s using (id)")
 def j05_status_join(spark, d):
     s = table(spark, d, "articles").groupBy("id").agg(F.bool_or(F.coalesce("body", F.lit("")) != "").alias("has_body"), F.count("*").alias("n"))
@@ -250,7 +277,7 @@ def j19_neighbours(spark, d):
 def w01_greedy(spark, d):
     """The greedy loop of an ingest, newest first: a row is taken unless a taken one has its headline or its page. Tested
     against the loop."""
-    df = items(spark, d).select("row_id", text.normalized_title(F.col("title")).alias("k"), page_keys(F.col("url")).alias("u"), F.unix_micros(F.col("published_ts").cast("timestamp")).alias("at"))
+    df = items(spark, d).select("row_id", text.normalized_title(F.col("title")).alias("k"), canonical_urls(F.col("url")).alias("u"), F.unix_micros(F.col("published_ts").cast("timestamp")).alias("at"))
     return greedy_first(df.where("k <> ''"), ["k", "u"], F.struct((-F.coalesce("at", F.lit(0))).alias("at"), "row_id"), "row_id").select("row_id")
 
 
@@ -284,9 +311,10 @@ def w10_ordered_distinct(spark, d):
     return items(spark, d).where("source <> ''").groupBy("source", "id").agg(F.min("row_id").alias("first_row"))
 
 
-@query("select source, row_id, score from (select source, row_id, score, row_number() over (partition by source order by score desc nulls last, row_id) as r from items where source <> '') where r = 1")
+@query("select source, row_id, score from (select source, row_id, score, row_number() over (partition by source order by score desc nulls last, published_ts desc nulls last, length(coalesce(summary, '')) desc, row_id) as r from items where source <> '') where r = 1")
 def w11_best_per_source(spark, d):
-    return first_per_key(items(spark, d).where("source <> ''").select("source", "row_id", "score"), ["source"], [F.desc_nulls_last("score"), F.col("row_id")])
+    df = items(spark, d).where("source <> ''").select("source", "row_id", "score", "published_ts", F.length(F.coalesce("summary", F.lit(""))).alias("n"))
+    return first_per_key(df, ["source"], [F.desc_nulls_last("score"), F.desc_nulls_last("published_ts"), F.desc("n"), F.col("row_id")]).select("source", "row_id", "score")
 
 
 @query("select id, max(row_id) as newest_row, count(*) as n from items group by id")
@@ -303,9 +331,9 @@ def w15_backfill_group(spark, d):
     return g.where("n > 1").drop("n")
 
 
-@query("select row_id, \"publishedAt\", score from items order by \"publishedAt\" desc nulls last, score desc nulls last, row_id limit 50")
+@query("select row_id, published_ts, score from items order by published_ts desc nulls last, score desc nulls last, row_id limit 50")
 def t01_newest(spark, d):
-    return items(spark, d).select("row_id", "publishedAt", "score").orderBy(F.desc_nulls_last("publishedAt"), F.desc_nulls_last("score"), "row_id").limit(50)
+    return items(spark, d).select("row_id", "published_ts", "score").orderBy(F.desc_nulls_last("published_ts"), F.desc_nulls_last("score"), "row_id").limit(50)
 
 
 @query(f"select row_id, {_LVL} as level, {_SCORE} as score from items order by level desc, score desc, \"publishedAt\" desc nulls last, row_id limit 24")
@@ -368,7 +396,7 @@ def u04_set_equality(spark, d):
 
 @query("select row_id, len(list_filter(tags, lambda x: x not in ('Agent', 'MCP', 'RAG'))) = 0 as only_core from items where tags is not null")
 def u05_subset(spark, d):
-    return items(spark, d).where("tags is not null").select("row_id", (F.size(F.filter("tags", lambda x: ~x.isin("Agent", "MCP", "RAG"))) == 0).alias("only_core"))
+    return items(spark, d).where("tags is not null").select("row_id", filters.only(F.col("tags"), ["Agent", "MCP", "RAG"]).alias("only_core"))
 
 
 @query("select tag, min(row_id) as first_row from (select row_id, unnest(tags) as tag from items) group by tag order by first_row, tag limit 24")
@@ -486,9 +514,11 @@ def g01_title_trim_plan(spark, d):
     return items(spark, d).where((F.col("title") != F.trim("title")) | F.contains("title", F.lit("  "))).select("row_id", "id", "title")
 
 
-@query("select i.row_id, (i.published_ts at time zone 'UTC' at time zone 'Asia/Shanghai')::date as shanghai_day from items i where published_ts is not null")
+@query("select row_id, (published_ts at time zone 'UTC' at time zone 'Asia/Shanghai')::date as shanghai_day, (published_ts at time zone 'UTC' at time zone 'America/Los_Angeles')::date as pacific_day, published_ts::date as utc_day from items where published_ts is not null")
 def m04_days_in_zone(spark, d):
-    return items(spark, d).where("published_ts is not null").select("row_id", F.to_date(F.from_utc_timestamp(F.col("published_ts").cast("timestamp"), "Asia/Shanghai")).alias("shanghai_day"))
+    at = F.col("published_ts").cast("timestamp")
+    zone = lambda z: F.to_date(F.from_utc_timestamp(at, z))
+    return items(spark, d).where("published_ts is not null").select("row_id", zone("Asia/Shanghai").alias("shanghai_day"), zone("America/Los_Angeles").alias("pacific_day"), F.to_date(at).alias("utc_day"))
 
 
 @query("with r as (select *, row_number() over (partition by id order by row_id desc) as z from items) select r.id, r.title, f.published as first_published from r join (select id, min_by(\"publishedAt\", row_id) filter (where \"publishedAt\" is not null) as published from items group by id) f using (id) where z = 1")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.urls import page_keys
+from ..functions.urls import canonical_urls, page_keys
+from ..operators import filters
 from ..operators.chunks import chunks
 from ..session import table
 from .registry import query
@@ -24,16 +25,21 @@ def x04_page_keys(spark, d):
     return table(spark, d, "items").select("row_id", page_keys(F.col("url")).alias("page_key"))
 
 
+@query()
+def x04_canonical(spark, d):
+    """Addresses in their one spelling that still leads there. Tested on pairs of spellings."""
+    return table(spark, d, "items").select("row_id", canonical_urls(F.col("url")).alias("url"))
+
+
 @query("select source, sourceDomain, lang, coalesce(feed_max_age_days, 120) as age_days, len(coalesce(aliases, [])) as n_aliases from sources")
 def s26_catalogue(spark, d):
     n = F.size(F.coalesce("aliases", F.array().cast("array<string>")))
     return table(spark, d, "sources").select("source", "sourceDomain", "lang", F.coalesce("feed_max_age_days", F.lit(120)).alias("age_days"), n.alias("n_aliases"))
 
 
-@query("select row_id, id from items where day = date '2015-10-03' and id in (select id from items where day = date '2015-10-03' group by id having count(*) = 1)")
+@query("select row_id, id from items where day = date '2015-10-02' and id in (select id from items where day = date '2015-10-02' group by id having count(*) = 1)")
 def s24_day_lookup(spark, d):
-    day = table(spark, d, "items").where(F.col("day") == "2015-10-03").select("row_id", "id")
-    return day.withColumn("_n", F.count("*").over(Window.partitionBy("id"))).where("_n = 1").select("row_id", "id")
+    return filters.day_lookup(table(spark, d, "items").select("row_id", "id", "day"), "2015-10-02", "id").select("row_id", "id")
 
 
 @query("select row_id, last_value(nullif(summary, '') ignore nulls) over (partition by source order by row_id rows between unbounded preceding and 1 preceding) as previous_summary from items")

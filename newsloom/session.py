@@ -98,7 +98,7 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         """``df`` as a written table, as ``materialize`` does it."""
         self.n += 1
-        df.write.option("compression", "zstd").parquet(f"{self.path}/{self.n}")
+        df.write.option("compression", "snappy").parquet(f"{self.path}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
 
     def __enter__(self) -> Scratch:

@@ -81,3 +81,27 @@ def test_scratch_is_removed(spark):
     with Scratch(spark, "t") as s:
         assert s.write(spark.range(3)).count() == 3 and exists(spark, s.path)
     assert not exists(spark, s.path)
+
+
+def test_canonical_addresses():
+    from newsloom.functions.urls import canonical_url as c
+
+    assert c("HTTPS://Www.A.test:443//x//y/?b=2&utm_source=q&a=1#f") == "https://www.a.test/x/y?a=1&b=2"
+    assert c("http://a.test") == c("http://a.test/") == "http://a.test/" and c("http://a.test:8080/x/") == "http://a.test:8080/x"
+    assert c(None) is c("") is c("ftp://a.test/x") is c("mailto:x") is c("http://[broken") is None
+
+
+def test_filters(spark):
+    from newsloom.operators import filters as f
+
+    c = F.col
+    rows = [("My Forum", "x.test", "https://a.b.test/2015/x"), (None, None, None), ("s", "b.test", "ftp://b.test/2015")]
+    df = spark.createDataFrame(rows, "s string, d string, u string")
+    got = df.select(f.from_community(c("s"), c("d"), ["FORUM"]), f.under(f.host_of(c("u")), ["b.test"]), f.allowed(c("u"), ["/2015/"], []), f.allowed(c("u"), [], ["x"]), f.from_community(c("s"), c("d"), [])).collect()
+    assert [tuple(r) for r in got] == [(True, True, True, False, False), (False,) * 5, (False,) * 5]
+    texts = spark.createDataFrame([("Sparse attention beats attention; caching",), ("attention and sparse attention",), ("",), (None,)], "t string")
+    found = [[(x["term"], x["at"]) for x in r[0] or ()] for r in texts.select(f.terms_in(c("t"), ["attention", "sparse attention", "caching"])).collect()]
+    assert found == [[("sparse attention", 1), ("caching", 35)], [("attention", 1), ("sparse attention", 15)], [], []]
+    items = spark.createDataFrame([(1, "a", "d1", "T open"), (2, "a", "d1", "x"), (3, "b", "d1", None)], "n int, id string, day string, title string")
+    assert [r["n"] for r in f.day_lookup(items, "d1", "id").collect()] == [3]
+    assert [r["n"] for r in f.feed(items, F.lit(3), least_level=3, words="OPEN t", text=["title"]).collect()] == [1] and f.feed(items, F.lit(1), least_level=2).count() == 0
