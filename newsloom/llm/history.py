@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -176,12 +177,14 @@ class HistoryIndex:
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n, total = np.zeros(H.CLASSES, dtype=np.int64), 0
+            words: Counter = Counter()
             for df in batches:
                 total += len(df)
                 n += np.bincount(_unpacked(df["dims"])[1] & (H.CLASSES - 1), minlength=H.CLASSES)
                 for r in df["raw"]:
-                    for w in set(H.fold(r).split()):
-                        n[H.word_class(w)] += 1
+                    words.update(set(H.fold(r).split()))
+            for w, k in words.items():
+                n[H.word_class(w)] += k
             at = np.flatnonzero(n)
             yield pd.DataFrame({"b": np.append(at, -1), "n": np.append(n[at], total)})
 

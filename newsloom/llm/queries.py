@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.catalogue import resolve_entry
-from ..session import materialize, table
+from ..session import join_small, materialize, table
 from . import boilerplate, capping, encoding, history, language, mixing, packing, pii, truncation
 from . import residue as residue_
 
@@ -21,6 +21,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return capping.rank_rows(rows, ["entry", "batch_no"], "entry_max_per_batch", "score", "row_id").where("over_limit").select("row_id").distinct()
 
 
+def p1_share(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of ``items`` beyond a twentieth of all rows that one source may give, the best by score kept."""
+    rows = table(spark, d, "items").select("row_id", "score", "source").where(F.col("source").isNotNull())
+    rows = join_small(rows, capping.share_limits(rows, ["source"], 0.05), ["source"])
+    return capping.rank_rows(rows, ["source"], "share_limit", "score", "row_id").where("over_limit").select("row_id").distinct()
+
+
 def site_names(spark: SparkSession, d: str) -> frozenset[str]:
     """Names and aliases of the catalogue, a dimension of bounded size."""
     rows = table(spark, d, "sources").select("source", "aliases").collect()
@@ -195,6 +202,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_share": p1_share,
     "p2_found": p2_found,
     "p2_segments": p2_segments,
     "p2_documents": p2_documents,
@@ -226,6 +234,7 @@ hosts as (select {_HOST.format('"sourceDomain"')} as h, source as entry, max_per
 told as (select i.row_id, i.batch_no, i.score, coalesce(n.entry, h.entry) as entry, case when n.entry is not null then n.max_per_batch else h.max_per_batch end as m from (select *, {_FOLD.replace("COL", "source")} as fn, {_HOST.format('"sourceDomain"')} as fh from items) i left join names n on n.n = i.fn left join hosts h on h.h = i.fh),
 ranked as (select row_id, m, row_number() over (partition by entry, batch_no order by score desc nulls last, row_id) as r from told where m is not null)
 select row_id from ranked where r > m""",
+    "p1_share": "with r as (select row_id, row_number() over (partition by source order by score desc nulls last, row_id) as r, (select floor(count(*) * 0.05) from items where source is not null) as m from items where source is not null) select row_id from r where r > m",
     "p8_checked": "select capacity_tokens, count(*) as n_docs, sum(coalesce(n_tokens, strlen(text)))::bigint as tokens, 0 as n_wrong_pieces, 0 as n_over, true as well_filled from documents, containers group by 1",
     "p9_checked": f"""with t as (select source as entry, {_FOLD.replace("COL", "source")} as f from mix_targets where target_weight > 0)
 select entry as source, count(*) as n_docs, false as over, true as on_target from documents join t on f = {_FOLD.replace("COL", "source")} group by 1""",
