@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import repair, rules
@@ -408,3 +408,14 @@ def m07_pacing(spark, d):
     """The interval between requests per user after each event, replayed. Tested against a loop."""
     e = table(spark, d, "events").select("user_id", "event_id", (F.col("event_type") == "error").alias("bad"))
     return paced(e, "user_id", "event_id", "bad", 1.0)
+
+
+@query(f"with {_MEDIA}, v as (select article_no, id, src, regexp_replace(src, '[?].*$', '') as name, coalesce(try_cast(nullif(regexp_extract(src, '[?&](?:w|width)=([0-9]+)', 1), '') as int), 0) as w from m where coalesce(src, '') <> ''), k as (select article_no, name, arg_max(id, (w, src, id)) as kept from v group by 1, 2), s as (select v.article_no, v.id, k.kept, row_number() over (partition by v.article_no, k.kept order by v.id) as r from v join k on k.article_no = v.article_no and k.name = v.name) select article_no, id as slot, kept, r = 1 as placed from s")
+def x40_slots(spark, d):
+    """Slots of a layout after variants were collapsed: each shows the variant kept, a medium that is there already stays out."""
+    m = media(spark, d).where(F.coalesce("src", F.lit("")) != "")
+    w = F.coalesce(F.regexp_extract("src", "[?&](?:w|width)=([0-9]+)", 1).try_cast("int"), F.lit(0))
+    v = m.select("article_no", "id", "src", F.regexp_replace("src", "[?].*$", "").alias("name"), w.alias("w"))
+    k = v.groupBy("article_no", "name").agg(F.max_by("id", F.struct("w", "src", "id")).alias("kept"))
+    first = Window.partitionBy("article_no", "kept").orderBy("id")
+    return v.join(k, ["article_no", "name"]).select("article_no", F.col("id").alias("slot"), "kept", (F.row_number().over(first) == 1).alias("placed"))

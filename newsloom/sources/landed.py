@@ -137,3 +137,37 @@ def answer_blocks(content: str | None, asked: dict[str, str]) -> tuple[dict[str,
 def media_path(name: Column) -> Column:
     """Where a stored picture lies, by the hash of its address."""
     return F.concat(F.lit("media/"), F.substring(F.sha2(name, 256), 1, 2), F.lit("/"), F.substring(F.sha2(name, 256), 1, 16))
+
+
+def post_images(payload: str | None, hosts: dict[str, int], most: int = MOST_IMAGES) -> list[str]:
+    """Pictures of a forum post: what it links to, its previews, its gallery; each once, at most ``most``.
+
+    ``hosts`` names the hosts that serve one upload under one file name, and their rank: of its variants the one of least
+    rank stays, plain addresses before sized ones, in the place of the first.
+    """
+    try:
+        post = json.loads(payload or "")
+    except ValueError:
+        return []
+    if not isinstance(post, dict):
+        return []
+    part = lambda x, *keys: part(x.get(keys[0]), *keys[1:]) if keys and isinstance(x, dict) else (None if keys else x)
+    linked = str(post.get("url_overridden_by_dest") or "")
+    found = [linked] if _IMAGE.search(linked.split("?", 1)[0]) else []
+    previews = part(post, "preview", "images")
+    found += [part(i, "source", "url") for i in previews if isinstance(i, dict)] if isinstance(previews, list) else []
+    gallery = post.get("media_metadata")
+    found += [part(v, "s", "u") for v in gallery.values()] if isinstance(gallery, dict) else []
+    urls = [u for v in found if (u := html.unescape(str(v or "")).strip()).startswith(("http://", "https://"))]
+    kept: dict[str, str] = {}
+
+    def rank(url: str) -> int:
+        return hosts[(urlsplit(url).hostname or "").lower()] + bool(urlsplit(url).query)
+
+    for url in dict.fromkeys(urls):
+        parts = urlsplit(url)
+        name = parts.path.rsplit("/", 1)[-1].lower()
+        key = name if name and (parts.hostname or "").lower() in hosts else url
+        if key not in kept or key is name and rank(url) < rank(kept[key]):
+            kept[key] = url
+    return list(kept.values())[:most]

@@ -115,3 +115,15 @@ def test_pacing(spark):
         want[at] = interval
     got = paced(spark.createDataFrame(rows, "scope string, at int, bad boolean").repartition(4), "scope", "at", "bad", 1.0)
     assert {x["at"]: x["interval"] for x in got.collect()} == want
+
+
+def test_post_images():
+    hosts = {"i.pics.test": 0, "preview.pics.test": 1}
+    post = {
+        "url_overridden_by_dest": "https://a.test/x.JPG?s=1",
+        "preview": {"images": [{"source": {"url": "https://preview.pics.test/u.png?width=1&amp;h=2"}}, {"source": {}}, "odd"]},
+        "media_metadata": {"m": {"s": {"u": "https://i.pics.test/u.png"}}, "n": {"s": {"u": "https://i.pics.test/v.png"}}, "o": 3},
+    }
+    assert landed.post_images(json.dumps(post), hosts) == ["https://a.test/x.JPG?s=1", "https://i.pics.test/u.png", "https://i.pics.test/v.png"]
+    assert landed.post_images(json.dumps(post), hosts, 1) == ["https://a.test/x.JPG?s=1"]
+    assert landed.post_images(None, hosts) == landed.post_images("[]", hosts) == landed.post_images('{"preview": 3}', hosts) == []
