@@ -9,6 +9,7 @@ from ..functions import rules, text
 from ..functions.urls import canonical_urls
 from ..operators import filters
 from ..operators.dedupe import greedy_first
+from ..operators.ranking import row_numbers
 from ..operators.relational import diff, first_per_key, lookup_two_keys, merge_newer
 from ..session import join_small, table
 from .registry import query
@@ -302,8 +303,9 @@ def w06_ordinals(spark, d):
 
 @query("select row_id, row_number() over (partition by category, summary is null order by score desc nulls last, row_id) as position from items")
 def w07_queue_position(spark, d):
-    by = Window.partitionBy("category", F.col("summary").isNull()).orderBy(F.desc_nulls_last("score"), "row_id")
-    return items(spark, d).select("row_id", F.row_number().over(by).alias("position"))
+    """The place of each row in its queue: queues are few and large, so none is sorted by one task."""
+    df = items(spark, d).select("row_id", "category", "score", F.col("summary").isNull().alias("no_summary"))
+    return row_numbers(df, ["category", "no_summary"], [F.desc_nulls_last("score"), F.col("row_id")]).select("row_id", "position")
 
 
 @query("select source, id, first_row from (select source, id, min(row_id) as first_row from items where source <> '' group by 1, 2)")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import canonical_urls, page_keys
 from ..operators import filters
 from ..operators.chunks import chunks
+from ..operators.ranking import last_before
 from ..session import table
 from .registry import query
 
@@ -44,8 +44,9 @@ def s24_day_lookup(spark, d):
 
 @query("select row_id, last_value(nullif(summary, '') ignore nulls) over (partition by source order by row_id rows between unbounded preceding and 1 preceding) as previous_summary from items")
 def w05_previous_text(spark, d):
-    by = Window.partitionBy("source").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "items").select("row_id", F.last(F.when(F.col("summary") != "", F.col("summary")), ignorenulls=True).over(by).alias("previous_summary"))
+    """The last summary of the same source before each row; a source may be of any size."""
+    df = table(spark, d, "items").select("row_id", "source", F.when(F.col("summary") != "", F.col("summary")).alias("said"))
+    return last_before(df, ["source"], [F.col("row_id")], "said", "previous_summary").select("row_id", "previous_summary")
 
 
 @query("with t as (select l_orderkey, l_linenumber, l_partkey % 5 || 'h' || l_suppkey % 60 || 'm' || l_linenumber || '.5s' as t from lineitem) select l_orderkey, l_linenumber, 3600 * regexp_extract(t, '(\\d+)h', 1)::int + 60 * regexp_extract(t, '(\\d+)m', 1)::int + regexp_extract(t, '([\\d.]+)s', 1)::double as seconds from t")

@@ -105,3 +105,23 @@ def test_filters(spark):
     items = spark.createDataFrame([(1, "a", "d1", "T open"), (2, "a", "d1", "x"), (3, "b", "d1", None)], "n int, id string, day string, title string")
     assert [r["n"] for r in f.day_lookup(items, "d1", "id").collect()] == [3]
     assert [r["n"] for r in f.feed(items, F.lit(3), least_level=3, words="OPEN t", text=["title"]).collect()] == [1] and f.feed(items, F.lit(1), least_level=2).count() == 0
+
+
+@pytest.mark.parametrize("rows", [7, 1000])
+def test_ranking_over_parts(spark, rows):
+    from newsloom.operators.ranking import last_before, row_numbers
+
+    r = random.Random(6)
+    data = [(i, r.choice(["a", "a", "a", "b", "", None]), r.choice([None, 1, 2, 3]), r.choice([None, None, "x", "y"])) for i in range(60)]
+    df = spark.createDataFrame(data, "i int, g string, s int, v string").repartition(5)
+    want, last = {}, {}
+    for g in {x[1] for x in data}:
+        mine = sorted((x for x in data if x[1] == g), key=lambda x: (x[2] is None, -(x[2] or 0), x[0]))
+        want |= {x[0]: k for k, x in enumerate(mine, 1)}
+        said = None
+        for x in sorted((x for x in data if x[1] == g), key=lambda x: x[0]):
+            last[x[0]], said = said, x[3] or said
+    got = row_numbers(df, ["g"], [F.desc_nulls_last("s"), F.col("i")], "n", rows)
+    assert {x["i"]: x["n"] for x in got.collect()} == want and got.columns == [*df.columns, "n"]
+    assert {x["i"]: x["p"] for x in last_before(df, ["g"], [F.col("i")], "v", "p", rows).collect()} == last
+    assert row_numbers(df.where("false"), ["g"], [F.col("i")]).count() == 0
