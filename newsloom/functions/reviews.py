@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rules, text
@@ -26,14 +26,33 @@ def ceiling(relevant: Column, information: Column, evidence: Column, impact: Col
     return F.least(F.lit(100), *[F.when(c, most).otherwise(100) for c, most in limits])
 
 
-def review(dims: dict[str, Column], relevant: Column, information: Column, evidence: Column, from_forum: Column, routine: Column) -> dict[str, Column]:
-    """Checked fields of a review: its dimensions capped to the ceiling, score, level, evidence, information type."""
-    info, proof = one_of(information, rules.INFORMATION, "analysis"), one_of(evidence, rules.EVIDENCE, "partial")
-    points = clamped(dims)
-    most = ceiling(relevant, info, proof, points[list(rules.DIMENSION_LIMITS).index("impact")], from_forum, routine)
-    capped = text.cap_to(points, most)
-    score = reduce(lambda a, b: a + b, capped)
-    return {**dict(zip(rules.DIMENSION_LIMITS, capped)), "score": score, "level": text.level(score), "evidence": proof, "information": info}
+def review(df: DataFrame, keep: list[str], dims: dict[str, Column], relevant: Column, information: Column, evidence: Column, from_forum: Column, routine: Column) -> DataFrame:
+    """``keep`` and the checked fields of a review: dimensions capped to the ceiling, score, level, evidence, information.
+
+    Each step is a projection of its own, so that no rule is worked out more than once a row.
+    """
+    names = list(rules.DIMENSION_LIMITS)
+    read = df.select(
+        *keep, *[c.alias(n) for n, c in zip(names, clamped(dims))], one_of(information, rules.INFORMATION, "analysis").alias("information"), one_of(evidence, rules.EVIDENCE, "partial").alias("evidence"),
+        relevant.alias("_relevant"), from_forum.alias("_forum"), routine.alias("_routine"),
+    )
+    limited = read.withColumn("_most", ceiling(F.col("_relevant"), F.col("information"), F.col("evidence"), F.col("impact"), F.col("_forum"), F.col("_routine")))
+    return capped(limited, keep, "_most").withColumn("level", text.level(F.col("score"))).select(*keep, *names, "score", "level", "evidence", "information")
+
+
+def capped(df: DataFrame, keep: list[str], most: str) -> DataFrame:
+    """``df`` with its dimensions scaled down to sum to the column ``most`` (as ``text.cap_to``, in steps), and their ``score``."""
+    names = list(rules.DIMENSION_LIMITS)
+    total = reduce(lambda a, b: a + b, [F.col(n) for n in names])
+    df = df.withColumn("_total", total)
+    df = df.withColumns({f"_low_{n}": F.floor(F.col(n) * F.col(most) / F.col("_total")).cast("int") for n in names})
+    df = df.withColumn("_rest", F.col(most) - reduce(lambda a, b: a + b, [F.col(f"_low_{n}") for n in names]))
+    df = df.withColumns({f"_shrank_{n}": (F.col(f"_low_{n}") < F.col(n)).cast("int") for n in names})
+    steps, used = {}, F.lit(0)
+    for n in names:
+        used = used + F.col(f"_shrank_{n}")
+        steps[n] = F.when((F.col("_total") <= F.col(most)) | (F.col("_total") == 0), F.col(n)).otherwise(F.col(f"_low_{n}") + F.when((F.col(f"_shrank_{n}") == 1) & (used <= F.col("_rest")), 1).otherwise(0)).cast("int")
+    return df.withColumns(steps).withColumn("score", total)
 
 
 def long_summary(summary: Column, title: Column, source: Column, original: Column, reason: Column, level: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rules
@@ -38,23 +38,34 @@ def visible_length(value: Column) -> Column:
     return F.length(F.regexp_replace(value, r"\s+", ""))
 
 
-def keyword_hits(text: Column, words: list[str]) -> Column:
-    low = F.lower(text)
+def keyword_hits(text: Column, words: list[str], lowered: bool = False) -> Column:
+    """How many of the words a text holds, in any case; a text that is lower case already need not be folded for each word."""
+    low = text if lowered else F.lower(text)
     return reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") for w in words])
 
 
-def classify(text: Column, hint: Column) -> Column:
+def classify(text: Column, hint: Column, lowered: bool = False) -> Column:
     """The category with most keywords; a hint counts one; ties go in the order agent, benchmark, release, industry."""
     order = ["agent", "benchmark", "release", "industry"]
-    score = {c: keyword_hits(text, rules.CATEGORY_KEYWORDS[c]) + F.coalesce((hint == c).cast("int"), F.lit(0)) for c in order}
+    score = {c: keyword_hits(text, rules.CATEGORY_KEYWORDS[c], lowered) + F.coalesce((hint == c).cast("int"), F.lit(0)) for c in order}
     best = F.greatest(*score.values())
     pick = F.coalesce(*[F.when(score[c] == best, F.lit(c)) for c in order])
     return F.when(best == 0, F.coalesce(hint, F.lit("industry"))).otherwise(pick)
 
 
-def tags(text: Column, category: Column) -> Column:
+def with_category(df: DataFrame, low: str, hint: str, name: str = "category") -> DataFrame:
+    """``df`` with the category of the lower-case text in column ``low`` (as ``classify``), keywords counted once a row."""
+    order = ["agent", "benchmark", "release", "industry"]
+    df = df.withColumns({f"_n_{c}": keyword_hits(F.col(low), rules.CATEGORY_KEYWORDS[c], True) + F.coalesce((F.col(hint) == c).cast("int"), F.lit(0)) for c in order})
+    df = df.withColumn("_most", F.greatest(*[f"_n_{c}" for c in order]))
+    pick = F.coalesce(*[F.when(F.col(f"_n_{c}") == F.col("_most"), F.lit(c)) for c in order])
+    return df.withColumn(name, F.when(F.col("_most") == 0, F.coalesce(F.col(hint), F.lit("industry"))).otherwise(pick)).drop("_most", *[f"_n_{c}" for c in order])
+
+
+def tags(text: Column, category: Column, lowered: bool = False) -> Column:
     """Labels of the rule table that a text matches, the category's own label last, five at most."""
-    labels = F.array_compact(F.array(*[F.when(F.lower(text).rlike(p), F.lit(t)) for t, p in rules.TAG_PATTERNS.items()]))
+    low = text if lowered else F.lower(text)
+    labels = F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(t)) for t, p in rules.TAG_PATTERNS.items()]))
     own = F.create_map(*[F.lit(x) for kv in rules.CATEGORY_TAG.items() for x in kv])[category]
     return F.slice(F.when(F.array_contains(labels, own), labels).otherwise(F.concat(labels, F.array(own))), 1, 5)
 

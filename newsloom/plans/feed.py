@@ -420,7 +420,8 @@ def x03_shorten(spark, d):
 @query("with t as (select row_id, hint, lower(title || ' ' || coalesce(summary, '')) as t from (select i.row_id, i.title, i.summary, s.hint from items i left join sources s on s.source = i.source)), s as (select row_id, hint, " + ", ".join(f"{_HITS[c]} + coalesce((hint = '{c}')::int, 0) as {c}" for c in ("agent", "benchmark", "release", "industry")) + ") from t)".replace(")", "", 1) + ", b as (select *, greatest(agent, benchmark, release, industry) as best from s) select row_id, case when best = 0 then coalesce(hint, 'industry') when agent = best then 'agent' when benchmark = best then 'benchmark' when release = best then 'release' else 'industry' end as category from b")
 def x05_classify(spark, d):
     df = join_small(items(spark, d).select("row_id", "title", "summary", "source"), table(spark, d, "sources").select("source", "hint"), ["source"])
-    return df.select("row_id", text.classify(F.concat("title", F.lit(" "), F.coalesce("summary", F.lit(""))), F.col("hint")).alias("category"))
+    df = df.select("row_id", "hint", F.lower(F.concat("title", F.lit(" "), F.coalesce("summary", F.lit("")))).alias("low"))
+    return text.with_category(df, "low", "hint").select("row_id", "category")
 
 
 @query("with t as (select row_id, category, list_filter([" + ", ".join(f"case when regexp_matches(lower(title), '{p}') then '{t}' end" for t, p in rules.TAG_PATTERNS.items()) + "], lambda x: x is not null) as l, case category when 'industry' then '行业应用' when 'agent' then 'Agent' when 'release' then '模型发布' else 'Benchmark' end as own from items where category in ('industry', 'agent', 'release', 'benchmark')) select row_id, array_to_string((case when list_contains(l, own) then l else list_append(l, own) end)[1:5], '|') as tags from t")

@@ -89,8 +89,8 @@ def x26_reviews(spark, d):
     r = lambda f: F.col(f"aiReview.{f}")
     df = items(spark, d).where(F.col("aiReview").isNotNull())
     forum = F.coalesce(F.col("articleKind") == "community", F.lit(False)) | text.community(F.col("source"), F.col("sourceDomain"))
-    got = reviews.review({n: r(f"dimensions.{n}") for n in rules.DIMENSION_LIMITS}, r("isRelevant"), r("informationType"), r("evidenceLevel"), forum, releases.routine_release(F.col("title"), F.col("releaseFeed")))
-    return df.select("row_id", *[c.cast("int").alias(n) if n not in ("evidence", "information") else c.alias(n) for n, c in got.items()])
+    dims = {n: r(f"dimensions.{n}") for n in rules.DIMENSION_LIMITS}
+    return reviews.review(df, ["row_id"], dims, r("isRelevant"), r("informationType"), r("evidenceLevel"), forum, releases.routine_release(F.col("title"), F.col("releaseFeed")))
 
 
 _C = r"trim(regexp_replace(coalesce({0}, ''), '[\s\x{{a0}}\x{{3000}}]+', ' ', 'g'))"
@@ -131,7 +131,9 @@ def proj01_finalized(spark, d):
     df = join_small(df, table(spark, d, "sources").select("source", "hint", "official"), ["source"])
     hours = (F.unix_micros(F.col("polled_at").cast("timestamp")) - F.unix_micros(F.col("published_ts").cast("timestamp"))) / 3.6e9
     both = F.trim(F.concat("title", F.lit(" "), F.coalesce("summary", F.lit(""))))
-    df = df.withColumn("category", text.classify(both, F.col("hint"))).withColumn("tags", text.tags(both, F.col("category")))
+    df = df.withColumn("both", F.lower(both))
+    both = F.col("both")
+    df = text.with_category(df, "both", "hint").withColumn("tags", text.tags(both, F.col("category"), True))
     df = df.withColumn("score", text.rule_score(hours, F.coalesce("official", F.lit(False)), F.size("tags"), both))
     shown = F.when(F.coalesce("summary", F.lit("")) != "", F.col("summary")).otherwise(rules.DEFAULT_SUMMARY)
     return df.select("row_id", "category", F.array_join("tags", "|").alias("tags"), "score", text.signal(F.col("score")).alias("signal"), shown.alias("summary"))
@@ -143,11 +145,10 @@ _PLAN = f"(select *, {_SQ(releases.SQL_RELEASE, 'title', _FLAG)} and (\"aiReview
 @query(f"select row_id, ({_SUM})::int as score, {_LEVEL.format('(' + _SUM + ')')} as level from {_capped_sql('(select * from ' + _PLAN + ' where due)', 'row_id')}")
 def g04_recapped(spark, d):
     """Reviews of routine releases above the ceiling, capped."""
-    dims = [F.coalesce(F.col(f"aiReview.dimensions.{n}"), F.lit(0)) for n in rules.DIMENSION_LIMITS]
+    dims = [F.coalesce(F.col(f"aiReview.dimensions.{n}"), F.lit(0)).alias(n) for n in rules.DIMENSION_LIMITS]
     over = (F.col("aiReview.importanceScore") > 49) | (F.col("aiReview.importanceLevel") > 2)
-    capped = text.cap_to(dims, F.lit(49))
-    score = sum(capped[1:], capped[0])
-    return items(spark, d).where(F.col("aiReview").isNotNull() & releases.routine_release(F.col("title"), F.col("releaseFeed")) & over).select("row_id", score.cast("int").alias("score"), text.level(score).alias("level"))
+    due = items(spark, d).where(F.col("aiReview").isNotNull() & releases.routine_release(F.col("title"), F.col("releaseFeed")) & over).select("row_id", *dims, F.lit(49).alias("_most"))
+    return reviews.capped(due, ["row_id"], "_most").select("row_id", "score", text.level(F.col("score")).alias("level"))
 
 
 @query(f"with gone as (select id, min({_REASON.replace('title', 'items.title')}) as reason from items group by id having count({_REASON}) = count(*)) select a.article_no, g.reason from articles a join gone g using (id)")

@@ -43,14 +43,11 @@ def test_release_rules(spark):
 
 def test_review_ceilings(spark):
     dims = {"relevance": 30, "impact": 25, "novelty": 15, "credibility": 15, "usefulness": 10, "timeliness": None}
-    col = {n: F.lit(v).cast("int") for n, v in dims.items()}
-    score = lambda *a: reviews.review(col, *a)["score"].alias("s")
-    false, true = F.lit(False), F.lit(True)
-    df = spark.range(1).select(
-        score(true, F.lit("original"), F.lit("clear"), false, false).alias("free"), score(true, F.lit("original"), F.lit("odd"), false, false).alias("unclear"), score(false, F.lit("original"), F.lit("clear"), false, false).alias("off"),
-        score(true, F.lit("Rumor "), F.lit("clear"), false, false).alias("rumor"), score(true, F.lit("original"), F.lit("none"), true, false).alias("forum"), score(true, F.lit(None).cast("string"), F.lit("clear"), false, true).alias("routine"), score(F.lit(None).cast("boolean"), F.lit("rehash"), F.lit("clear"), false, false).alias("null"),
-    )
-    assert tuple(df.first()) == (90, 84, 29, 69, 59, 49, 29)
+    schema = "n int, relevant boolean, information string, evidence string, forum boolean, routine boolean"
+    rows = [(0, True, "original", "clear", False, False), (1, True, "original", "odd", False, False), (2, False, "original", "clear", False, False), (3, True, "Rumor ", "clear", False, False), (4, True, "original", "none", True, False), (5, True, None, "clear", False, True), (6, None, "rehash", "clear", False, False)]
+    c = F.col
+    got = reviews.review(spark.createDataFrame(rows, schema), ["n"], {n: F.lit(v).cast("int") for n, v in dims.items()}, c("relevant"), c("information"), c("evidence"), c("forum"), c("routine"))
+    assert [r["score"] for r in got.orderBy("n").collect()] == [90, 84, 29, 69, 59, 49, 29] and "timeliness" in got.columns
 
 
 def test_glossary_and_tags(spark):
