@@ -184,6 +184,26 @@ def test_hot_cells_are_split(spark, monkeypatch):
     assert sorted(tuple(x) for x in history.HistoryIndex(spark).ingest(df).collect()) == whole
 
 
+def test_pairs_of_a_cell_are_judged_before_they_move(spark, monkeypatch):
+    r = random.Random(11)
+    words = ["".join(r.choices("bcdfgklmnprstvz", k=9)) for _ in range(20)]
+    rows = [(i, " ".join(r.sample(words, 6)), f"https://a.test/{i}", i // 100) for i in range(250)]
+    rows += [(i + 500, t + "s" if i % 2 else t[:-3] + "…", f"https://b.test/{i}", 2) for i, t, *_ in rows[:20]]
+    df = spark.createDataFrame(rows, "row_id long, title string, url string, batch int")
+    told = lambda got: sorted(tuple(x) for x in got.collect())
+    whole = told(history.repeats(spark, df, "batch", frozenset(), (0.5,)))
+    assert len(whole) >= 20
+    # nothing is carried, every slot is worked through for itself
+    monkeypatch.setattr(history, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(history, "SLICE_BYTES", 1, raising=False)
+    assert told(history.repeats(spark, df, "batch", frozenset(), (0.5,))) == whole
+    monkeypatch.setattr(history, "SLICE_BYTES", 1 << 30, raising=False)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    history.HistoryIndex(spark).ingest(df)
+    assert written() - before < 900_000
+
+
 def test_cells_find_all_within_the_radius():
     r = random.Random(6)
     words = ["alpha", "beta", "gamma", "delta", "reward", "kernel", "cache", "router", "prompt", "token", "vector", "sparse"]
