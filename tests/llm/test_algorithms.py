@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from newsloom.llm import capping, headlines, history, mixing, packing
@@ -199,6 +200,36 @@ def test_slots_one_by_one_find_the_same(spark, monkeypatch):
     assert told(history.repeats(spark, df, "batch", frozenset(), (0.5,))) == whole
 
 
+def test_a_step_moves_a_slots_share_of_the_postings(spark, monkeypatch):
+    r = random.Random(12)
+    words = ["".join(r.choices("bcdfgklmnprstvz", k=9)) for _ in range(20)]
+    rows = [(i, "Zorban " + " ".join(r.sample(words, 6)), f"https://a.test/{i}", i // 100) for i in range(250)]
+    rows += [(i + 500, t + "s" if i % 2 else t[:-3] + "…", f"https://b.test/{i}", 2) for i, t, *_ in rows[:20]]
+    df = spark.createDataFrame(rows, "row_id long, title string, url string, batch int")
+    told = lambda got: sorted(tuple(x) for x in got.collect())
+    monkeypatch.setattr(history, "HOT", 3)
+    whole = told(history.repeats(spark, df, "batch", frozenset(), (0.5,)))
+    assert len(whole) >= 20
+    asked, pairs = [], history.HistoryIndex._pairs
+    monkeypatch.setattr(history.HistoryIndex, "_pairs", lambda self, slots, *more: asked.append(slots) or pairs(self, slots, *more))
+    # each block has more than 600 and less than 10,000 postings of 50 bytes
+    monkeypatch.setattr(history, "SLICE_BYTES", 120_000)
+    assert told(history.repeats(spark, df, "batch", frozenset(), (0.5,))) == whole
+    assert asked == [[s] for s in range(history.SLOTS)] * 2
+
+
+def test_pairs_that_share_too_little_are_told_at_once():
+    r = random.Random(13)
+    words = ["".join(r.choices("bcdfgklmnprstvz", k=6)) for _ in range(8)]
+    texts = [" ".join(r.sample(words, r.randint(1, 6))) for _ in range(400)]
+    packed = pd.Series(history._packed(*headlines.vectors(texts)))
+    p, q = packed[:200], packed[200:]
+    share = [(2 * len(np.intersect1d(a, b)), headlines.SIMILAR * (len(a) + len(b))) for a, b in zip(map(history._vector, p), map(history._vector, q))]
+    got = history._may_tell(p, q, np.zeros(200, dtype=bool))
+    assert got.tolist() == [x >= y for x, y in share] and 0 < got.sum() < 200
+    assert history._may_tell(p, q, np.ones(200, dtype=bool)).all() and not len(history._may_tell(p[:0], q[:0], np.zeros(0, dtype=bool)))
+
+
 def test_cells_find_all_within_the_radius():
     r = random.Random(6)
     words = ["alpha", "beta", "gamma", "delta", "reward", "kernel", "cache", "router", "prompt", "token", "vector", "sparse"]
